@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelmill.llm import line_dedup
+from reelmill.llm import bpe, chat, line_dedup, mixing, quality, simhash, topk, urls
 from reelmill.llm._shared import table
 
 
@@ -12,13 +12,52 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(chat.with_probe(table(spark, sf_dir, "conversations")))
+
+
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.report(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {
+        "op2_chat_format": op2_chat_format,
+        "op4_source_mix": op4_source_mix,
+        "op5_url_filter": op5_url_filter,
+        "op6_byte_bpe": op6_byte_bpe,
         "op7_line_dedup": op7_line_dedup,
+        "op8_quality_bands": op8_quality_bands,
+        "op9_simhash": op9_simhash,
+        "op10_top_k": op10_top_k,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_chat_format": chat.ORACLE_SQL,
+        "op4_source_mix": mixing.ORACLE_SQL,
+        "op5_url_filter": urls.ORACLE_SQL,
         "op7_line_dedup": line_dedup.ORACLE_SQL,
+        "op10_top_k": topk.ORACLE_SQL,
     }
