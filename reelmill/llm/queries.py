@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelmill.llm import bpe, chat, line_dedup, mixing, quality, simhash, topk, urls
+from reelmill.llm import bpe, chat, licenses, line_dedup, mixing, pii, quality, simhash, topk, urls
 from reelmill.llm._shared import table
 
 
@@ -12,10 +12,18 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(chat.with_probe(table(spark, sf_dir, "conversations")))
 
 
+def op3_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
@@ -42,7 +50,9 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_pii_spans": op1_pii_spans,
         "op2_chat_format": op2_chat_format,
+        "op3_license_rules": op3_license_rules,
         "op4_source_mix": op4_source_mix,
         "op5_url_filter": op5_url_filter,
         "op6_byte_bpe": op6_byte_bpe,
@@ -56,6 +66,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_chat_format": chat.ORACLE_SQL,
+        "op3_license_rules": licenses.oracle_sql(),
         "op4_source_mix": mixing.ORACLE_SQL,
         "op5_url_filter": urls.ORACLE_SQL,
         "op7_line_dedup": line_dedup.ORACLE_SQL,
