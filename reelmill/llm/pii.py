@@ -184,7 +184,7 @@ def _key(kind: str, cast: list[int], shape: int) -> int:
 def candidates(text: str, base: list[tuple[int, int, int]], params: Params = Params()) -> list[tuple[int, int, int, int]]:
     """(start, kind number, end, key) of candidates: base spans, for the labelers' sake, and proposals that touch none.
 
-    Of proposals that overlap the earlier kind in PROPOSALS stays. A name is proposed only behind a word of FOR or with
+    Of proposals that overlap the earlier kind in PROPOSALS stays. One whose check fails is none. A name is proposed only behind a word of FOR or with
     a first name of the gazetteer.
     """
     found, taken = [], [(a, b) for a, _, b in base]
@@ -201,7 +201,7 @@ def candidates(text: str, base: list[tuple[int, int, int]], params: Params = Par
                 continue
             before = text[max(0, start - params.window) : start]
             cast = votes(kind, m[0], before)
-            if kind == "name" and cast[2] != 2 and cast[3] != 2:
+            if cast[1] == 0 or kind == "name" and cast[2] != 2 and cast[3] != 2:
                 continue
             if any(a < end and start < b for a, b in taken) or any(a < end and start < b for a, b in added):
                 continue
