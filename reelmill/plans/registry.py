@@ -2,19 +2,48 @@
 
 from __future__ import annotations
 
+import importlib
+import pkgutil
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from reelmill.views import view, with_views
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
+_LOADED: list[str] = []
+
+
+def query(name: str, reads: str, sql: str | None = None):
+    """Registers an operator over views or base tables; sql states the same result for DuckDB, over the same names."""
+    names = tuple(reads.split())
+
+    def add(operator):
+        _QUERIES[name] = lambda spark, sf_dir: operator(*(view(spark, sf_dir, n) for n in names))
+        if sql:
+            _SQL[name] = with_views(names, sql)
+        return operator
+
+    return add
+
+
+def _load() -> None:
+    if not _LOADED:
+        for package in ("operators", "sources", "streaming"):
+            found = importlib.import_module(f"reelmill.{package}")
+            for module in sorted(m.name for m in pkgutil.iter_modules(found.__path__)):
+                importlib.import_module(f"reelmill.{package}.{module}")
+        _LOADED.append("all")
 
 
 def queries() -> dict[str, Query]:
-    return _QUERIES
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL
+    _load()
+    return dict(_SQL)
