@@ -70,6 +70,7 @@ def mix(docs: DataFrame, params: Params = Params()) -> DataFrame:
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         tie.alias("tie"),
     )
+    rows = materialize(rows, "mix-sizes")  # the range shuffle reads its input twice: once to sample, once to deal
     within = ["size", "tie", "doc_id", "text_hash"]
     dealt = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), F.col("source").asc_nulls_last(), *within)
     dealt = materialize(dealt.withColumn("part", F.spark_partition_id()), "mix-order")
