@@ -43,8 +43,8 @@ _view(
 )
 _view(
     "persons", "lines",
-    """SELECT video_id, line_no, concat(initcap(t[0]), ' ', initcap(t[1])) AS name, confidence
-      FROM (SELECT *, split(regexp_replace(lower(text), '[^a-z ]', ''), ' +') AS t FROM {lines}) WHERE size(t) >= 2 AND length(t[0]) >= 3 AND length(t[1]) >= 3""",
+    """SELECT video_id, line_no, concat(initcap(get(t, 0)), ' ', initcap(get(t, 1))) AS name, confidence
+      FROM (SELECT *, split(regexp_replace(lower(text), '[^a-z ]', ''), ' +') AS t FROM {lines}) WHERE size(t) >= 2 AND length(get(t, 0)) >= 3 AND length(get(t, 1)) >= 3""",
     """SELECT video_id, line_no, concat(upper(w[1][1]), w[1][2:], ' ', upper(w[2][1]), w[2][2:]) AS name, confidence
       FROM (SELECT *, regexp_split_to_array(regexp_replace(lower(text), '[^a-z ]', '', 'g'), ' +') AS w FROM lines) WHERE len(w) >= 2 AND length(w[1]) >= 3 AND length(w[2]) >= 3""",
 )
@@ -101,6 +101,21 @@ _view(
       FROM {orders} JOIN {part} ON p_partkey = o_orderkey % (SELECT count(*) FROM {part})""",
 )
 
+_view(
+    "videos", "documents titles",
+    """SELECT d.doc_id AS video_id, t.tconst AS true_tconst, CASE d.doc_id % 3 WHEN 0 THEN upper(t.primary_title) WHEN 1 THEN t.primary_title ELSE concat(substring(t.primary_title, 1, 4), substring(t.primary_title, 6)) END AS film_title,
+           t.start_year + d.doc_id % 3 - 1 AS year, d.doc_id % 4 = 0 AS is_series
+      FROM {documents} d JOIN {titles} t ON t.tconst = 1 + d.doc_id % (SELECT count(*) FROM {titles})""",
+)
+_view(
+    "title_people", "principals names persons titles",
+    """SELECT p.tconst, p.nconst, n.primary_name AS name, p.category, p.ordering FROM {principals} p JOIN {names} n ON p.nconst = n.nconst
+      UNION ALL
+      SELECT 1 + p.video_id % (SELECT count(*) FROM {titles}) AS tconst, n.nconst, CASE WHEN p.line_no % 4 = 1 THEN n.ocr_name ELSE p.name END AS name,
+             CASE WHEN p.line_no % 8 = 1 THEN 'director' WHEN p.line_no % 8 = 5 THEN 'cinematographer' ELSE 'actor' END AS category, 100 + p.line_no AS ordering
+      FROM {persons} p JOIN {names} n ON p.name = n.primary_name WHERE p.line_no % 4 < 2""",
+)
+
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view, or a base table, as a DataFrame."""
