@@ -152,15 +152,15 @@ def scorecard_sql(source: str) -> str:
       title_score + director_score + ratio_score + hits_score + penalty >= greatest(1.0, 0.40 * (2.5 + CASE WHEN has_directors THEN 2.5 ELSE 0 END + CASE WHEN hits + misses > 0 THEN 6.0 ELSE 0 END)) AS accepted FROM {source}"""
 
 
-_CARD = f"""{_PAIRS31}, h AS (SELECT c.video_id, count(*) AS n, count(DISTINCT m.line_no) AS hits FROM credits c LEFT JOIN m ON m.video_id = c.video_id AND m.line_no = c.line_no WHERE c.job = 'actor' GROUP BY c.video_id),
+_CARD = f"""{_PAIRS31}, h AS (SELECT c.video_id, count(DISTINCT c.line_no) AS n, count(DISTINCT m.line_no) AS hits FROM credits c LEFT JOIN m ON m.video_id = c.video_id AND m.line_no = c.line_no WHERE c.job = 'actor' GROUP BY c.video_id),
   d AS (SELECT c.video_id, max(CASE WHEN m.score >= 95 THEN 2 WHEN m.score IS NOT NULL THEN 1 ELSE 0 END) AS level FROM credits c LEFT JOIN m ON m.video_id = c.video_id AND m.line_no = c.line_no WHERE c.job = 'Director' GROUP BY c.video_id),
   v AS (SELECT v.video_id, {duck('alnum_key', 'v.film_title')} AS a, {duck('alnum_key', 't.primary_title')} AS b FROM videos v JOIN titles t ON t.tconst = v.true_tconst),
   e AS (SELECT v.video_id, {duck_ratio('a', 'b')} AS sim, a = b AS same, strpos(a, b) > 0 OR strpos(b, a) > 0 AS within, d.level, d.level IS NOT NULL AS has_directors, coalesce(h.hits, 0) AS hits, coalesce(h.n, 0) - coalesce(h.hits, 0) AS misses
         FROM v LEFT JOIN d USING (video_id) LEFT JOIN h USING (video_id)),
   r AS (SELECT *, CASE WHEN hits + misses = 0 THEN 0 ELSE hits / (hits + misses)::double END AS share FROM e),
-  s AS (SELECT *, CASE WHEN same THEN 2.5 WHEN sim >= 90 THEN 2.0 WHEN sim >= 80 THEN 1.0 WHEN within THEN 0.5 ELSE 0.0 END::double AS title_score, CASE level WHEN 2 THEN 2.5 WHEN 1 THEN 1.5 WHEN 0 THEN -2.5 ELSE 0.0 END::double AS director_score,
+  z AS (SELECT *, CASE WHEN same THEN 2.5 WHEN sim >= 90 THEN 2.0 WHEN sim >= 80 THEN 1.0 WHEN within THEN 0.5 ELSE 0.0 END::double AS title_score, CASE level WHEN 2 THEN 2.5 WHEN 1 THEN 1.5 WHEN 0 THEN -2.5 ELSE 0.0 END::double AS director_score,
         CASE WHEN share >= 0.5 THEN 3.0 WHEN share >= 0.3 THEN 2.0 WHEN share >= 0.15 THEN 1.0 WHEN share >= 0.05 THEN 0.5 ELSE 0.0 END::double AS ratio_score, CASE WHEN hits >= 8 THEN 3.0 WHEN hits >= 5 THEN 2.0 WHEN hits >= 3 THEN 1.0 ELSE 0.0 END::double AS hits_score,
-        CASE WHEN hits >= 3 THEN 0.0 WHEN share < 0.05 THEN -3.0 WHEN share < 0.10 THEN -2.0 WHEN share < 0.15 THEN -1.0 ELSE 0.0 END::double AS penalty FROM r) {scorecard_sql('s')}"""
+        CASE WHEN hits >= 3 THEN 0.0 WHEN share < 0.05 THEN -3.0 WHEN share < 0.10 THEN -2.0 WHEN share < 0.15 THEN -1.0 ELSE 0.0 END::double AS penalty FROM r) {scorecard_sql('z')}"""
 
 
 @query("d32_reverse_scorecard", "credits videos title_people titles", _CARD)
