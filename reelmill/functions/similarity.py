@@ -179,7 +179,7 @@ def fuzzy_join(left: DataFrame, right: DataFrame, threshold: float, k: int = 1)
 
     def score(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
-            return pd.DataFrame({"l_id": [], "r_id": [], "score": []})
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("l_id", "r_id", "score")})
         y = y.sort_values("r_id")
         found = block_scores(list(x["l_text"]), list(y["r_text"]))
         best = np.argsort(-found, axis=1, kind="stable")[:, :k]

@@ -151,15 +151,6 @@ def subtitle_like(lines: DataFrame) -> DataFrame:
     return lines.select("video_id", "line_no", "text", (~(capitals | titled) & sentence).alias("subtitle_like"))
 
 
-_LABEL = r"(?i)(^|[^\p{L}])(bölüm|bolum|episode|ep|folge|épisode|episodio|episódio|puntata|capítulo|capitulo|серия)\s*[.:#-]?\s*[0-9]+|[0-9]+\s*\.?\s*(bölüm|bolum|folge|серия)|s[0-9]{1,2}\s*e[0-9]{1,3}"
-
-
-@query("b23_episode_label", "manifest lines", rf"SELECT video_id, line_no, text FROM lines WHERE regexp_matches(text, '{_LABEL}')")
-def episode_label(_manifest: DataFrame, lines: DataFrame) -> DataFrame:
-    """Lines that are an episode's label, in several languages."""
-    return lines.where(F.col("text").rlike(_LABEL)).select("video_id", "line_no", "text")
-
-
 @query(
     "c1_best_reading", "lines",
     f"SELECT video_id, frame_no, key, arg_max(text, (confidence, -line_no)) AS text, max(confidence) AS confidence FROM (SELECT *, {duck('line_key', 'text')} AS key FROM lines) WHERE key <> '' GROUP BY ALL",

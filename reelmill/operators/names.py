@@ -49,9 +49,6 @@ def _sql_upper(text: str) -> str:
     return rf"(regexp_matches({text}, '\p{{Lu}}') AND NOT regexp_matches({text}, '\p{{Ll}}'))"
 
 
-_NAME = F.col("name")
-
-
 def structural_reason(name: Column) -> Column:
     """The first rule that a name breaks, or 'ok'."""
     t = F.trim(name)
@@ -219,7 +216,7 @@ def _sql_candidate(text: str) -> str:
 def match_candidates(persons: DataFrame) -> DataFrame:
     """First occurrence of each name in a video, and how many of these are sent to matching."""
     keyed = persons.withColumn("key", alnum_key("name")).where("key <> ''")
-    first = keyed.groupBy("video_id", "key").agg(F.min_by("name", "line_no").alias("name")).withColumn("ok", is_match_candidate(_NAME))
+    first = keyed.groupBy("video_id", "key").agg(F.min_by("name", "line_no").alias("name")).withColumn("ok", is_match_candidate(F.col("name")))
     return first.groupBy("video_id").agg(F.count_if("ok").alias("accepted"), F.count_if(~F.col("ok")).alias("rejected"))
 
 
