@@ -14,11 +14,13 @@ import hashlib
 import heapq
 import re
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -30,13 +32,17 @@ PLAIN = re.compile(rf"[^\x00-\x7f{LETTER}]")
 FAST = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+| ?[^{BLANK}{LETTER}0-9]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
 
 
+#: Stands for no rank. From MANY positions on a merge is applied to all of them at once.
+NONE, MANY = 2**31 - 1, 40
+
+
 @dataclass(frozen=True)
 class Params:
     ranks_path: str | None = None
     pattern: str | None = None
-    block_chars: int = 4_000_000
+    block_chars: int = 8_000_000
     remembered_words: int = 300_000
-    piece_words: int = 200_000
+    piece_words: int = 1_000_000
 
 
 class Vocabulary:
@@ -46,7 +52,7 @@ class Vocabulary:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
-        self.bytes = [self.ranks[bytes([b])] for b in range(256)]
+        self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.names = {rank: str(rank) for rank in self.tokens}
         get, merges = self.ranks.get, {}
         for token, rank in self.ranks.items():
@@ -55,6 +61,9 @@ class Vocabulary:
                 if left is not None and right is not None:
                     merges[left << 32 | right] = rank
         self.merges = merges
+        self.merge_keys = np.array(sorted(merges), dtype=np.int64)
+        self.merge_ranks = np.array([merges[k] for k in self.merge_keys.tolist()], dtype=np.int32)
+        self.byte_pairs = np.array([[get(bytes([a, b]), NONE) for b in range(256)] for a in range(256)], dtype=np.int32)
         self.pattern = regex.compile(pattern)
         self.fast = FAST if pattern == default_pattern() else None
 
@@ -71,7 +80,9 @@ class Vocabulary:
 
     def merge_alone(self, word: bytes) -> list[int]:
         """Greedy merges of one word: the lowest rank first, the leftmost of equal ones."""
-        ids = [self.bytes[b] for b in word]
+        if word in self.ranks:
+            return [self.ranks[word]]
+        ids = self.bytes[np.frombuffer(word, dtype=np.uint8)].tolist()
         while len(ids) > 1:
             found = [(rank, i) for i in range(len(ids) - 1) if (rank := self.merges.get(ids[i] << 32 | ids[i + 1])) is not None]
             if not found:
@@ -80,78 +91,118 @@ class Vocabulary:
             ids[i : i + 2] = [rank]
         return ids
 
-    def replay(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of each word, by merges in rank order over all of them together.
+    def replay(self, words: list[bytes]) -> tuple[list[int], list[int]]:
+        """(ids of all words, one after the other; number of ids of each word), by merges in rank order over all of them.
 
-        Should a merge form a pair of lower rank than its own (the order within that word could then differ), the word
-        is merged alone.
+        Frequent merges are applied to all their positions at once, rare ones one by one; both follow the same index. A
+        merge touches its position and the two neighbours. Should one form a pair of lower rank than its own (the
+        order within that word could then differ), the word is merged alone.
         """
-        table, single, merges = self.bytes, self.ranks, self.merges
-        token, after, starts = array("i"), array("i"), []
-        for word in words:
-            starts.append(len(token))
-            if word in single:
-                token.append(single[word])
-            else:
-                token.extend([table[b] for b in word])
-            after.extend(range(len(after) + 1, len(token)))
-            after.append(-1)
-        before = array("i", [-1]) * len(token)
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        data = np.frombuffer(b"".join(words), dtype=np.uint8)
+        starts = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(words) else np.zeros(0, dtype=np.int64)
+        n = len(data)
+        token = self.bytes[data]
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        after[(starts + sizes - 1)[sizes > 0]] = -1
+        before[starts[sizes > 0]] = -1
+        pair = np.full(n, NONE, dtype=np.int32)
+        if n > 1:
+            pair[:-1] = self.byte_pairs[data[:-1], data[1:]]
+            pair[after < 0] = NONE
+        alive = np.ones(n, dtype=bool)
         index: dict[int, list[int]] = {}
-        for at, to in enumerate(after):
-            if to >= 0:
-                before[to] = at
-                rank = merges.get(token[at] << 32 | token[to])
-                if rank is not None:
-                    index.setdefault(rank, []).append(at)
-        queue, alone = list(index), []
-        heapq.heapify(queue)
+        queue: list[int] = []
+        odd: list[int] = []
+
+        def enter(at: np.ndarray, ranks: np.ndarray, least: int) -> None:
+            odd.extend(at[ranks <= least].tolist())
+            good = ranks > least
+            good &= ranks < NONE
+            at, ranks = at[good], ranks[good]
+            order = np.argsort(ranks, kind="stable")
+            at, ranks = at[order].tolist(), ranks[order]
+            cuts = np.flatnonzero(np.diff(ranks, prepend=-1)).tolist() + [len(at)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                rank = int(ranks[a])
+                if rank in index:
+                    index[rank].extend(at[a:b])
+                else:
+                    index[rank] = at[a:b]
+                    heapq.heappush(queue, rank)
+
+        first = np.flatnonzero(pair < NONE)
+        enter(first, pair[first], -1)
+        token_at, after_at, before_at, pair_at, alive_at = map(memoryview, (token, after, before, pair, alive))
+        merges = self.merges
         while queue:
             rank = heapq.heappop(queue)
-            for at in sorted(index.pop(rank)):
+            found = index.pop(rank)
+            if len(found) >= MANY:
+                at = np.unique(np.array(found, dtype=np.int64))
+                at = at[pair[at] == rank]
                 to = after[at]
-                if token[at] < 0 or to < 0 or merges.get(token[at] << 32 | token[to]) != rank:
+                if not (pair[to] == rank).any():  # else occurrences overlap, and go from the left one by one
+                    behind = after[to]
+                    token[at], after[at] = rank, behind
+                    pair[to], alive[to] = NONE, False
+                    right = at[behind >= 0]
+                    before[behind[behind >= 0]] = right
+                    ahead = before[at]  # a neighbour may have merged in this step too
+                    left = ahead[ahead >= 0]
+                    pair[at] = NONE
+                    pair[right] = self.pair_ranks(token[right], token[after[right]])
+                    pair[left] = self.pair_ranks(token[left], token[after[left]])
+                    both = np.concatenate((right, left))
+                    enter(both, pair[both], rank)
+                    continue
+                found = at.tolist()
+            for at in sorted(found):
+                if pair_at[at] != rank:
                     continue
-                token[at], token[to] = rank, -1
-                behind = after[at] = after[to]
-                ahead = before[at]
+                to = after_at[at]
+                behind, ahead = after_at[to], before_at[at]
+                token_at[at], after_at[at] = rank, behind
+                pair_at[to], alive_at[to] = NONE, False
+                new = NONE
                 if behind >= 0:
-                    before[behind] = at
-                    new = merges.get(rank << 32 | token[behind])
-                    if new is not None:
-                        if new <= rank:
-                            alone.append(at)
-                        elif new in index:
+                    before_at[behind] = at
+                    new = merges.get(rank << 32 | token_at[behind], NONE)
+                    if new <= rank:
+                        odd.append(at)
+                    elif new < NONE:
+                        if new in index:
                             index[new].append(at)
                         else:
                             index[new] = [at]
                             heapq.heappush(queue, new)
+                pair_at[at] = new
                 if ahead >= 0:
-                    new = merges.get(token[ahead] << 32 | rank)
-                    if new is not None:
-                        if new <= rank:
-                            alone.append(at)
-                        elif new in index:
+                    new = merges.get(token_at[ahead] << 32 | rank, NONE)
+                    pair_at[ahead] = new
+                    if new <= rank:
+                        odd.append(at)
+                    elif new < NONE:
+                        if new in index:
                             index[new].append(ahead)
                         else:
                             index[new] = [ahead]
                             heapq.heappush(queue, new)
-        odd = set()
-        if alone:
-            import bisect
-
-            odd = {bisect.bisect_right(starts, at) - 1 for at in alone}
-        out = []
-        for i, at in enumerate(starts):
-            if i in odd:
-                out.append(self.merge_alone(words[i]))
-                continue
-            ids = []
-            while at >= 0:
-                ids.append(token[at])
-                at = after[at]
-            out.append(ids)
-        return out
+        counts = np.diff(np.concatenate(([0], np.cumsum(alive)))[np.concatenate((starts, [n]))]) if len(words) else np.zeros(0, dtype=np.int64)
+        ids, counts = token[alive].tolist(), counts.tolist()
+        if odd:
+            cuts = np.concatenate(([0], np.cumsum(counts))).tolist()
+            alone = set((np.searchsorted(starts, odd, side="right") - 1).tolist())
+            rows = [self.merge_alone(words[i]) if i in alone else ids[a:b] for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+            ids, counts = [x for row in rows for x in row], list(map(len, rows))
+        return ids, counts
+
+    def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of what each pair merges to, or NONE."""
+        keys = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(self.merge_keys, keys)
+        at[at == len(self.merge_keys)] = 0
+        return np.where(self.merge_keys[at] == keys, self.merge_ranks[at], NONE).astype(np.int32)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -172,40 +223,68 @@ def vocabulary(path: str | None, pattern: str | None) -> Vocabulary:
 
 
 class Encoder:
-    """Encodes blocks of texts and remembers words between them, up to a bound."""
-
-    def __init__(self, vocab: Vocabulary, remembered_words: int):
-        self.vocab, self.bound = vocab, remembered_words
-        self.known: dict[str, tuple[str, int, bytes]] = {}
-
-    def learn(self, cut: list[list[str]]) -> dict[str, tuple[str, int, bytes]]:
-        """The table word -> (ids as decimals, number of ids, decoded bytes) with all words of the block in it."""
-        vocab = self.vocab
-        if len(self.known) > self.bound:
-            self.known.clear()
-        known = self.known
-        fresh = [w for w in set().union(*cut) if w not in known]
+    """Encodes blocks of texts. Words are numbered, and remembered between blocks up to a bound."""
+
+    def __init__(self, vocab: Vocabulary, params: Params):
+        self.vocab, self.params = vocab, params
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: defaultdict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.names: list[str] = []
+        self.sizes: list[int] = []
+        self.parts: list[bytes] = []
+
+    def learn(self) -> None:
+        """Encodes the words that were numbered since the last call: ids as decimals, number of ids, decoded bytes."""
+        vocab, fresh = self.vocab, list(islice(self.number, len(self.names), None))
         spelled = [w.encode("utf-8", "surrogatepass") for w in fresh]
-        name, decode = vocab.names.__getitem__, vocab.decode
-        for word, ids in zip(fresh, vocab.replay(spelled), strict=True):
-            known[word] = " ".join(map(name, ids)), len(ids), decode(ids)
-        return known
-
-    def encode(self, texts: list[str], block_chars: int, piece_words: int) -> Iterator[Iterator[list[tuple[str, int, bytes]]]]:
-        """For each text its words' entries of the table, in pieces. A text longer than a block is cut into pieces of words."""
-        for block in _blocks(texts, block_chars):
-            if len(block[0]) > block_chars:
-                yield (list(map(self.learn([piece]).__getitem__, piece)) for piece in self.vocab.pieces(block[0], piece_words))
+        long = [w for w in spelled if w not in vocab.ranks]
+        ids, counts = vocab.replay(long)
+        names, tokens = list(map(vocab.names.__getitem__, ids)), list(map(vocab.tokens.__getitem__, ids))
+        at, sizes = 0, iter(counts)
+        for word in spelled:
+            rank = vocab.ranks.get(word)
+            if rank is not None:
+                self.names.append(vocab.names[rank])
+                self.sizes.append(1)
+                self.parts.append(vocab.tokens[rank])
+            else:
+                n = next(sizes)
+                self.names.append(" ".join(names[at : at + n]))
+                self.sizes.append(n)
+                self.parts.append(b"".join(tokens[at : at + n]))
+                at += n
+
+    def encode(self, texts: list[str]) -> Iterator[Iterator[array]]:
+        """For each text the numbers of its words, in pieces, once the tables know them. A text longer than a block is
+        cut into pieces of words."""
+        params = self.params
+        for block in _blocks(texts, params.block_chars):
+            if len(self.names) > params.remembered_words:
+                self.forget()
+            if len(block[0]) > params.block_chars:
+                yield self._pieces(block[0])
                 continue
-            cut = [self.vocab.words(t) for t in block]
-            known = self.learn(cut)
+            number = self.number.__getitem__
+            cut = [array("i", map(number, self.vocab.words(t))) for t in block]
+            self.learn()
             for words in cut:
-                yield iter([list(map(known.__getitem__, words))])
+                yield iter([words])
+
+    def _pieces(self, text: str) -> Iterator[array]:
+        for piece in self.vocab.pieces(text, self.params.piece_words):
+            words = array("i", map(self.number.__getitem__, piece))
+            self.learn()
+            yield words
+            if len(self.names) > self.params.remembered_words:
+                self.forget()
 
 
 @lru_cache(maxsize=2)
 def encoder(params: Params) -> Encoder:
-    return Encoder(vocabulary(params.ranks_path, params.pattern), params.remembered_words)
+    return Encoder(vocabulary(params.ranks_path, params.pattern), params)
 
 
 def _blocks(texts: list[str], size: int) -> Iterator[list[str]]:
@@ -226,8 +305,8 @@ def encode_ids(docs: DataFrame, params: Params = Params()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_py() or "" for t in batch.column(1)]
-            coded = encoder(params).encode(texts, params.block_chars, params.piece_words)
-            rows = [[int(i) for piece in pieces for names, _, _ in piece for i in names.split()] for pieces in coded]
+            coder = encoder(params)
+            rows = [[int(i) for piece in pieces for w in piece for i in coder.names[w].split()] for pieces in coder.encode(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, type=pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
@@ -256,14 +335,14 @@ def report(docs: DataFrame, params: Params = Params()) -> DataFrame:
         for batch in batches:
             counts, ids, decoded = [], [], []
             texts = [t.as_py() or "" for t in batch.column(1)]
-            for pieces in encoder(params).encode(texts, params.block_chars, params.piece_words):
+            coder = encoder(params)
+            for pieces in coder.encode(texts):
                 total, id_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
                 for piece in pieces:
                     if piece:
-                        names, sizes, parts = zip(*piece, strict=True)
-                        id_hash.update((" " * (total > 0) + " ".join(names)).encode())
-                        text_hash.update(b"".join(parts))
-                        total += sum(sizes)
+                        id_hash.update((" " * (total > 0) + " ".join(map(coder.names.__getitem__, piece))).encode())
+                        text_hash.update(b"".join(map(coder.parts.__getitem__, piece)))
+                        total += sum(map(coder.sizes.__getitem__, piece))
                 counts.append(total)
                 ids.append(id_hash.hexdigest())
                 decoded.append(text_hash.hexdigest())

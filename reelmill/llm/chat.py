@@ -410,7 +410,7 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE) ->
         import pandas as pd
 
         text, spans = render([{"role": r or "", "text": t or ""} for r, t in zip(groups["role"], groups["text"], strict=True)], template)
-        return pd.DataFrame({"conv_id": groups["conv_id"].iloc[:1], "formatted": [text], "loss_spans": [[list(s) for s in spans]]})
+        return pd.DataFrame({"conv_id": groups["conv_id"].iloc[:1], "formatted": pd.Series([text], dtype=object), "loss_spans": [[list(s) for s in spans]]})
 
     rows = conversations.selectExpr("cast(conv_id as long) conv_id", "turn", "role", "text")
     return rows.groupBy("conv_id").applyInPandas(lambda g: run(g.sort_values(["turn", "role", "text"], na_position="first")), "conv_id long, formatted string, loss_spans array<array<int>>")

@@ -50,6 +50,15 @@ def test_ids_and_decoding(make_docs, reference):
     assert back == {i: t or "" for i, t in enumerate(texts)}
 
 
+def test_replay_of_many_words_at_once(reference, small_docs, monkeypatch):
+    vocab = bpe.vocabulary(None, None)
+    words = sorted({w for r in small_docs.collect() for w in vocab.words(r["text"] or "")} | {" " * n for n in range(1, 90)} | {"a" * n for n in range(1, 60)} | {"=-" * n for n in range(40)})
+    want = [i for w in words for i in vocab.merge_alone(w.encode())]
+    for many in (1, 40, 10**9):
+        monkeypatch.setattr(bpe, "MANY", many)
+        assert vocab.replay([w.encode() for w in words])[0] == want
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("aaabe th'sn \n\t.é"), st.characters(codec="utf-8"))), max_size=5))
 def test_replay_agrees_on_any_text(reference, texts):
@@ -57,6 +66,6 @@ def test_replay_agrees_on_any_text(reference, texts):
     for text in texts:
         words = vocab.words(text)
         assert "".join(words) == text
-        ids = [i for word in vocab.replay([w.encode() for w in words]) for i in word]
-        assert ids == reference.encode_ordinary(text)
+        ids, counts = vocab.replay([w.encode() for w in words])
+        assert ids == reference.encode_ordinary(text) and sum(counts) == len(ids)
         assert [i for w in words for i in vocab.merge_alone(w.encode())] == ids
