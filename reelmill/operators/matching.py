@@ -46,7 +46,15 @@ def fuzzy_name_match(videos: DataFrame, persons: DataFrame, people: DataFrame, t
     return scored.groupBy("video_id", "name").agg(F.min_by("choice", F.struct(-F.col("score"), F.col("choice"))).alias("choice"), F.round(F.max("score"), 6).alias("score"))
 
 
-@query("d23_second_catalogue_a", f"{_PEOPLE} titles", f"{_EVIDENCE}, kk AS (SELECT v.video_id, {duck('alnum_key', 'v.film_title')} = {duck('alnum_key', 't.primary_title')} AS same FROM videos v JOIN titles t ON t.tconst = v.true_tconst), n AS (SELECT video_id, count(DISTINCT name) AS n FROM persons GROUP BY video_id) SELECT e.video_id, e.tconst, CASE WHEN cast_n >= 1 AND dir_n >= 1 THEN 'cast_and_director' ELSE 'title_alone' END AS via FROM e JOIN kk k USING (video_id) LEFT JOIN n USING (video_id) WHERE k.same AND ((cast_n >= 1 AND dir_n >= 1) OR (dir_n = 0 AND cast_n >= CASE WHEN coalesce(n.n, 0) < 5 THEN 2 ELSE greatest(3, n.n // 3) END))".replace(", n AS (SELECT video_id, count(DISTINCT name) AS n FROM persons", ", np AS (SELECT video_id, count(DISTINCT name) AS n FROM persons").replace("LEFT JOIN n USING", "LEFT JOIN np n USING"))
+_SAME_TITLE = f"kk AS (SELECT v.video_id, {duck('alnum_key', 'v.film_title')} = {duck('alnum_key', 't.primary_title')} AS same FROM videos v JOIN titles t ON t.tconst = v.true_tconst)"
+
+
+@query(
+    "d23_second_catalogue_a", f"{_PEOPLE} titles",
+    f"""{_EVIDENCE}, {_SAME_TITLE}, np AS (SELECT video_id, count(DISTINCT name) AS n_read FROM persons GROUP BY video_id)
+    SELECT e.video_id, e.tconst, CASE WHEN cast_n >= 1 AND dir_n >= 1 THEN 'cast_and_director' ELSE 'title_alone' END AS via FROM e JOIN kk ON kk.video_id = e.video_id LEFT JOIN np ON np.video_id = e.video_id
+    WHERE kk.same AND ((cast_n >= 1 AND dir_n >= 1) OR (dir_n = 0 AND cast_n >= CASE WHEN coalesce(n_read, 0) < 5 THEN 2 ELSE greatest(3, n_read // 3) END))""",
+)
 def second_catalogue_a(videos: DataFrame, persons: DataFrame, people: DataFrame, titles: DataFrame) -> DataFrame:
     """The same title with a cast member and a director, or with a third of the cast (3 at least, 2 if few were read) and no director known."""
     facts = evidence(videos, persons, people).join(titles.select(F.col("tconst").alias("true_tconst"), "primary_title"), "true_tconst")
