@@ -317,11 +317,25 @@ def merge_exact(lines: DataFrame, second: DataFrame) -> DataFrame:
     return both.select("video_id", F.coalesce("text0", "text1").alias("text"), F.coalesce("seen0", "seen1").alias("first_seen"), source.alias("source"))
 
 
-@query("s4_s6_similarity", "names", f"""SELECT nconst, round({duck_ratio('a', 'b')}, 6) AS s1, round({duck_ratio(duck_sorted_tokens('a'), duck_sorted_tokens('b'))}, 6) AS s2 FROM (SELECT nconst, lower(primary_name) AS a, lower(ocr_name) AS b FROM names) """)
-def kernels(names: DataFrame) -> DataFrame:
-    """Ratios of each name with its misread form."""
-    a, b = F.lower("primary_name"), F.lower("ocr_name")
-    return names.select("nconst", F.round(ratio(a, b), 6).alias("s1"), F.round(token_sort_ratio(a, b), 6).alias("s2"))
+_PAIR = "SELECT nconst, lower(primary_name) AS a, lower(ocr_name) AS b FROM names"
+
+
+@query("s1_ratio", "names", f"SELECT nconst, round({duck_ratio('a', 'b')}, 6) AS s1 FROM ({_PAIR})")
+def name_ratio(names: DataFrame) -> DataFrame:
+    """Ratio of each name with its misread form."""
+    return names.select("nconst", F.round(ratio(F.lower("primary_name"), F.lower("ocr_name")), 6).alias("s1"))
+
+
+@query("s2_token_sort_ratio", "names", f"SELECT nconst, round({duck_ratio('a', 'b')}, 6) AS s2 FROM (SELECT nconst, {duck_sorted_tokens('a')} AS a, {duck_sorted_tokens('b')} AS b FROM ({_PAIR}))")
+def name_token_sort(names: DataFrame) -> DataFrame:
+    """Ratio of sorted tokens."""
+    return names.select("nconst", F.round(token_sort_ratio(F.lower("primary_name"), F.lower("ocr_name")), 6).alias("s2"))
+
+
+@query("s4_token_jaccard", "names", f"SELECT nconst, round(len(list_intersect(string_split(a, ' '), string_split(b, ' '))) / len(list_distinct(list_concat(string_split(a, ' '), string_split(b, ' '))))::double, 6) AS s4 FROM ({_PAIR})")
+def name_jaccard(names: DataFrame) -> DataFrame:
+    """Shared tokens over all tokens."""
+    return names.select("nconst", F.round(jaccard(F.lower("primary_name"), F.lower("ocr_name")), 6).alias("s4"))
 
 
 @query(
