@@ -117,10 +117,17 @@ _view(
 )
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """Deals a table out anew where it has fewer splits than the cluster has cores, as a small one in a single file."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view, or a base table, as a DataFrame."""
     if name not in VIEWS:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spread(table) if name == "documents" else table
     reads, sql, _ = VIEWS[name]
     return spark.sql(sql, **{r: view(spark, sf_dir, r) for r in reads})
 
