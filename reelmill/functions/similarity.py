@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 1000
+#: Texts in a block; rows of a broadcast table of lengths.
+BLOCK, MAX_BROADCAST = 1000, 100_000
 
 
 def lcs(a: str, b: str) -> int:
@@ -100,13 +101,54 @@ def token_sort_ratio(a: Column, b: Column) -> Column:
     return ratio(sorted_tokens(a), sorted_tokens(b))
 
 
+def _tokens(text: Column | str) -> Column:
+    return F.array_distinct(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Shared tokens over all tokens, 0 if a side has none."""
-    x, y = (F.array_distinct(F.filter(F.split(t, r"\s+"), lambda w: w != "")) for t in (a, b))
+    x, y = _tokens(a), _tokens(b)
     both = F.size(F.array_intersect(x, y))
     return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(both / (F.size(x) + F.size(y) - both))
 
 
+def _sized(sets: Column, size: int) -> Column:
+    return F.transform(sets, lambda s: F.struct(s["text"].alias("token_set"), F.lit(size).alias("set_size")))
+
+
+def _subsets(tokens: Column, most: int) -> Column:
+    """All sets of 1 to `most` of the tokens, each as its sorted tokens joined by a space, with its size."""
+    spots = F.transform(F.array_sort(tokens), lambda t, i: F.struct(i.alias("last"), t.alias("text")))
+    longer = lambda s: F.transform(F.filter(spots, lambda p: p["last"] > s["last"]), lambda p: F.struct(p["last"].alias("last"), F.concat_ws(" ", s["text"], p["text"]).alias("text")))
+    level, found = spots, [_sized(spots, 1)]
+    for size in range(2, most + 1):
+        level = F.flatten(F.transform(level, longer))
+        found.append(_sized(level, size))
+    return F.concat(*found)
+
+
+def best_jaccard(left: DataFrame, right: DataFrame, ids: list[str], within: str, most: int = 4, longer: bool = True) -> DataFrame:
+    """left (ids, within, key), right (within, ckey) -> (ids, similarity): the highest S4 of each left text with a right
+    text of its group. Left texts score 0 that are null or whose group has no right text; ids are not null.
+
+    Texts meet on sets of tokens, not pair by pair: for each set that a right text of the group holds, the least number
+    of tokens of such a text is enough, and the set that is their whole intersection gives the pair's own score. Left
+    texts of more than `most` tokens are joined on single tokens instead; longer=False says that there are none.
+    """
+    a = left.select(*ids, within, _tokens("key").alias("l")).withColumn("l_size", F.size("l"))
+    b = right.select(within, _tokens("ckey").alias("r")).withColumn("r_size", F.size("r"))
+    held = b.select(within, "r_size", F.inline(_subsets(F.col("r"), most))).groupBy(within, "token_set").agg(F.min("r_size").alias("r_size"))
+    asked = a.where(F.col("l_size") <= most).select(*ids, within, "l_size", F.inline(_subsets(F.col("l"), most)))
+    shared = asked.join(held, [within, "token_set"]).select(*ids, "l_size", "r_size", F.col("set_size").cast("long").alias("n"))
+    if longer:
+        one = a.where(F.col("l_size") > most).select(*ids, within, "l_size", F.explode("l").alias("token"))
+        two = b.select(within, F.array_sort("r").alias("r"), "r_size").distinct().select(within, "r", "r_size", F.explode("r").alias("token"))
+        met = one.join(two, [within, "token"]).groupBy(*ids, within, "r", "l_size", "r_size").agg(F.count("*").alias("n"))
+        shared = shared.unionByName(met.select(*ids, "l_size", "r_size", "n"))
+    best = shared.groupBy(*ids).agg(F.max(F.col("n") / (F.col("l_size") + F.col("r_size") - F.col("n"))).alias("s"))
+    return left.select(*ids).distinct().join(best, ids, "left").select(*ids, F.coalesce("s", F.lit(0.0)).alias("similarity"))
+
+
 def positional(a: Column, b: Column) -> Column:
     """100 x share of positions with the same character."""
     n = F.greatest(F.length(a), F.length(b))
@@ -164,13 +206,12 @@ def fuzzy_join(left: DataFrame, right: DataFrame, threshold: float, k: int = 1)
     able = [(a, b) for a in counts[0] for b in counts[1] if 200.0 * min(a, b) >= threshold * (a + b)]
 
     def dealt(side: DataFrame, own: str, other: str, mine: dict, theirs: dict, pairs: list) -> DataFrame:
-        to: dict[int, list] = {}
-        for x, y in pairs:
-            to.setdefault(x, []).extend((y, block) for block in range(theirs[y]))
-        spread = side.sparkSession.createDataFrame([(x, n, b) for x, ts in to.items() for n, b in ts], f"n int, {other}_n int, {other}_block int")
-        blocks = side.sparkSession.createDataFrame(list(mine.items()), "n int, blocks int")
-        numbered = side.join(F.broadcast(blocks), "n").withColumn(f"{own}_block", F.pmod(F.xxhash64(f"{own}_id"), F.col("blocks")).cast("int"))  # one row a length
-        return numbered.join(F.broadcast(spread), "n").withColumnRenamed("n", f"{own}_n").drop("blocks")
+        to = [(x, mine[x], y, theirs[y]) for x, y in pairs]
+        lengths = side.sparkSession.createDataFrame(to, f"n int, {own}_blocks int, {other}_n int, {other}_blocks int")
+        lengths = F.broadcast(lengths) if len(to) <= MAX_BROADCAST else lengths  # one row a pair of lengths, however many texts have them
+        own_block = F.pmod(F.xxhash64(f"{own}_id"), F.col(f"{own}_blocks")).cast("int").alias(f"{own}_block")
+        every = F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)).alias(f"{other}_block")
+        return side.join(lengths, "n").select(F.col("n").alias(f"{own}_n"), f"{own}_id", f"{own}_text", own_block, f"{other}_n", every)
 
     keys = ["l_n", "l_block", "r_n", "r_block"]
     a = dealt(left, "l", "r", counts[0], counts[1], able).groupBy(*keys)

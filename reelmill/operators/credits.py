@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelmill.functions.keys import alnum_key, ascii_key, duck, plain_key, word_key
-from reelmill.functions.similarity import duck_ratio, jaccard, ratio
+from reelmill.functions.similarity import best_jaccard, duck_ratio, ratio
 from reelmill.operators.names import _SQL_VARIANT, _sql_blacklist, _sql_junk, _sql_non_person, _sql_reason, blacklist_reason, is_junk, is_non_person, structural_reason, variant_score, words
 from reelmill.plans.registry import query
 
@@ -290,9 +290,9 @@ def missing_crew(credits: DataFrame, videos: DataFrame, people: DataFrame) -> Da
     """Crew names that no crew member of the title is near and that are no role title."""
     rows = credits.where((F.col("job") != "actor") & blacklist_reason(F.col("name")).isNull()).select("video_id", "name").distinct()
     rows = rows.join(videos.select("video_id", F.col("true_tconst").alias("tconst")), "video_id").withColumn("key", word_key("name"))
-    crew = people.where("category NOT IN ('actor', 'actress')").select("tconst", word_key("name").alias("ckey")).distinct()
-    scored = rows.join(crew, "tconst", "left").withColumn("s", F.coalesce(jaccard(F.col("key"), F.col("ckey")), F.lit(0.0)))
-    return scored.groupBy("video_id", "name").agg(F.round(F.max("s"), 6).alias("similarity")).where("similarity < 0.75")
+    crew = people.where("category NOT IN ('actor', 'actress')").select("tconst", word_key("name").alias("ckey"))
+    best = best_jaccard(rows, crew, ["video_id", "name"], "tconst").where("similarity < 0.75")
+    return best.select("video_id", "name", F.round("similarity", 6).alias("similarity"))
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelmill.functions.keys import alnum_key, duck, hit_key, name_key, word_key
-from reelmill.functions.similarity import duck_ratio, duck_sorted_tokens, fuzzy_join, jaccard, positional, ratio, sorted_tokens, token_sort_ratio
+from reelmill.functions.similarity import best_jaccard, duck_ratio, duck_sorted_tokens, fuzzy_join, jaccard, positional, ratio, sorted_tokens, token_sort_ratio
 from reelmill.plans.registry import query
 
 #: Readings by name key and the names that they stand for.
@@ -297,9 +297,9 @@ def missing_actors(lines: DataFrame, videos: DataFrame, people: DataFrame) -> Da
 
     grouped = lines.withColumn("lk", line_key("text")).where("lk <> ''").groupBy("video_id", "lk").agg(F.max_by("text", F.struct("confidence", -F.col("line_no"))).alias("text"), F.max("confidence").alias("confidence"), F.count("*").alias("seen"), F.min("first_seen").alias("first_seen"))
     keyed = grouped.withColumn("key", word_key("text")).where("length(key) - length(replace(key, ' ', '')) BETWEEN 1 AND 3 AND confidence >= 0.88 AND (seen >= 3 OR first_seen <= 45)")
-    cast = videos.select("video_id", F.col("true_tconst").alias("tconst")).join(people, "tconst").select("video_id", word_key("name").alias("ckey"))
-    scored = keyed.join(cast, "video_id", "left").withColumn("s", F.coalesce(jaccard(F.col("key"), F.col("ckey")), F.lit(0.0)))
-    best = scored.groupBy("video_id", "text", "confidence", "seen", "first_seen").agg(F.max("s").alias("similarity")).where("similarity < 0.75")
+    titled = keyed.join(videos.select("video_id", F.col("true_tconst").alias("tconst")), "video_id", "left").select("video_id", "text", "tconst", "key")
+    cast = people.select("tconst", word_key("name").alias("ckey"))
+    best = keyed.join(best_jaccard(titled, cast, ["video_id", "text"], "tconst", 4, longer=False).where("similarity < 0.75"), ["video_id", "text"])
     opening = F.col("first_seen") <= 45
     order = Window.partitionBy("video_id").orderBy(opening.desc(), F.col("seen").desc(), "text")
     return best.select("video_id", F.col("text").alias("name"), "confidence", F.col("seen").alias("seen_frames"), opening.alias("opening_credit"), F.round("similarity", 6).alias("similarity"), F.row_number().over(order).alias("position"))

@@ -138,3 +138,19 @@ def test_field_mismatch(spark):
 def test_stage_status(spark):
     df = spark.createDataFrame([("a", "ok"), ("a", "error"), ("b", "skipped"), ("b", "ok"), ("c", "skipped")], "job_id string, status string")
     assert {r["job_id"]: r["status"] for r in logs.stage_status(df).collect()} == {"a": "error", "b": "ok", "c": "skipped"}
+
+
+@pytest.mark.parametrize("most", [1, 2, 4])
+def test_best_jaccard_is_the_best_of_all_pairs(spark, most):
+    rng = random.Random(11)
+    text = lambda: " ".join(rng.choice("ada ben cem dan eva".split()) for _ in range(rng.randint(0, 6)))
+    left = [(i, i % 3, text()) for i in range(40)] + [(40, None, "ada"), (41, 9, "ada"), (42, 0, None)]
+    right = [(i % 3, text()) for i in range(20)] + [(0, None), (0, "ada ben"), (0, "ada ben")]
+    got = similarity.best_jaccard(spark.createDataFrame(left, "id long, g long, key string"), spark.createDataFrame(right, "g long, ckey string"), ["id"], "g", most)
+
+    def score(a, b):
+        x, y = set((a or "").split()), set((b or "").split())
+        return len(x & y) / len(x | y) if x and y else 0.0
+
+    want = {i: max((score(a, b) for h, b in right if h == g), default=0.0) for i, g, a in left}
+    assert {r["id"]: r["similarity"] for r in got.collect()} == pytest.approx(want)
