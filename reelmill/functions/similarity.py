@@ -129,7 +129,7 @@ def _subsets(tokens: Column, most: int) -> Column:
 
 def best_jaccard(left: DataFrame, right: DataFrame, ids: list[str], within: str, most: int = 4, longer: bool = True) -> DataFrame:
     """left (ids, within, key), right (within, ckey) -> (ids, similarity): the highest S4 of each left text with a right
-    text of its group. Left texts score 0 that are null or whose group has no right text; ids are not null.
+    text of its group. Left texts score 0 that are null or whose group has no right text.
 
     Texts meet on sets of tokens, not pair by pair: for each set that a right text of the group holds, the least number
     of tokens of such a text is enough, and the set that is their whole intersection gives the pair's own score. Left
@@ -138,15 +138,16 @@ def best_jaccard(left: DataFrame, right: DataFrame, ids: list[str], within: str,
     a = left.select(*ids, within, _tokens("key").alias("l")).withColumn("l_size", F.size("l"))
     b = right.select(within, _tokens("ckey").alias("r")).withColumn("r_size", F.size("r"))
     held = b.select(within, "r_size", F.inline(_subsets(F.col("r"), most))).groupBy(within, "token_set").agg(F.min("r_size").alias("r_size"))
-    asked = a.where(F.col("l_size") <= most).select(*ids, within, "l_size", F.inline(_subsets(F.col("l"), most)))
-    shared = asked.join(held, [within, "token_set"]).select(*ids, "l_size", "r_size", F.col("set_size").cast("long").alias("n"))
+    short = a.where((F.col("l_size") <= most) | F.col("l").isNull()) if longer else a
+    asked = short.select(*ids, within, "l_size", F.inline_outer(_subsets(F.col("l"), most)))
+    met = asked.join(held, [within, "token_set"], "left").select(*ids, "l_size", "r_size", F.col("set_size").cast("long").alias("n"))
     if longer:
         one = a.where(F.col("l_size") > most).select(*ids, within, "l_size", F.explode("l").alias("token"))
         two = b.select(within, F.array_sort("r").alias("r"), "r_size").distinct().select(within, "r", "r_size", F.explode("r").alias("token"))
-        met = one.join(two, [within, "token"]).groupBy(*ids, within, "r", "l_size", "r_size").agg(F.count("*").alias("n"))
-        shared = shared.unionByName(met.select(*ids, "l_size", "r_size", "n"))
-    best = shared.groupBy(*ids).agg(F.max(F.col("n") / (F.col("l_size") + F.col("r_size") - F.col("n"))).alias("s"))
-    return left.select(*ids).distinct().join(best, ids, "left").select(*ids, F.coalesce("s", F.lit(0.0)).alias("similarity"))
+        rest = one.join(two, [within, "token"], "left").groupBy(*ids, within, "r", "l_size", "r_size").agg(F.count("*").alias("n"))
+        met = met.unionByName(rest.select(*ids, "l_size", "r_size", "n"))
+    score = F.max(F.col("n") / (F.col("l_size") + F.col("r_size") - F.col("n")))
+    return met.groupBy(*ids).agg(F.coalesce(score, F.lit(0.0)).alias("similarity"))
 
 
 def positional(a: Column, b: Column) -> Column:
