@@ -78,3 +78,19 @@ def test_labelled_good_documents_stay(spark, small_docs, small):
     good = spark.read.parquet(f"{small}/labels.parquet").where("quality = 1 and toxic = 0").select("doc_id")
     got = quality.report(small_docs).join(good, "doc_id").where("n_words >= 50")
     assert got.where("NOT kept").count() == 0
+
+
+def test_labelled_bad_documents_with_high_ratios_go(spark, small_docs, small):
+    bad = spark.read.parquet(f"{small}/labels.parquet").where("quality = 0").select("doc_id")
+    got = quality.report(small_docs).join(bad, "doc_id").where("NOT base_failed")
+    assert got.where("NOT kept AND band_verdict LIKE 'repetitive%'").count() > 0
+
+
+def test_tail_and_single_full_chunk_are_judged(small_docs, spark, small):
+    good = spark.read.parquet(f"{small}/labels.parquet").where("quality = 1 and toxic = 0").select("doc_id")
+    clean = next(r["text"] for r in small_docs.join(good, "doc_id").orderBy("doc_id").collect() if len(r["text"]) > 7000)
+    press = zstandard.ZstdCompressor(level=3)
+    assert quality.measure(clean, press)[-1] is None
+    hidden = clean.encode()[:3300].decode("utf-8", "ignore") + "spam " * 320
+    *_, ratio, chunks, bad, verdict = quality.measure(hidden, press)
+    assert (chunks, bad, verdict) == (2, 2, "repetitive chunks") and ratio < 4.2
