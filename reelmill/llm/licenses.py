@@ -11,7 +11,6 @@ rule fits if its identifiers stand in it in the rule's order, and the first rule
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -236,23 +235,27 @@ class Recogniser:
     def __init__(self, params: Params):
         self.params = params
         self.trie: dict = {}
-        open_ = []
-        for name, sentence in params.sentences:
-            node, known = self.trie, normalise(sentence).split(" ")
-            for word in known:
+        where: dict[str, set[int]] = {}
+        for i, (name, sentence) in enumerate(params.sentences):
+            node = self.trie
+            for word in normalise(sentence).split(" "):
                 node = node.setdefault(word, {})
+                where.setdefault(word, set()).add(i)
             node.setdefault("", name)
-            open_.append(set(known))
         #: A sentence stands in a text word for word, so its longer words do; few of them cover all sentences.
-        self.anchors: list[str] = []
+        long = [w for w in where if len(w) > 5] or list(where)
+        covers = {w: set().union(*(found for x, found in where.items() if w in x)) for w in long}
+        open_, self.anchors = set(range(len(params.sentences))), []
         while open_:
-            worth = Counter(w for s in open_ for w in s if len(w) > 5 or max(map(len, s)) <= 5)
-            best = max(worth, key=lambda w: (sum(any(w in x for x in s) for s in open_) if worth[w] > 1 else 1, len(w), w))
+            best = max(covers, key=lambda w: (len(covers[w] & open_), w))
+            if not covers[best] & open_:
+                covers = {w: set(found) for w, found in where.items()}  # sentences of short words alone
+                continue
             self.anchors.append(best)
-            open_ = [s for s in open_ if not any(best in x for x in s)]
+            open_ -= covers[best]
         #: For each rule the earlier rules of other licences that hold it: where one of these fits it names nothing new.
         rules = params.rules
-        self.stricter = [[j for j in range(i) if rules[j][0] != name and _within(wanted, rules[j][1])] for i, (name, wanted) in enumerate(rules)]
+        self.stricter = [[j for j in range(i) if wanted[0] in rules[j][1] and rules[j][0] != name and _within(wanted, rules[j][1])] for i, (name, wanted) in enumerate(rules)]
 
     def sequence(self, text: str | None) -> list[str]:
         """Identifiers of the known sentences of a text, by position, shorter ones first."""
