@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -98,3 +100,84 @@ def test_labelers_are_weighed_by_their_agreement():
     assert chances[3, 1, 2] == pytest.approx(0.5, abs=0.06)
     guess = belief[np.searchsorted(unique, keys)] > 0.5
     assert (guess == truth).mean() > 0.95
+
+
+def test_spelled_addresses_are_candidates():
+    for text in ("jane.doe at mail (dot) com", "jane.doe (at) mail.example", "jane.doe[at]mail[dot]com", "jane at mail dot example dot org", "write jane.doe(at)mail(dot)com!"):
+        assert [text[a:b].strip("!").startswith("jane") for a, b in pii.spelled_emails(text)] == [True], text
+    for text in ("arrived at example.com", "look at mail and post", "at noon", "(at) x.com", ""):
+        assert list(pii.spelled_emails(text)) == [], text
+
+
+def test_no_labeler_has_a_veto():
+    """Failed checks and unknown names reach the models as votes against or without opinion."""
+    for text, kind, labeler, vote in [("iban DE00 1234 1234 1234 1234 00", "iban", 1, 0), ("ssn 000-12-3456", "ssn", 1, 0), ("The Quick fox", "name", 2, 1), ("on 45.13.1999 it", "birthdate", 1, 0)]:
+        (_, k, _, key), = pii.candidates(text, [])
+        assert pii.KINDS[k] == kind and pii._unpack(np.array([key]))[1][0, labeler] == vote, text
+
+
+def test_a_name_may_begin_at_the_second_capitalised_word():
+    text = "Contact Anna Smith or Call Mary Jones"
+    assert {text[a:b] for a, _, b, _ in pii.candidates(text, [])} >= {"Mary Jones"}
+    text = "Contact Mary Smith"
+    assert [text[a:b] for a, _, b, _ in pii.candidates(text, [])] == ["Mary Smith"]
+
+
+@pytest.mark.parametrize("unit", ["123-45-6789 ", "A", "a@b.c ", "1.", "+1 ", "jane (at) mail (dot) com ", "AB12", "1 Old ", "9"])
+def test_very_long_dense_texts_take_linear_time(unit):
+    text = unit * (300_000 // len(unit))
+    began = time.time()
+    pii.candidates(text, pii.base_spans(text))
+    assert time.time() - began < 5
+
+
+def planted(n, rng):
+    """(kind, is it personal data, text): spans of each kind in and out of context, and look-alikes."""
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    pick = lambda *options: rng.choice(options)
+    first, last = sorted(pii.FIRST_NAMES), "Lovelace Hopper Turing Curie Noether Gauss Euler".split()
+
+    def iban():
+        body = digits(18)
+        text = f"DE{98 - int(body + '131400') % 97:02d}{body}"
+        return " ".join(text[i : i + 4] for i in range(0, len(text), 4))
+
+    ssn = lambda: f"{rng.randint(100, 599)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}"
+    phone = lambda: f"{rng.randint(200, 999)}-{rng.randint(200, 999)}-{digits(4)}"
+    good = {
+        "email": lambda: pick(f"write to {rng.choice(last).lower()}.{digits(2)} (at) mail (dot) org now", f"contact {rng.choice(last).lower()} at post (dot) com please", f"reach me {rng.choice(last).lower()}[at]example.org today"),
+        "phone": lambda: pick(f"call ({rng.randint(200, 999)}) 555-{digits(4)} today", f"phone {phone()}", f"his mobile is {phone()} since"),
+        "ssn": lambda: pick(f"social security number {ssn()} on file", f"ssn: {ssn()}"),
+        "iban": lambda: pick(f"pay to account {iban()} soon", f"IBAN: {iban()}", f"the transfer to {iban()} arrived"),
+        "birthdate": lambda: pick(f"born {rng.randint(1, 28)}.{rng.randint(1, 12)}.{rng.randint(1930, 2005)} in town", f"date of birth: {rng.randint(1930, 2005)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}"),
+        "name": lambda: pick(f"signed by {rng.choice(first)} {rng.choice(last)} there", f"we saw {rng.choice(first)} {rng.choice(last)} again", f"and Mr Zoltan {rng.choice(last)} came"),
+        "address": lambda: pick(f"lives at {rng.randint(1, 999)} {pick('Baker', 'Old Mill', 'High')} {pick('Street', 'Road', 'Lane')} now", f"our address is {rng.randint(1, 99)} Elm Avenue"),
+    }
+    bad = {
+        "email": lambda: pick("arrived at example.com today", "look at mail and post", "(at) noon"),
+        "phone": lambda: pick(f"order {digits(3)}-{digits(3)}-{digits(4)} shipped", f"part number {digits(3)}.{digits(3)}.{digits(4)}"),
+        "ssn": lambda: pick(f"version {ssn()} of it", f"ssn 000-{digits(2)}-{digits(4)} is void", f"code 9{digits(2)}-{digits(2)}-{digits(4)}"),
+        "iban": lambda: pick(f"iban DE00 {digits(4)} {digits(4)} {digits(4)} {digits(4)} 0{digits(1)} is wrong", f"serial AB12 {digits(4)} {digits(4)} {digits(4)}"),
+        "birthdate": lambda: pick(f"invoice {rng.randint(30, 39)}.{rng.randint(13, 29)}.{rng.randint(1930, 2005)} is", f"release {rng.randint(1930, 2005)}-{rng.randint(13, 39)}-{rng.randint(32, 38)}"),
+        "name": lambda: pick("then The Quick fox ran", "Old King Cole sat", "see Section Two Begins here"),
+        "address": lambda: pick(f"page {rng.randint(1, 99)} Great Way of it", f"section {rng.randint(1, 99)} Open Court rules"),
+    }
+    return [(kind, truth, f"words go on here\n{source[kind]()}\nand there") for kind in good for _ in range(n) for truth, source in ((True, good), (False, bad))]
+
+
+def test_recall_and_precision_on_planted_spans(spark, small_docs, make_docs):
+    rows = planted(150, random.Random(4))
+    docs = small_docs.select("doc_id", "text").unionByName(make_docs([(10_000 + i, t) for i, (_, _, t) in enumerate(rows)]).select("doc_id", "text"))
+    found = {r["doc_id"]: {pii.KINDS[s["kind"]] for s in r["added"]} for r in pii.find(docs).collect()}
+    for kind in {k for k, _, _ in rows}:
+        hits = [(truth, kind in found[10_000 + i]) for i, (k, truth, _) in enumerate(rows) if k == kind]
+        caught, wrong = sum(t and h for t, h in hits), sum(h and not t for t, h in hits)
+        print(kind, "recall", caught / 150, "precision", caught / max(1, caught + wrong))
+        assert caught >= 0.9 * 150 and wrong <= 0.1 * 150, kind
+
+
+def test_gazetteers_come_from_tables(spark, make_docs):
+    table = spark.createDataFrame([("Zaphod",), ("Zaphod",), (None,)], "name string")
+    params = pii.Params(first_names=pii.gazetteer(table, "name"))
+    (_, _, _, key), = pii.candidates("we met Zaphod Beeblebrox there", [], params)
+    assert params.first_names == {"Zaphod"} and pii._unpack(np.array([key]))[1][0, 2] == 2
