@@ -51,3 +51,42 @@ def test_bounds_prune_without_loss():
     got = topk.search_block(rows[:20], ids[:20], rows, ids)
     want = [(q, i, int(s)) for q in range(20) for s, i in sorted(((-(rows[q] @ rows[i])), i) for i in ids if i != q)[:5] for s in [-s]]
     assert got == want
+
+
+def test_scores_past_exact_doubles_keep_the_bound():
+    """One large component changes neither the result nor, by much, the time."""
+    import time
+
+    rng = np.random.default_rng(2)
+    rows = np.floor(rng.normal(size=(4096, 64)) * 300)
+    ids = np.arange(4096)
+    rows[17, 3] = 2.0**26
+    began = time.time()
+    got = topk.search_block(rows[:20], ids[:20], rows, ids)
+    assert time.time() - began < 2
+    whole = [[int(x) for x in r] for r in rows]
+    want = [(q, i, -s) for q in range(20) for s, i in sorted((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in range(4096) if i != q)[:5]]
+    assert got == want
+
+
+def test_scores_past_long_are_ranked_in_full(spark):
+    rows = [(i, [float(2.0 ** (40 + i % 7)), -1.0 * (i % 3), 3e38 if i % 11 == 0 else 1.0]) for i in range(120)] + [(500, [-3e38, 0.0, -3e38]), (550, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
+    clip = lambda s: max(-topk.LARGEST, min(topk.LARGEST, s))
+    for params in (topk.Params(), topk.Params(query_block=2, candidate_block=9, seeds=3)):
+        assert sorted(map(tuple, topk.top_k(df, params).collect())) == [(q, r, i, clip(s)) for q, r, i, s in slow(rows)]
+
+
+def test_repeated_ids_and_query_blocks(spark):
+    rng = np.random.default_rng(8)
+    rows = [(50 * (i % 4), [float(x) for x in rng.normal(size=6)]) for i in range(60)] + [(i, [float(x) for x in rng.normal(size=6)]) for i in range(1, 40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = topk.top_k(df).collect()
+    assert sorted(map(tuple, topk.top_k(df, topk.Params(query_block=7, candidate_block=10, seeds=11, dimension_block=2)).collect())) == sorted(map(tuple, want))
+    assert all(r["query_id"] != r["vec_id"] for r in want) and len(want) == 20
+
+
+def test_order_of_scores_as_text():
+    scores = [-(10**40), -(2**63), -100, -99, -10, -9, -1, 0, 1, 9, 10, 99, 2**63, 10**40]
+    assert sorted(scores, key=topk._order) == scores
