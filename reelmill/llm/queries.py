@@ -29,7 +29,8 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge(pages, listed=urls.listed_hosts(pages))
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

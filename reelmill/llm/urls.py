@@ -6,8 +6,9 @@ holds by mistake by level 2, and so on until a level has no mistakes. A key's an
 that doesn't hold it. Pages are then judged by bit tests on their host, without a join.
 
 Building works on distinct hosts only: levels are bit_or sums over 64-bit words on Spark, one narrow shuffle a level.
-The levels travel to the executors only while their bytes stay within `max_filter_bytes`; past that the same question
-is a left join on the distinct listed hosts.
+A cascade whose levels would pass `max_filter_bytes` is dealt into parts by a hash of the key, each with levels of its
+own; parts travel to the executors one after the other, and each marks its own hosts in a pass over the pages' hosts.
+There is no join at any size; memory stays within one part, and passes grow with the listed hosts.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelmill.llm._shared import LOWER, UPPER, materialize
+from reelmill.llm._shared import LOWER, UPPER, discard, materialize
 
 #: Fixed values: (rule, host, path prefix, verdict); of the rules that fit a url the longest decides.
 RULES = (
@@ -36,14 +37,18 @@ LISTED_LABELS = ("ads-track", "cheap-pills", "free-bets", "spam-farm")
 
 @dataclass(frozen=True)
 class Params:
-    """bits: of filter for each key of a level; hashes: bits set for each key."""
+    """bits: of filter for each key of a level; hashes: bits set for each key; max_filter_bytes: of the levels of one part,
+    which the driver and each task hold."""
 
     bits: int = 10
     hashes: int = 5
-    max_levels: int = 64
     max_filter_bytes: int = 64 << 20
 
 
+#: Levels after which a cascade counts as never ending: only two keys with the same 128 bits of hashes lead there.
+MAX_LEVELS = 1000
+
+
 def url_parts(url: Column) -> tuple[Column, Column]:
     """(host, path) of a url: host after the first :// up to / ? # or the end, A-Z lower-cased; path from there up to ? or #."""
     at = F.instr(url, "://")
@@ -63,10 +68,17 @@ def rule_for(host: Column, path: Column) -> Column:
     return found
 
 
-def listed_hosts(hosts: DataFrame) -> DataFrame:
-    """hosts (host) -> and listed: has it a label of LISTED_LABELS?"""
-    labels = F.split("host", r"\.", -1)
-    return hosts.withColumn("listed", F.arrays_overlap(labels, F.array(*map(F.lit, LISTED_LABELS))))
+def parts_of(pages: DataFrame) -> DataFrame:
+    """(page_id, host, path, h1, h2): each page's url in parts, with two hashes of its host."""
+    host, path = url_parts(F.col("url"))
+    parts = pages.select("page_id", host.alias("host"), path.alias("path"))
+    return parts.select("*", F.xxhash64("host").alias("h1"), F.xxhash64(F.lit(1), "host").alias("h2"))
+
+
+def listed_hosts(pages: DataFrame, labels: tuple[str, ...] = LISTED_LABELS) -> DataFrame:
+    """(host): the hosts of pages of which a label is one of `labels`, once each: a list for judge()."""
+    found = F.arrays_overlap(F.split("host", r"\.", -1), F.array(*map(F.lit, labels)))
+    return parts_of(pages).where(found).select("host").distinct()
 
 
 def _positions(h1: np.ndarray, h2: np.ndarray, level: int, bits: int, hashes: int) -> np.ndarray:
@@ -124,7 +136,7 @@ def _encode(keys: DataFrame, level: int, words: int, hashes: int) -> np.ndarray:
 
     found = keys.select("h1", "h2").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
     out = np.zeros(words, dtype=np.uint64)
-    table = found.toArrow()  # at most `words` rows, whose bytes the caller has checked
+    table = found.toArrow()  # at most `words` rows of one part
     out[table.column("word").to_numpy()] = table.column("bits").to_numpy().astype(np.int64).view(np.uint64)
     return out
 
@@ -140,51 +152,66 @@ def _split(keys: DataFrame, words: np.ndarray, level: int, hashes: int) -> DataF
     return keys.select("h1", "h2").mapInArrow(run, "h1 long, h2 long")
 
 
-def build(universe: DataFrame, params: Params = Params()) -> Cascade | None:
-    """universe (h1, h2, listed), distinct keys -> the cascade, or None where its bytes would pass max_filter_bytes."""
-    counts = {r["listed"]: r["n"] for r in universe.groupBy("listed").agg(F.count("*").alias("n")).collect()}
+def build(universe: DataFrame, params: Params = Params()) -> Cascade:
+    """universe (h1, h2, listed), distinct keys -> the cascade."""
     inside, outside = universe.where("listed").select("h1", "h2"), universe.where("NOT listed").select("h1", "h2")
-    n_in, levels, used = counts.get(True, 0), [], 0
-    while n_in and len(levels) < params.max_levels:
+    n_in, levels, held = inside.count(), [], []
+    while n_in:
+        if len(levels) == MAX_LEVELS:
+            raise RuntimeError("a listed and an unlisted host share both hashes")
         words = math.ceil(n_in * params.bits / 64) + 1
-        used += 8 * words
-        if used > params.max_filter_bytes:
-            return None
         levels.append(_encode(inside, len(levels), words, params.hashes))
         wrong = materialize(_split(outside, levels[-1], len(levels) - 1, params.hashes), "cascade-level")
+        held.append(wrong)
         inside, outside, n_in = wrong, inside, wrong.count()
-    return None if n_in else Cascade(tuple(levels), params.hashes)
+    for table in held:
+        discard(table)
+    return Cascade(tuple(levels), params.hashes)
+
 
+def _marked(parts: DataFrame, cascade: Cascade, part: int, count: int) -> DataFrame:
+    """parts with listed set for the hosts of one part of the cascade."""
+    sent = parts.sparkSession.sparkContext.broadcast(cascade)
+    at = parts.columns.index("listed")
 
-def judge(pages: DataFrame, params: Params = Params()) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h1, h2 = _as_uint(batch.column("h1")), _as_uint(batch.column("h2"))
+            listed = batch.column(at).to_numpy(zero_copy_only=False).copy()
+            mine = np.flatnonzero(h2.view(np.int64) % count == part)
+            listed[mine] = sent.value.contains(h1[mine], h2[mine])
+            yield pa.RecordBatch.from_arrays([pa.array(listed) if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
+
+    return parts.mapInArrow(run, parts.schema)
+
+
+def judge(pages: DataFrame, params: Params = Params(), listed: DataFrame | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict) for every row of pages.
 
-    A rule's verdict counts first; else the page is blocked where its host is listed. Null urls and urls without ://
-    have empty host and path, fit no rule and are allowed. Repeated rows are judged alike, an empty table gives an
-    empty table, other columns are not read.
+    listed (host): the listed hosts, by default those of listed_hosts(pages); repeats and nulls count for nothing, hosts that no page has change nothing, and only hosts
+    as they stand count, not their subdomains. A rule's verdict counts first; else the page is blocked where its host is
+    listed. Null urls and urls without :// have empty host and path, fit no rule and are allowed, unless the empty host is
+    listed. Of rules that fit the longest counts; no two are equally long. Urls of any length are read whole. Repeated rows are
+    judged alike, an empty table gives an empty table, other columns are not read. Answers are exact for the hosts of
+    these pages; other pages need a cascade of their own.
     """
-    spark = pages.sparkSession
-    host, path = url_parts(F.col("url"))
-    parts = pages.select("page_id", host.alias("host"), path.alias("path"))
-    parts = parts.select("*", F.xxhash64("host").alias("h1"), F.xxhash64(F.lit(1), "host").alias("h2"), rule_for(F.col("host"), F.col("path")).alias("rule"))
-    hosts = listed_hosts(parts.select("host", "h1", "h2").distinct())
-    universe = materialize(hosts, "hosts")
-    cascade = build(universe, params)
-    if cascade is None:
-        listed = universe.where("listed").select(F.col("host").alias("__host"), F.lit(True).alias("listed"))
-        marked = parts.join(listed, parts["host"] == listed["__host"], "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
-    else:
-        sent = spark.sparkContext.broadcast(cascade)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = sent.value.contains(_as_uint(batch.column("h1")), _as_uint(batch.column("h2")))
-                yield batch.append_column("listed", pa.array(found))
-
-        marked = parts.mapInArrow(run, "page_id long, host string, path string, h1 long, h2 long, rule string, listed boolean")
+    parts = parts_of(pages).withColumn("rule", rule_for(F.col("host"), F.col("path"))).withColumn("listed", F.lit(False))
+    listed = listed_hosts(pages) if listed is None else listed
+    found = listed.where(F.col("host").isNotNull()).select("host").distinct().withColumn("listed", F.lit(True))
+    named = found.select(F.xxhash64("host").alias("h1"), F.xxhash64(F.lit(1), "host").alias("h2"), "listed")
+    keys = parts.select("h1", "h2", "listed").unionByName(named)
+    both = keys.groupBy("h1", "h2").agg(F.bool_or("listed").alias("listed"), F.bool_or(~F.col("listed")).alias("seen"))
+    universe = materialize(both.where("seen").select("h1", "h2", "listed"), "hosts")
+    n = universe.where("listed").count()
+    count = max(1, math.ceil(2 * n * params.bits / 8 / params.max_filter_bytes))  # later levels are a small part of the first
+    for part in range(count):
+        mine = universe.where(F.pmod("h2", F.lit(count)) == part)
+        parts = _marked(parts, build(mine, params), part, count)
+        if count > 1:
+            parts = materialize(parts, "marked-pages")
     ruled = F.create_map(*[F.lit(x) for rule, _, _, verdict in RULES for x in (rule, verdict)])
     own = F.when(F.col("listed"), "block").otherwise("allow")
-    return marked.select("page_id", "host", "path", "rule", F.coalesce(F.element_at(ruled, F.col("rule")), own).alias("verdict"))
+    return parts.select("page_id", "host", "path", "rule", F.coalesce(F.element_at(ruled, F.col("rule")), own).alias("verdict"))
 
 
 ORACLE_SQL = r"""

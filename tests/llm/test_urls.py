@@ -48,3 +48,17 @@ def test_cascade_is_exact(spark, n, listed):
     got = cascade.contains(keys[:, 0].copy().view(np.uint64), keys[:, 1].copy().view(np.uint64))
     assert got.tolist() == [i < listed for i in range(n)]
     assert listed != 700 or len(cascade.levels) > 2
+
+
+@pytest.mark.parametrize("params", [urls.Params(), urls.Params(max_filter_bytes=256)])
+def test_hosts_come_from_a_table(spark, params):
+    pages = spark.createDataFrame([(i, f"http://h{i % 700}.example/") for i in range(1500)] + [(9000, None), (9001, "http://h1.example.x")], "page_id long, url string")
+    listed = spark.createDataFrame([(f"h{i}.example",) for i in range(0, 900, 3)] + [(None,), ("h3.example",), ("nowhere",)], "host string")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(pages, params, listed).collect()}
+    assert got == {**{i: "block" if i % 700 % 3 == 0 else "allow" for i in range(1500)}, 9000: "allow", 9001: "allow"}
+
+
+def test_no_page_is_joined(spark, small):
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    for params in (urls.Params(), urls.Params(max_filter_bytes=64)):
+        assert "Join" not in urls.judge(pages, params)._jdf.queryExecution().toString()
