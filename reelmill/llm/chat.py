@@ -1,23 +1,27 @@
-"""Chat formatting: a compiler for a small, sandboxed template language.
+"""Chat formatting: a compiler for a sandboxed template language.
 
 A template is parsed into a syntax tree, constants are folded, and the tree becomes Python closures that yield the
 output piece by piece. `{% generation %}` blocks mark what a model is trained on. Templates see only the variables
-they are given, dictionary entries of these, and the filters below: no calls, no attributes of Python objects, no
-imports.
+they are given, entries of these, and the filters, tests, functions and text methods listed below: no other calls, no
+attributes of Python objects, no imports. What the language lacks is an error when the template is compiled.
 
-    text    := anything else
+    text    := anything else; {# comments #} give nothing
     output  := {{ expr }}
     if      := {% if expr %} .. {% elif expr %} .. {% else %} .. {% endif %}
-    for     := {% for name in expr %} .. {% endfor %}     (loop.index, loop.index0, loop.first)
+    for     := {% for name[, name] in expr [if expr] %} .. [{% else %} ..] {% endfor %}     (loop: see LOOP)
+    set     := {% set name = expr %}, {% set name.entry = expr %} for a namespace
     mark    := {% generation %} .. {% endgeneration %}
-    expr    := or, and, not, == != , ~ (joins texts), names, name.entry, name['entry'], 'text', numbers, (expr), expr | filter
+    expr    := expr if expr else expr; or, and, not; == != < <= > >=, in, not in, is [not] test; + -; ~ (joins texts);
+               * // / %; -x; x.entry, x[expr], x[from:to:step], x | filter(args), x.method(args), function(args);
+               names, 'text', numbers, true, false, none, [list], {'key': value}, (expr)
 
-A `-` inside a delimiter strips white space on that side.
+A `-` inside a delimiter strips white space on that side. A name set in a loop is forgotten after the turn of the loop.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -54,35 +58,161 @@ def unescape(text: str) -> str:
     return re.sub(r"\\\\|\\", lambda m: "\\" if len(m.group()) == 2 else "", text)
 
 
-FILTERS: dict[str, Callable[[Any], Any]] = {
-    "escape": lambda v: escape(_show(v)),
-    "trim": lambda v: _show(v).strip(),
-    "upper": lambda v: _show(v).upper(),
-    "lower": lambda v: _show(v).lower(),
-    "length": lambda v: len(v) if isinstance(v, (str, list, dict)) else 0,
-}
+class TemplateError(ValueError):
+    """A template that doesn't follow the grammar, or that raises while it renders."""
 
 
-class TemplateError(ValueError):
-    """A template that doesn't follow the grammar."""
+class _Missing:
+    """The value of a name or entry that isn't there: false, shown as nothing."""
+
+    def __bool__(self) -> bool:
+        return False
+
+
+MISSING = _Missing()
+
+
+class Namespace(dict):
+    """What namespace(..) makes: entries that {% set name.entry = .. %} may change, also from within loops."""
 
 
 def _show(value: Any) -> str:
-    if value is None:
+    if value is None or value is MISSING:
         return ""
     return ("true" if value else "false") if isinstance(value, bool) else str(value)
 
 
+def _raise(message: Any = "") -> None:
+    raise TemplateError(_show(message))
+
+
+def _range(*ends: int) -> list[int]:
+    found = range(*ends)
+    return list(found) if len(found) <= 1_000_000 else _raise("a range is too long")
+
+
+def _default(value: Any, other: Any = "", also_false: bool = False) -> Any:
+    return other if value is MISSING or also_false and not value else value
+
+
+def _replace(value: Any, old: str, new: str) -> str:
+    return _show(value).replace(_show(old), _show(new))
+
+
+def _json(value: Any, indent: int | None = None) -> str:
+    return json.dumps(None if value is MISSING else value, ensure_ascii=False, indent=indent)
+
+
+FILTERS: dict[str, Callable[..., Any]] = {
+    "escape": lambda v: escape(_show(v)),
+    "trim": lambda v: _show(v).strip(),
+    "upper": lambda v: _show(v).upper(),
+    "lower": lambda v: _show(v).lower(),
+    "capitalize": lambda v: _show(v).capitalize(),
+    "title": lambda v: _show(v).title(),
+    "string": _show,
+    "int": lambda v, other=0: int(v) if re.fullmatch(r"\s*-?\d+\s*", _show(v)) else other,
+    "length": lambda v: len(v) if isinstance(v, (str, list, dict)) else 0,
+    "first": lambda v: v[0] if isinstance(v, (str, list)) and v else MISSING,
+    "last": lambda v: v[-1] if isinstance(v, (str, list)) and v else MISSING,
+    "list": lambda v: list(v or ()),
+    "items": lambda v: [[k, x] for k, x in v.items()] if isinstance(v, dict) else [],
+    "join": lambda v, between="": _show(between).join(map(_show, v or ())),
+    "replace": _replace,
+    "default": _default,
+    "tojson": _json,
+}
+TESTS: dict[str, Callable[[Any], bool]] = {
+    "defined": lambda v: v is not MISSING,
+    "undefined": lambda v: v is MISSING,
+    "none": lambda v: v is None,
+    "string": lambda v: isinstance(v, str),
+    "number": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool),
+    "boolean": lambda v: isinstance(v, bool),
+    "mapping": lambda v: isinstance(v, dict),
+    "sequence": lambda v: isinstance(v, (str, list, dict)),
+    "iterable": lambda v: isinstance(v, (str, list, dict)),
+    "true": lambda v: v is True,
+    "false": lambda v: v is False,
+    "odd": lambda v: isinstance(v, int) and v % 2 == 1,
+    "even": lambda v: isinstance(v, int) and v % 2 == 0,
+}
+FUNCTIONS: dict[str, Callable[..., Any]] = {"namespace": Namespace, "raise_exception": _raise, "range": _range}
+METHODS: dict[str, Callable[..., Any]] = {
+    "strip": lambda v, chars=None: _show(v).strip(chars),
+    "lstrip": lambda v, chars=None: _show(v).lstrip(chars),
+    "rstrip": lambda v, chars=None: _show(v).rstrip(chars),
+    "upper": FILTERS["upper"],
+    "lower": FILTERS["lower"],
+    "title": FILTERS["title"],
+    "startswith": lambda v, start: _show(v).startswith(_show(start)),
+    "endswith": lambda v, end: _show(v).endswith(_show(end)),
+    "replace": _replace,
+    "split": lambda v, between=None: _show(v).split(between),
+    "items": FILTERS["items"],
+    "keys": lambda v: list(v) if isinstance(v, dict) else [],
+    "values": lambda v: list(v.values()) if isinstance(v, dict) else [],
+    "get": lambda v, key, other=None: v.get(key, other) if isinstance(v, dict) else other,
+}
+#: What a loop tells of its turn. Its length is unknown while its input still arrives.
+LOOP = ("index", "index0", "first", "last", "previtem", "nextitem")
+
+
 @dataclass(frozen=True)
 class Node:
-    """kind: const, name, entry, filter, not, and, or, ==, !=, ~; out, if, for, mark, seq."""
+    """An expression (const, name, entry, slice, filter, test, call, method, list, dict, cond, not, neg or an operator) or a
+    statement (out, if, for, set, put, mark, seq)."""
 
     kind: str
     parts: tuple
 
 
-_EXPR = re.compile(r"\s*(?:(?P<text>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<number>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|[~|.()\[\]]))")
-_TAG = re.compile(r"\{\{(-?)(.*?)(-?)\}\}|\{%(-?)(.*?)(-?)%\}", re.DOTALL)
+_EXPR = re.compile(r"\s*(?:(?P<text>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<number>\d+(?:\.\d+)?)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|//|[<>~|.,:()\[\]{}=+*/%-]))", re.DOTALL)
+_TAG = re.compile(r"\{\{(-?)(.*?)(-?)\}\}|\{%(-?)(.*?)(-?)%\}|\{#(-?)(.*?)(-?)#\}", re.DOTALL)
+
+
+def _add(a: Any, b: Any) -> Any:
+    for kind in (str, list, (int, float)):
+        if isinstance(a, kind) and isinstance(b, kind):
+            return a + b
+    raise TemplateError(f"{_show(a)!r} and {_show(b)!r} can't be added")
+
+
+def _number(apply: Callable[[Any, Any], Any]) -> Callable[[Any, Any], Any]:
+    def run(a: Any, b: Any) -> Any:
+        if isinstance(a, (int, float)) and isinstance(b, (int, float)):
+            return apply(a, b)
+        raise TemplateError("only numbers can be reckoned with")
+
+    return run
+
+
+def _compared(apply: Callable[[Any, Any], bool]) -> Callable[[Any, Any], bool]:
+    def run(a: Any, b: Any) -> bool:
+        if isinstance(a, str) and isinstance(b, str) or isinstance(a, (int, float)) and isinstance(b, (int, float)):
+            return apply(a, b)
+        raise TemplateError("only two numbers or two texts can be compared")
+
+    return run
+
+
+OPERATORS: dict[str, Callable[[Any, Any], Any]] = {
+    "==": lambda a, b: a == b,
+    "!=": lambda a, b: a != b,
+    "<": _compared(lambda a, b: a < b),
+    "<=": _compared(lambda a, b: a <= b),
+    ">": _compared(lambda a, b: a > b),
+    ">=": _compared(lambda a, b: a >= b),
+    "in": lambda a, b: a in b if isinstance(b, (list, dict)) or isinstance(b, str) and isinstance(a, str) else False,
+    "+": _add,
+    "-": _number(lambda a, b: a - b),
+    "*": _number(lambda a, b: a * b),
+    "/": _number(lambda a, b: a / b if b else _raise("division by zero")),
+    "//": _number(lambda a, b: a // b if b else _raise("division by zero")),
+    "%": _number(lambda a, b: a % b if b else _raise("division by zero")),
+    "~": lambda a, b: _show(a) + _show(b),
+}
+_RESERVED = {"if", "else", "in", "is", "and", "or", "not"}
 
 
 class _Expression:
@@ -113,12 +243,29 @@ class _Expression:
             raise TemplateError(f"{value!r} is missing")
         self.at += 1
 
+    def _named(self, known: dict, what: str) -> str:
+        kind, value = self._take()
+        if kind != "name" or value not in known:
+            raise TemplateError(f"no {what} {value!r}")
+        return value
+
     def whole(self) -> Node:
-        node = self.any()
+        node = self.choice()
         if self.at != len(self.tokens):
             raise TemplateError(f"unexpected {self.tokens[self.at][1]!r}")
         return node
 
+    def choice(self) -> Node:
+        node = self.any()
+        while self._is("if"):
+            self._take()
+            test, other = self.any(), Node("const", (MISSING,))
+            if self._is("else"):
+                self._take()
+                other = self.choice()
+            node = Node("cond", (test, node, other))
+        return node
+
     def any(self) -> Node:
         node = self.all()
         while self._is("or"):
@@ -137,51 +284,138 @@ class _Expression:
         if self._is("not"):
             self._take()
             return Node("not", (self.negated(),))
-        node = self.joined()
-        while self._is("==", "!="):
-            node = Node(self._take()[1], (node, self.joined()))
+        return self.compared()
+
+    def compared(self) -> Node:
+        node = self.summed()
+        while self._is("==", "!=", "<", "<=", ">", ">=", "in", "not", "is"):
+            op = self._take()[1]
+            if op == "is":
+                negative = self._is("not") and bool(self._take())
+                node = Node("test", (node, self._named(TESTS, "test")))
+                node = Node("not", (node,)) if negative else node
+            elif op == "not":
+                self._want("in")
+                node = Node("not", (Node("in", (node, self.summed())),))
+            else:
+                node = Node(op, (node, self.summed()))
         return node
 
+    def _chain(self, ops: tuple[str, ...], inner: Callable[[], Node]) -> Node:
+        node = inner()
+        while self._is(*ops):
+            node = Node(self._take()[1], (node, inner()))
+        return node
+
+    def summed(self) -> Node:
+        return self._chain(("+", "-"), self.joined)
+
     def joined(self) -> Node:
-        node = self.filtered()
-        while self._is("~"):
+        return self._chain(("~",), self.multiplied)
+
+    def multiplied(self) -> Node:
+        return self._chain(("*", "/", "//", "%"), self.signed)
+
+    def signed(self) -> Node:
+        if self._is("-"):
             self._take()
-            node = Node("~", (node, self.filtered()))
-        return node
+            return Node("neg", (self.signed(),))
+        return self.filtered()
+
+    def _arguments(self) -> tuple[tuple[str, Node], ...]:
+        """(name or '', value) of each argument, behind an opening bracket."""
+        found: list[tuple[str, Node]] = []
+        while not self._is(")"):
+            name = ""
+            if self.at + 1 < len(self.tokens) and self.tokens[self.at][0] == "name" and self.tokens[self.at + 1] == ("op", "="):
+                name = self._take()[1]
+                self._take()
+            found.append((name, self.choice()))
+            if not self._is(")"):
+                self._want(",")
+        self._want(")")
+        return tuple(found)
 
     def filtered(self) -> Node:
         node = self.atom()
         while self._is("|", ".", "["):
             op = self._take()[1]
-            kind, value = self._take()
             if op == "[":
-                if kind != "text":
-                    raise TemplateError("an entry's name is a text")
-                node = Node("entry", (node, _literal(value)))
-                self._want("]")
-            elif kind != "name":
-                raise TemplateError(f"a name is missing after {op!r}")
-            elif op == ".":
-                node = Node("entry", (node, value))
-            elif value in FILTERS:
-                node = Node("filter", (node, value))
+                node = self._bracket(node)
+            elif op == "|":
+                name = self._named(FILTERS, "filter")
+                arguments = self._arguments() if self._is("(") and self._take() else ()
+                node = Node("filter", (node, name, arguments))
             else:
-                raise TemplateError(f"no filter {value!r}")
+                kind, name = self._take()
+                if kind != "name":
+                    raise TemplateError("a name is missing after '.'")
+                if self._is("("):
+                    self._take()
+                    if name not in METHODS:
+                        raise TemplateError(f"no method {name!r}")
+                    node = Node("method", (node, name, self._arguments()))
+                else:
+                    if node == Node("name", ("loop",)) and name not in LOOP:
+                        raise TemplateError(f"a loop has no {name!r}")
+                    node = Node("entry", (node, Node("const", (name,))))
         return node
 
+    def _bracket(self, node: Node) -> Node:
+        ends: list[Node | None] = [None]
+        while not self._is("]"):
+            if self._is(":"):
+                self._take()
+                ends.append(None)
+            elif ends[-1] is None:
+                ends[-1] = self.choice()
+            else:
+                break
+        self._want("]")
+        if len(ends) > 3 or ends == [None]:
+            raise TemplateError("not an entry or a slice")
+        if len(ends) == 1:
+            return Node("entry", (node, ends[0]))
+        return Node("slice", (node, *(e or Node("const", (None,)) for e in (*ends, None)[:3])))
+
     def atom(self) -> Node:
         kind, value = self._take()
         if kind == "text":
             return Node("const", (_literal(value),))
         if kind == "number":
-            return Node("const", (int(value),))
+            return Node("const", (float(value) if "." in value else int(value),))
         if value == "(":
-            node = self.any()
+            node = self.choice()
             self._want(")")
             return node
-        if kind == "name":
-            fixed = {"true": True, "false": False, "none": None}
-            return Node("const", (fixed[value],)) if value in fixed else Node("name", (value,))
+        if value == "[":
+            items = []
+            while not self._is("]"):
+                items.append(self.choice())
+                if not self._is("]"):
+                    self._want(",")
+            self._want("]")
+            return Node("list", tuple(items))
+        if value == "{":
+            pairs: list[Node] = []
+            while not self._is("}"):
+                pairs.append(self.choice())
+                self._want(":")
+                pairs.append(self.choice())
+                if not self._is("}"):
+                    self._want(",")
+            self._want("}")
+            return Node("dict", tuple(pairs))
+        if kind == "name" and value not in _RESERVED:
+            fixed = {"true": True, "false": False, "none": None, "True": True, "False": False, "None": None}
+            if value in fixed:
+                return Node("const", (fixed[value],))
+            if self._is("("):
+                self._take()
+                if value not in FUNCTIONS:
+                    raise TemplateError(f"no function {value!r}")
+                return Node("call", (value, self._arguments()))
+            return Node("name", (value,))
         raise TemplateError(f"unexpected {value!r}")
 
 
@@ -189,20 +423,27 @@ def _literal(quoted: str) -> str:
     return re.sub(r"\\(.)", lambda m: {"n": "\n", "t": "\t"}.get(m[1], m[1]), quoted[1:-1], flags=re.DOTALL)
 
 
-def parse(template: str) -> Node:
-    """The syntax tree of a template."""
+def parse(template: str, trim_blocks: bool = False, lstrip_blocks: bool = False) -> Node:
+    """The syntax tree of a template. trim_blocks: the line end behind a {% tag %} goes; lstrip_blocks: white space that alone
+    stands before one on its line goes."""
     pieces: list[tuple[str, str]] = []
-    at, strip = 0, False
-    for tag in _TAG.finditer(template):
-        text = template[at : tag.start()]
-        text = text.lstrip() if strip else text
-        text = text.rstrip() if tag[1] or tag[4] else text
-        pieces += [("text", text), ("out", tag[2]) if tag[2] is not None else ("tag", tag[5].strip())]
-        at, strip = tag.end(), bool(tag[3] or tag[6])
-    pieces.append(("text", template[at:].lstrip() if strip else template[at:]))
-    for kind, text in pieces:
-        if kind == "text" and ("{%" in text or "{{" in text):
+    at, strip, block = 0, False, False
+    for tag in (*_TAG.finditer(template), None):
+        text = template[at : tag.start()] if tag else template[at:]
+        text = text.lstrip() if strip else text.removeprefix("\n") if block and trim_blocks else text
+        if tag:
+            kind = next(k for k, n in (("out", 2), ("tag", 5), ("note", 8)) if tag[n] is not None)
+            if tag[1] or tag[4] or tag[7]:
+                text = text.rstrip()
+            elif lstrip_blocks and kind != "out":
+                text = re.sub(r"(^|\n)[ \t]+$" if at == 0 or "\n" in text else r"(?!)", r"\1", text)
+        if "{%" in text or "{{" in text or "{#" in text:
             raise TemplateError("a tag isn't closed")
+        pieces.append(("text", text))
+        if tag:
+            if kind != "note":
+                pieces.append((kind, tag[2] if kind == "out" else tag[5].strip()))
+            at, strip, block = tag.end(), bool(tag[3] or tag[6] or tag[9]), kind != "out"
     node, rest, closer = _sequence(pieces, 0, ())
     if closer:
         raise TemplateError(f"unexpected {closer!r}")
@@ -219,15 +460,30 @@ def _sequence(pieces: list[tuple[str, str]], at: int, closers: tuple[str, ...])
         elif kind == "out":
             found.append(Node("out", (_Expression(body).whole(),)))
         else:
-            word, _, rest = body.partition(" ")
+            word, rest = (re.match(r"(\w*)(.*)", body, re.DOTALL) or _raise("an empty tag")).groups()
             if word in closers:
                 return Node("seq", tuple(found)), at, body
             if word == "for":
-                loop = re.fullmatch(r"([A-Za-z_]\w*)\s+in\s+(.*)", rest.strip(), re.DOTALL)
+                loop = re.fullmatch(r"\s*([A-Za-z_]\w*(?:\s*,\s*[A-Za-z_]\w*)*)\s+in\s+(.*)", rest, re.DOTALL)
                 if not loop:
                     raise TemplateError(f"not a loop: {body!r}")
-                inner, at, _ = _closed(pieces, at, ("endfor",))
-                found.append(Node("for", (loop[1], _Expression(loop[2]).whole(), inner)))
+                items = _Expression(loop[2])
+                source, test = items.any(), Node("const", (True,))
+                if items._is("if"):
+                    items._take()
+                    test = items.any()
+                if items.at != len(items.tokens):
+                    raise TemplateError(f"not a loop: {body!r}")
+                inner, at, closer = _closed(pieces, at, ("else", "endfor"))
+                empty = Node("seq", ())
+                if closer == "else":
+                    empty, at, _ = _closed(pieces, at, ("endfor",))
+                found.append(Node("for", (tuple(re.split(r"\s*,\s*", loop[1])), source, test, inner, empty)))
+            elif word == "set":
+                put = re.fullmatch(r"\s*([A-Za-z_]\w*)(?:\.([A-Za-z_]\w*))?\s*=(?!=)(.*)", rest, re.DOTALL)
+                if not put:
+                    raise TemplateError(f"not a setting: {body!r}")
+                found.append(Node("set", (put[1], put[2] or "", _Expression(put[3]).whole())))
             elif word == "generation":
                 inner, at, _ = _closed(pieces, at, ("endgeneration",))
                 found.append(Node("mark", (inner,)))
@@ -258,6 +514,18 @@ def _closed(pieces: list, at: int, closers: tuple[str, ...]) -> tuple[Node, int,
     return node, at, closer
 
 
+#: Expressions that give the same value whenever their parts are constants.
+_PURE = {"not", "neg", "and", "or", "cond", "entry", "slice", "filter", "test", "method", *OPERATORS}
+
+
+def _inner(part: Any) -> list[Node]:
+    return [part] if isinstance(part, Node) else [n for p in part for n in _inner(p)] if isinstance(part, tuple) else []
+
+
+def _folded(part: Any) -> Any:
+    return fold(part) if isinstance(part, Node) else tuple(map(_folded, part)) if isinstance(part, tuple) else part
+
+
 def fold(node: Node) -> Node:
     """Constant folding: operations on constants are done, decided branches are chosen, neighbouring texts are joined."""
     kind, parts = node.kind, node.parts
@@ -278,15 +546,46 @@ def fold(node: Node) -> Node:
                 part = Node("out", (Node("const", (text,)),))
             out.append(part)
         return Node("seq", tuple(out))
-    folded = tuple(fold(p) if isinstance(p, Node) else p for p in parts)
+    folded = _folded(parts)
     done = Node(kind, folded)
-    if kind == "if" and folded[0].kind == "const":
+    if kind in ("if", "cond") and folded[0].kind == "const":
         return folded[1] if folded[0].parts[0] else folded[2]
-    if kind in ("not", "and", "or", "==", "!=", "~", "entry", "filter") and all(p.kind == "const" for p in folded if isinstance(p, Node)):
-        return Node("const", (_value(done)({}),))
+    if kind in _PURE and all(p.kind == "const" for part in folded for p in _inner(part)):
+        try:
+            return Node("const", (_value(done)({}),))
+        except TemplateError:
+            return done  # an error only if it is reached
     return done
 
 
+def _entry(held: Any, key: Any) -> Any:
+    if isinstance(held, dict):
+        return held.get(key, MISSING)
+    if isinstance(held, (list, str)) and isinstance(key, int) and -len(held) <= key < len(held):
+        return held[key]
+    return MISSING
+
+
+def _slice(held: Any, *ends: Any) -> Any:
+    if not all(e is None or isinstance(e, int) for e in ends) or ends[2] == 0:
+        raise TemplateError("a slice needs whole numbers and a step")
+    return held[slice(*ends)] if isinstance(held, (list, str)) else MISSING
+
+
+def _called(apply: Callable[..., Any], given: tuple[tuple[str, Node], ...], what: str) -> Callable[..., Any]:
+    """A closure for a call with given arguments behind those that it gets itself."""
+    plain = [_value(v) for name, v in given if not name]
+    named = {name: _value(v) for name, v in given if name}
+
+    def run(scope: dict, *first: Any) -> Any:
+        try:
+            return apply(*first, *(v(scope) for v in plain), **{k: v(scope) for k, v in named.items()})
+        except TypeError:
+            raise TemplateError(f"wrong arguments for {what!r}") from None
+
+    return run
+
+
 def _value(node: Node) -> Callable[[dict], Any]:
     """A closure for an expression."""
     kind, parts = node.kind, node.parts
@@ -295,30 +594,59 @@ def _value(node: Node) -> Callable[[dict], Any]:
         return lambda scope: fixed
     if kind == "name":
         name = parts[0]
-        return lambda scope: scope.get(name)
-    if kind == "entry":
-        inner, name = _value(parts[0]), parts[1]
-        return lambda scope: held.get(name) if isinstance(held := inner(scope), dict) else None
-    if kind == "filter":
-        inner, apply = _value(parts[0]), FILTERS[parts[1]]
-        return lambda scope: apply(inner(scope))
+        return lambda scope: scope.get(name, MISSING)
+    if kind == "call":
+        return _called(FUNCTIONS[parts[0]], parts[1], parts[0])
+    if kind == "list":
+        items = list(map(_value, parts))
+        return lambda scope: [v(scope) for v in items]
+    if kind == "dict":
+        pairs = list(zip(map(_value, parts[::2]), map(_value, parts[1::2]), strict=True))
+        return lambda scope: {k(scope): v(scope) for k, v in pairs}
+    first = _value(parts[0])
+    if kind == "test":
+        holds = TESTS[parts[1]]
+        return lambda scope: holds(first(scope))
+    if kind in ("filter", "method"):
+        apply = (FILTERS if kind == "filter" else METHODS)[parts[1]]
+        if not parts[2]:
+            return lambda scope: apply(first(scope))
+        run = _called(apply, parts[2], parts[1])
+        return lambda scope: run(scope, first(scope))
     if kind == "not":
-        inner = _value(parts[0])
-        return lambda scope: not inner(scope)
-    left, right = _value(parts[0]), _value(parts[1])
-    return {
-        "and": lambda scope: left(scope) and right(scope),
-        "or": lambda scope: left(scope) or right(scope),
-        "==": lambda scope: left(scope) == right(scope),
-        "!=": lambda scope: left(scope) != right(scope),
-        "~": lambda scope: _show(left(scope)) + _show(right(scope)),
-    }[kind]
+        return lambda scope: not first(scope)
+    if kind == "neg":
+        return lambda scope: OPERATORS["-"](0, first(scope))
+    second = _value(parts[1])
+    if kind == "entry":
+        return lambda scope: _entry(first(scope), second(scope))
+    if kind == "cond":
+        third = _value(parts[2])
+        return lambda scope: second(scope) if first(scope) else third(scope)
+    if kind == "slice":
+        third, fourth = _value(parts[2]), _value(parts[3])
+        return lambda scope: _slice(first(scope), second(scope), third(scope), fourth(scope))
+    if kind == "and":
+        return lambda scope: first(scope) and second(scope)
+    if kind == "or":
+        return lambda scope: first(scope) or second(scope)
+    apply = OPERATORS[kind]
+    return lambda scope: apply(first(scope), second(scope))
 
 
 Piece = tuple[str, bool]
 Renderer = Callable[[dict], Iterator[Piece]]
 
 
+def _turns(items: Iterator[Any]) -> Iterator[tuple[Any, dict]]:
+    """Items with what the loop tells of each; one item is read ahead."""
+    before, held, i = MISSING, next(items, MISSING), 0
+    while held is not MISSING:
+        after = next(items, MISSING)
+        yield held, {"index": i + 1, "index0": i, "first": i == 0, "last": after is MISSING, "previtem": before, "nextitem": after}
+        before, held, i = held, after, i + 1
+
+
 def _statement(node: Node, marked: bool) -> Renderer:
     """A closure that yields (text, is it under a generation mark)."""
     kind, parts = node.kind, node.parts
@@ -330,12 +658,36 @@ def _statement(node: Node, marked: bool) -> Renderer:
     if kind == "if":
         test, yes, no = _value(parts[0]), _statement(parts[1], marked), _statement(parts[2], marked)
         return lambda scope: yes(scope) if test(scope) else no(scope)
+    if kind == "set":
+        name, entry, value = parts[0], parts[1], _value(parts[2])
+
+        def put(scope: dict) -> Iterator[Piece]:
+            if not entry:
+                scope[name] = value(scope)
+            elif isinstance(held := scope.get(name), Namespace):
+                held[entry] = value(scope)
+            else:
+                raise TemplateError(f"{name!r} is no namespace")
+            return iter(())
+
+        return put
     if kind == "for":
-        name, items, body = parts[0], _value(parts[1]), _statement(parts[2], marked)
+        names, items, test, body, empty = parts[0], _value(parts[1]), _value(parts[2]), _statement(parts[3], marked), _statement(parts[4], marked)
+
+        def bound(item: Any) -> dict:
+            if len(names) == 1:
+                return {names[0]: item}
+            if not isinstance(item, list) or len(item) != len(names):
+                raise TemplateError("an item has another number of parts than the loop has names")
+            return dict(zip(names, item, strict=True))
 
         def loop(scope: dict) -> Iterator[Piece]:
-            for i, item in enumerate(items(scope) or ()):
-                yield from body(scope | {name: item, "loop": {"index": i + 1, "index0": i, "first": i == 0}})
+            ran = False
+            for item, told in _turns(i for i in iter(items(scope) or ()) if test(scope | bound(i))):
+                ran = True
+                yield from body(scope | bound(item) | {"loop": told})
+            if not ran:
+                yield from empty(scope)
 
         return loop
     each = [_statement(part, marked) for part in parts]
@@ -347,11 +699,34 @@ def _statement(node: Node, marked: bool) -> Renderer:
     return sequence
 
 
+def _uses(node: Node, name: str, looped: bool = False) -> list[bool]:
+    """For each place where a name stands whether it is only run through, once, by a loop of its own."""
+    if node == Node("name", (name,)):
+        return [False]
+    if node.kind == "for":
+        own = node.parts[1] == Node("name", (name,))
+        rest = [x for part in node.parts[2:] for x in _uses(part, name, True)]
+        return [not looped, *rest] if own else _uses(node.parts[1], name, looped) + rest
+    return [x for part in node.parts for n in _inner(part) for x in _uses(n, name, looped)]
+
+
+class Template:
+    """A compiled template: a function from variables to pieces of output."""
+
+    def __init__(self, tree: Node):
+        self._render = _statement(tree, False)
+        #: May messages arrive while the output is made? Else the template needs all of them as a list.
+        self.streams = _uses(tree, "messages") in ([], [True])
+
+    def __call__(self, scope: dict) -> Iterator[Piece]:
+        return self._render(dict(scope))
+
+
 @lru_cache(maxsize=16)
-def compile_template(template: str) -> Renderer:
+def compile_template(template: str, trim_blocks: bool = False, lstrip_blocks: bool = False) -> Template:
     """template -> a function from variables to pieces of output. Loops may run over iterators, so output can be
     streamed while its input arrives."""
-    return _statement(fold(parse(template)), False)
+    return Template(fold(parse(template, trim_blocks, lstrip_blocks)))
 
 
 class _Reader:
@@ -420,7 +795,9 @@ def report(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
     """The columns of op2, read back from the output of `template`, which must mark turns as TEMPLATE does.
 
     Null roles and texts are empty; a null conv_id is a conversation of its own. Repeated rows are turns of their own;
-    ties in turn are ordered by role and text. An empty table gives no rows; other columns are not read.
+    ties in turn are ordered by role and text. A conversation of any number of turns is streamed where the template runs
+    through its messages once; else its turns are held in memory, one conversation at a time. A turn, however long, is
+    one row and held whole. An empty table gives no rows; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -437,8 +814,11 @@ def report(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
                     yield {"role": held[1], "text": held[2]}
                     held = next(rows, None)
 
-            for piece, marked in made({"messages": turns()}):
+            messages = turns()
+            for piece, marked in made({"messages": messages if made.streams else list(messages)}):
                 reader.feed(piece, marked)
+            for _ in messages:
+                pass  # turns that the template leaves out
             done.append((conv, *reader.row()))
             if len(done) >= 10_000:
                 yield _batch(done)
