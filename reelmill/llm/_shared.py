@@ -17,9 +17,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; where it is unset (tests), a temporary one."""
+    """The folder of spark.checkpoint.dir, which driver and executors share; where it is unset in a local session (tests),
+    a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="reelmill-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -46,6 +49,13 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def first_rows(docs: DataFrame, key: str) -> DataFrame:
+    """One row for each value of key: of several the one whose text, and then whose row, has the smallest hash."""
+    plain = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    order = F.struct(F.xxhash64("text"), F.xxhash64(*plain))
+    return docs.groupBy(key).agg(F.min_by(F.struct(*docs.columns), order).alias("__row")).select("__row.*")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

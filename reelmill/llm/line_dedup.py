@@ -123,7 +123,8 @@ def line_dedup(docs: DataFrame, params: Params = Params()) -> DataFrame:
     A line's key is the line without white space at its ends, A-Z lower-cased. A key of min_chars code points or
     more that stands in two documents or more stays only in the smallest doc_id holding it, with all its lines there;
     lines with shorter keys stay. Null or empty text is one empty line and comes back as ''. Rows with the same
-    doc_id are one document, and so are all rows with a null doc_id, which counts as the largest. An empty table
+    doc_id are one document, and so are all rows with a null doc_id, which counts as the largest. Texts and lines of any
+    length are read whole. An empty table
     gives an empty table; further columns pass through.
     """
     rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
@@ -135,7 +136,7 @@ def line_dedup(docs: DataFrame, params: Params = Params()) -> DataFrame:
         *[F.col(c) for c in rest],
     )
     gone = dropped_lines(docs, params).select(F.col("doc").alias("__doc"), F.col("row_hash").alias("__row_hash"), F.col("drops").alias("__drops"))
-    joined = left.join(gone.hint("shuffle_hash"), ["__doc", "__row_hash"], "left")
+    joined = left.join(gone, ["__doc", "__row_hash"], "left")
     n = F.size("__lines")
     kept = F.array_except(F.sequence(F.lit(0), n - 1), F.col("__drops"))
     lines = F.when(F.col("__drops").isNull(), F.col("__lines")).otherwise(F.transform(kept, lambda i: F.get(F.col("__lines"), i)))

@@ -58,7 +58,7 @@ def mix(docs: DataFrame, params: Params = Params()) -> DataFrame:
 
     size: words of the text (null or empty: 0). A null source is a source of its own, the last in order. A source
     without words has target 0 and no copies. Ties in size are broken by a hash and then by doc_id; rows that are
-    equal in all of that are interchangeable. Reruns agree: offsets and ties come from the seed alone. An empty table
+    equal in all of that are interchangeable. A text of any length is counted whole. Reruns agree: offsets and ties come from the seed alone. An empty table
     gives an empty table; other columns are not read.
     """
     tie = F.md5(F.concat(F.lit(f"{params.seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("<null>"))))
@@ -96,7 +96,7 @@ def mixed_documents(docs: DataFrame, params: Params = Params()) -> DataFrame:
     chosen = chosen.select(*[F.col(c).alias(f"__{c}") for c in chosen.columns])
     named = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     on = named["doc_id"].eqNullSafe(F.col("__doc_id")) & named["source"].eqNullSafe(F.col("__source")) & (F.col("__hash") == F.col("__text_hash"))
-    joined = named.join(chosen.hint("shuffle_hash"), on)
+    joined = named.join(chosen, on)
     single = joined.where("__rows = 1").withColumn("__times", F.col("__copies"))
     at = F.row_number().over(Window.partitionBy("__doc_id", "__source", "__text_hash").orderBy("__copies"))
     share = F.col("__copies") / F.col("__rows")

@@ -112,10 +112,18 @@ def measure(text: str | None, compressor: zstandard.ZstdCompressor, params: Para
     return len(words), word_chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), _repeat_words(words), ratio, chunks, sum(map(len, bad.values())), verdict
 
 
+def added_column(docs: DataFrame) -> str:
+    """The name of the column that measured() adds: one that docs doesn't have."""
+    name = "__quality"
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def measured(docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """docs with METRICS of its text as a struct column `__quality`; one pass over the rows, no shuffle."""
+    """docs with METRICS of its text as a last struct column; one pass over the rows, no shuffle."""
     fields = [(f.split()[0], {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}[f.split()[1]]) for f in METRICS.split(", ")]
-    at = docs.columns.index("text")
+    at, name = docs.columns.index("text"), added_column(docs)
     ddl = ", ".join(f"{name}: {kind}" for name, kind in (f.split() for f in METRICS.split(", ")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,10 +132,10 @@ def measured(docs: DataFrame, params: Params = Params()) -> DataFrame:
             rows = [measure(t.as_py(), compressor, params) for t in batch.column(at)]
             columns = [pa.array([r[i] for r in rows], type=kind) for i, (_, kind) in enumerate(fields)]
             found = pa.StructArray.from_arrays(columns, names=[name for name, _ in fields])
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "__quality"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, name])
 
     kind = F.lit(None).cast(f"struct<{ddl}>")
-    return docs.mapInArrow(run, docs.select("*", kind.alias("__quality")).schema)
+    return docs.mapInArrow(run, docs.select("*", kind.alias(name)).schema)
 
 
 def _failed(params: Params):
@@ -138,14 +146,17 @@ def _failed(params: Params):
 def keep_good(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """The rows of docs that the rules keep. Columns are those of docs; null and empty texts fail on their word count."""
     marked = measured(docs, params)
-    q = lambda name: F.col(f"__quality.{name}")
+    at = added_column(docs)
+    q = lambda name: F.col(f"{at}.{name}")
     failed = (q("n_words") < params.min_words) | (100 * q("n_repeat_words") > params.max_repeat_percent * q("n_words"))
-    return marked.where(~failed & q("verdict").isNull()).drop("__quality")
+    return marked.where(~failed & q("verdict").isNull()).drop(at)
 
 
 def report(docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """The columns of op8, with the ratio and the verdict of the compression bands. Repeated rows are judged alike;
-    an empty table gives an empty table."""
+    """The columns of op8, with the ratio and the verdict of the compression bands. Null and empty texts have no words and
+    fail on that; texts below the first band have no ratio to fail by; a text of any length is read whole, chunk by
+    chunk. Where bad chunks of both sorts have equally many bytes the sort met first is named. Repeated rows are judged
+    alike; an empty table gives an empty table; other columns are not read."""
     found = measured(docs.select("doc_id", "text"), params).select("doc_id", "__quality.*")
     failed = _failed(params)
     return found.select(

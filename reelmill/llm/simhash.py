@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelmill.llm._graph import connected_components
-from reelmill.llm._shared import materialize
+from reelmill.llm._shared import first_rows, materialize
 
 #: SPREAD[v] has bit k of the byte v in its byte k.
 SPREAD = np.ascontiguousarray(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")).view(np.uint64).ravel()
@@ -91,8 +91,9 @@ def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
 
     component_id is the smallest doc_id reachable over links, the row's own included. Text that is null or has no word
     has fingerprint 0 and links like any other. Equal rows and texts share a fingerprint and so a component. Rows with
-    a null doc_id get a fingerprint, take no part in linking, and have a null component_id. An empty table gives an
-    empty table; other columns are not read.
+    a null doc_id get a fingerprint, take no part in linking, and have a null component_id. A text of any
+    length is read whole; a bit set in exactly half the hashes is 0. An empty table gives an empty table; other columns
+    are not read.
     """
     fps = materialize(fingerprints(docs, params), "fingerprints")
     nodes = materialize(fps.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")), "fingerprint-nodes")
@@ -103,12 +104,12 @@ def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """docs without all but one document of each component: the row of its smallest doc_id stays (one, if it is
-    repeated). Rows without a doc_id stay. Columns are those of docs."""
+    """docs without all but one document of each component: the row of its smallest doc_id stays; where that is repeated, the
+    one whose text and then whose row has the smallest hash. Rows without a doc_id stay. Columns are those of docs."""
     classes = near_duplicates(docs, params)
     kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     marked = docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi")
-    return marked.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    return first_rows(marked, "doc_id").unionByName(docs.where("doc_id IS NULL"))
 
 
 def report(docs: DataFrame, params: Params = Params()) -> DataFrame:

@@ -94,3 +94,9 @@ def test_tail_and_single_full_chunk_are_judged(small_docs, spark, small):
     hidden = clean.encode()[:3300].decode("utf-8", "ignore") + "spam " * 320
     *_, ratio, chunks, bad, verdict = quality.measure(hidden, press)
     assert (chunks, bad, verdict) == (2, 2, "repetitive chunks") and ratio < 4.2
+
+
+def test_clashing_column_names(make_docs):
+    docs = make_docs([(1, PROSE), (2, "spam " * 400)]).selectExpr("*", "1 as __quality", "2 as __quality_", "3 as ratio", "4 as verdict")
+    got = quality.keep_good(docs)
+    assert got.columns == docs.columns and [r["doc_id"] for r in got.collect()] == [1]
