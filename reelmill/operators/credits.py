@@ -50,16 +50,26 @@ def report_documents(credits: DataFrame) -> DataFrame:
 
 @query(
     "a11_line_lineage", "lines credits",
-    f"""WITH c AS (SELECT video_id, {duck('ascii_key', 'name')} AS key, arg_min(name, line_no) AS name, arg_min(job, line_no) AS job FROM credits GROUP BY ALL),
-    l AS (SELECT video_id, line_no, text AS raw_text, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS repaired, {duck('ascii_key', "array_to_string(string_split(text, ' ')[1:2], ' ')")} AS key FROM lines)
-    SELECT l.video_id, l.line_no, l.raw_text, l.repaired, c.name AS final_name, coalesce(c.job, 'unknown') AS category FROM l LEFT JOIN c ON l.video_id = c.video_id AND l.key = c.key""",
+    f"""WITH c AS (SELECT video_id, {duck('ascii_key', 'name')} AS key, arg_min(name, line_no) AS name, arg_min(job, line_no) AS job, min(line_no) AS place FROM credits GROUP BY ALL),
+    l AS (SELECT video_id, line_no, text AS raw_text, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS repaired, {duck('ascii_key', 'text')} AS key FROM lines),
+    m AS (SELECT l.video_id, l.line_no, arg_min((c.name, c.job), (CASE WHEN {duck('safe_lower', 'c.name')} = {duck('safe_lower', 'l.repaired')} THEN 0 WHEN c.key = l.key THEN 1 ELSE 2 END, c.place)) AS hit
+          FROM l JOIN c ON l.video_id = c.video_id AND (strpos(l.key, c.key) > 0 OR strpos(c.key, l.key) > 0) WHERE l.key <> '' AND c.key <> '' GROUP BY ALL)
+    SELECT l.video_id, l.line_no, l.raw_text, l.repaired, m.hit[1] AS final_name, coalesce(m.hit[2], 'unknown') AS category FROM l LEFT JOIN m ON l.video_id = m.video_id AND l.line_no = m.line_no""",
 )
 def line_lineage(lines: DataFrame, credits: DataFrame) -> DataFrame:
-    """Raw text, repaired text, final name and category of each line; a line belongs to the credit with the key of its first two words."""
-    table = credits.groupBy("video_id", ascii_key("name").alias("key")).agg(F.min_by("name", "line_no").alias("final_name"), F.min_by("job", "line_no").alias("job"))
-    head = F.array_join(F.slice(F.split("text", " "), 1, 2), " ")
-    keyed = lines.select("video_id", "line_no", F.col("text").alias("raw_text"), F.trim(F.regexp_replace("text", r"\s+", " ")).alias("repaired"), ascii_key(head).alias("key"))
-    return keyed.join(table, ["video_id", "key"], "left").select("video_id", "line_no", "raw_text", "repaired", "final_name", F.coalesce("job", F.lit("unknown")).alias("category"))
+    """Raw text, repaired text, final name and category of each line. A line belongs to the credit of its video that it equals, case
+    aside, else to that with its ascii key, else to the first one whose key holds its own or the other way round.
+
+    Only lines whose key no credit has are compared with a video's credits one by one.
+    """
+    table = credits.groupBy("video_id", ascii_key("name").alias("key")).agg(F.min_by("name", "line_no").alias("name"), F.min_by("job", "line_no").alias("job"), F.min("line_no").alias("place")).where("key <> ''")
+    keyed = lines.select("video_id", "line_no", F.col("text").alias("raw_text"), F.trim(F.regexp_replace("text", r"\s+", " ")).alias("repaired"), ascii_key("text").alias("key"))
+    exact = keyed.join(table.select("video_id", "key", "name", "job"), ["video_id", "key"], "left")
+    rest = exact.where("name IS NULL AND key <> ''").select("video_id", "line_no", F.col("key").alias("line_key"))
+    within = F.col("line_key").contains(F.col("key")) | F.col("key").contains(F.col("line_key"))
+    near = rest.join(table, "video_id").where(within).groupBy("video_id", "line_no").agg(F.min_by(F.struct("name", "job"), "place").alias("near"))
+    both = exact.join(near, ["video_id", "line_no"], "left")
+    return both.select("video_id", "line_no", "raw_text", "repaired", F.coalesce("name", "near.name").alias("final_name"), F.coalesce("job", "near.job", F.lit("unknown")).alias("category"))
 
 
 @query(
@@ -219,25 +229,31 @@ def local_credits(people: DataFrame) -> DataFrame:
     return people.where(~F.col("category").isin("actor", "actress")).select("tconst", "name", _map(F.col("category"), CATEGORY_JOB).alias("job"))
 
 
-_HINTS = f"h AS (SELECT video_id, {duck('ascii_key', 'name')} AS key, arg_min({_DEPT_SQL}, line_no) AS hint_department, arg_min(job, line_no) AS hint_job FROM credits WHERE raw IN ('tmdb', 'imdb', 'ocr_verified') AND line_no % 2 = 1 GROUP BY ALL)"
+#: Department and job of a catalogue category.
+CATEGORY_HINT = {"director": ("directing", "Director"), "cinematographer": ("camera", "Cinematographer"), "actor": ("acting", "actor"), "actress": ("acting", "actor")}
+_HINTS = f"""h AS (SELECT video_id, key, {_case('category', {c: d for c, (d, _) in CATEGORY_HINT.items()})} AS hint_department, {_case('category', {c: j for c, (_, j) in CATEGORY_HINT.items()})} AS hint_job
+  FROM (SELECT v.video_id, {duck('ascii_key', 't.name')} AS key, arg_min(t.category, (t.ordering, t.category)) AS category FROM videos v JOIN title_people t ON t.tconst = v.true_tconst GROUP BY ALL))"""
 
 
-def hints(credits: DataFrame) -> DataFrame:
-    """Departments that the catalogue has for a name; here those of a video's odd lines."""
-    rows = credits.where("raw IN ('tmdb', 'imdb', 'ocr_verified') AND line_no % 2 = 1").withColumn("department", _map(F.col("job"), DEPARTMENT))
-    return rows.groupBy("video_id", ascii_key("name").alias("key")).agg(F.min_by("department", "line_no").alias("hint_department"), F.min_by("job", "line_no").alias("hint_job"))
+def hints(videos: DataFrame, people: DataFrame) -> DataFrame:
+    """(video_id, key, hint_department, hint_job): what the people of a video's title do, by ascii key of the name; the first in order
+    where a name stands twice."""
+    held = people.select(F.col("tconst").alias("true_tconst"), ascii_key("name").alias("key"), "category", "ordering")
+    first = held.groupBy("true_tconst", "key").agg(F.min_by("category", F.struct("ordering", "category")).alias("category"))
+    part = lambda i: _map(F.col("category"), {c: v[i] for c, v in CATEGORY_HINT.items()})
+    return videos.select("video_id", "true_tconst").join(first, "true_tconst").select("video_id", "key", part(0).alias("hint_department"), part(1).alias("hint_job"))
 
 
 @query(
-    "d36_field_mismatch", "credits",
+    "d36_field_mismatch", "credits videos title_people",
     f"""WITH {_HINTS}, c AS (SELECT *, {_DEPT_SQL} AS expected, {duck('ascii_key', 'name')} AS key FROM credits WHERE raw = 'ocr_verified')
     SELECT c.video_id, c.line_no, c.name, c.job AS ocr_job, h.hint_job AS job, h.hint_department AS department, CASE WHEN c.job IN ('Director', 'Producer', 'actor') THEN 1 ELSE 2 END AS category
     FROM c JOIN h ON h.video_id = c.video_id AND h.key = c.key WHERE c.expected IS NOT NULL AND h.hint_department <> c.expected""",
 )
-def field_mismatch(credits: DataFrame) -> DataFrame:
+def field_mismatch(credits: DataFrame, videos: DataFrame, people: DataFrame) -> DataFrame:
     """Verified readings whose job's department differs from the catalogue's; the catalogue's job wins, category 1 or 2."""
     rows = credits.where("raw = 'ocr_verified'").withColumn("expected", _map(F.col("job"), DEPARTMENT)).withColumn("key", ascii_key("name"))
-    wrong = rows.join(hints(credits), ["video_id", "key"]).where("expected IS NOT NULL AND hint_department <> expected")
+    wrong = rows.join(hints(videos, people), ["video_id", "key"]).where("expected IS NOT NULL AND hint_department <> expected")
     category = F.when(F.col("job").isin("Director", "Producer", "actor"), 1).otherwise(2)
     return wrong.select("video_id", "line_no", "name", F.col("job").alias("ocr_job"), F.col("hint_job").alias("job"), F.col("hint_department").alias("department"), category.alias("category"))
 
@@ -246,7 +262,7 @@ _HINT_FIELD = " ".join(f"WHEN hint_department = '{d}' AND lower(hint_job) = '{j}
 
 
 @query(
-    "d37_confidence_annotation", "credits",
+    "d37_confidence_annotation", "credits videos title_people",
     f"""WITH {_HINTS}, m AS (SELECT video_id, bool_or(raw = 'imdb') AS imdb_matched FROM credits GROUP BY video_id),
     c AS (SELECT c.*, m.imdb_matched, {_case('c.job', JOB_FIELD, "''")} AS ocr_field, CASE {_HINT_FIELD} ELSE '' END AS hint_field FROM credits c JOIN m USING (video_id) LEFT JOIN h ON h.video_id = c.video_id AND h.key = {duck('ascii_key', 'c.name')}),
     f AS (SELECT *, CASE WHEN job = 'actor' THEN 'OYUNCU' WHEN raw = 'imdb' AND hint_field <> '' THEN hint_field WHEN ocr_field <> '' THEN ocr_field ELSE upper(job) END AS final_field FROM c)
@@ -256,10 +272,10 @@ _HINT_FIELD = " ".join(f"WHEN hint_department = '{d}' AND lower(hint_job) = '{j}
       array_to_string(list_filter([CASE WHEN raw NOT IN ('imdb', 'tmdb') THEN 'no_external_match' END, CASE WHEN job <> 'actor' AND raw = 'imdb' AND final_field IN ('YÖNETMEN', 'YAPIMCI') AND hint_field NOT IN ('', final_field) THEN 'source_conflict' END,
         CASE WHEN job <> 'actor' AND raw = 'tmdb' AND NOT imdb_matched THEN CASE WHEN is_verified THEN 'confirmed' ELSE 'unconfirmed' END END], lambda x: x IS NOT NULL), ',') AS flags FROM f""",
 )
-def confidence_annotation(credits: DataFrame) -> DataFrame:
+def confidence_annotation(credits: DataFrame, videos: DataFrame, people: DataFrame) -> DataFrame:
     """Source, final field, confidence and flags of each credit; is_verified stands for the external yes or no."""
     matched = credits.groupBy("video_id").agg(F.bool_or(F.col("raw") == "imdb").alias("imdb_matched"))
-    rows = credits.withColumn("key", ascii_key("name")).join(matched, "video_id").join(hints(credits), ["video_id", "key"], "left")
+    rows = credits.withColumn("key", ascii_key("name")).join(matched, "video_id").join(hints(videos, people), ["video_id", "key"], "left")
     hint = F.lit("")
     for (d, j), f in FIELDS.items():
         hint = F.when((F.col("hint_department") == d) & (F.lower("hint_job") == j), f).otherwise(hint)
@@ -350,22 +366,22 @@ def uncovered_frames(lines: DataFrame, second: DataFrame) -> DataFrame:
     return lines.join(covered, ["video_id", "frame_no"], "left_anti").select("video_id", "frame_no", F.explode(F.split("text", ", ")).alias("text"), F.lit(0.6).alias("confidence"))
 
 
-_LAYERS = f"""WITH k AS (SELECT c.*, {_sql_blacklist('c.name')} IS NOT NULL AS blacklisted, {_sql_reason('c.name')} <> 'ok' AS malformed, n.key IS NOT NULL AS known FROM credits c LEFT JOIN (SELECT DISTINCT {duck('name_key', 'primary_name')} AS key FROM names WHERE nconst % 3 = 0) n ON n.key = {duck('name_key', 'c.name')}),
+_LAYERS = f"""WITH k AS (SELECT c.*, {_sql_blacklist('c.name')} IS NOT NULL AS blacklisted, {_sql_reason('c.name')} <> 'ok' AS malformed, n.key IS NOT NULL AS known FROM credit_readings c LEFT JOIN (SELECT DISTINCT {duck('name_key', 'primary_name')} AS key FROM names) n ON n.key = {duck('name_key', 'c.name')}),
   l AS (SELECT *, CASE WHEN blacklisted THEN 'blacklist' WHEN malformed THEN 'structure' WHEN known THEN 'name_table' WHEN is_verified THEN 'catalogue' ELSE 'none' END AS layer FROM k)"""
 
 
 def layered(credits: DataFrame, names: DataFrame) -> DataFrame:
-    """credits with the first layer that decides on a name; the table is every third name."""
+    """credits with the first layer that decides on a name."""
     from reelmill.functions.keys import name_key
 
-    known = names.where("nconst % 3 = 0").select(name_key("primary_name").alias("key")).distinct().withColumn("known", F.lit(True))
+    known = names.select(name_key("primary_name").alias("key")).distinct().withColumn("known", F.lit(True))
     rows = credits.withColumn("key", name_key("name")).join(known, "key", "left")
     layer = F.when(blacklist_reason(F.col("name")).isNotNull(), "blacklist").when(structural_reason(F.col("name")) != "ok", "structure").when(F.col("known"), "name_table").when(F.col("is_verified"), "catalogue").otherwise("none")
     return rows.withColumn("layer", layer)
 
 
 @query(
-    "d50_crew_verification", "credits names",
+    "d50_crew_verification", "credit_readings names",
     f"""{_LAYERS}, w AS (SELECT *, max(CASE WHEN layer IN ('name_table', 'catalogue') THEN 1 ELSE 0 END) OVER (PARTITION BY video_id, job) AS has_verified FROM l WHERE job <> 'actor')
     SELECT video_id, line_no, name, layer, CASE WHEN layer IN ('blacklist', 'structure') THEN 'dropped' WHEN layer IN ('name_table', 'catalogue') THEN 'kept' WHEN has_verified = 1 THEN 'dropped' ELSE 'flagged' END AS action FROM w""",
 )
@@ -378,43 +394,43 @@ def crew_verification(credits: DataFrame, names: DataFrame) -> DataFrame:
     return rows.withColumn("has", has).select("video_id", "line_no", "name", "layer", action.alias("action"))
 
 
-@query("d51_cast_verification", "credits names", f"{_LAYERS} SELECT video_id, count(*) FILTER (WHERE layer NOT IN ('blacklist', 'structure')) AS kept, count(*) FILTER (WHERE layer IN ('name_table', 'catalogue')) AS verified, count(*) FILTER (WHERE layer = 'none') AS flagged, count(*) FILTER (WHERE layer IN ('blacklist', 'structure')) AS dropped FROM l WHERE job = 'actor' GROUP BY video_id")
+@query("d51_cast_verification", "credit_readings names", f"{_LAYERS} SELECT video_id, count(*) FILTER (WHERE layer NOT IN ('blacklist', 'structure')) AS kept, count(*) FILTER (WHERE layer IN ('name_table', 'catalogue')) AS verified, count(*) FILTER (WHERE layer = 'none') AS flagged, count(*) FILTER (WHERE layer IN ('blacklist', 'structure')) AS dropped FROM l WHERE job = 'actor' GROUP BY video_id")
 def cast_verification(credits: DataFrame, names: DataFrame) -> DataFrame:
     """Cast names by layer, totals a video."""
     bad, good = F.col("layer").isin("blacklist", "structure"), F.col("layer").isin("name_table", "catalogue")
     return layered(credits.where("job = 'actor'"), names).groupBy("video_id").agg(F.count_if(~bad).alias("kept"), F.count_if(good).alias("verified"), F.count_if(F.col("layer") == "none").alias("flagged"), F.count_if(bad).alias("dropped"))
 
 
-@query("c30_audit_funnel", "credits names", f"{_LAYERS} SELECT layer, job, count(*) AS n FROM l GROUP BY ALL")
+@query("c30_audit_funnel", "credit_readings names", f"{_LAYERS} SELECT layer, job, count(*) AS n FROM l GROUP BY ALL")
 def audit_funnel(credits: DataFrame, names: DataFrame) -> DataFrame:
     """Rows by layer and job."""
     return layered(credits, names).groupBy("layer", "job").agg(F.count("*").alias("n"))
 
 
 @query(
-    "d53_name_protection", "persons names",
-    """WITH k AS (SELECT DISTINCT lower(unnest(string_split(primary_name, ' '))) AS word FROM names WHERE nconst % 2 = 0), w AS (SELECT video_id, line_no, name, unnest(string_split(lower(name), ' ')) AS word FROM persons WHERE strpos(name, ' ') > 0)
+    "d53_name_protection", "readings names",
+    """WITH k AS (SELECT DISTINCT lower(unnest(string_split(primary_name, ' '))) AS word FROM names), w AS (SELECT video_id, line_no, name, unnest(string_split(lower(name), ' ')) AS word FROM readings WHERE strpos(name, ' ') > 0)
     SELECT w.video_id, w.line_no, w.name FROM w LEFT JOIN k USING (word) GROUP BY ALL HAVING avg(CASE WHEN k.word IS NULL THEN 0.0 ELSE 1.0 END) >= 0.8""",
 )
 def name_protection(persons: DataFrame, names: DataFrame) -> DataFrame:
     """Names of two words or more of which 80 % are known words of names."""
-    known = names.where("nconst % 2 = 0").select(F.explode(F.split(F.lower("primary_name"), " ")).alias("word")).distinct().withColumn("known", F.lit(1.0))
+    known = names.select(F.explode(F.split(F.lower("primary_name"), " ")).alias("word")).distinct().withColumn("known", F.lit(1.0))
     rows = persons.where(F.col("name").contains(" ")).select("video_id", "line_no", "name", F.explode(F.split(F.lower("name"), " ")).alias("word"))
     share = F.avg(F.coalesce("known", F.lit(0.0)))
     return rows.join(known, "word", "left").groupBy("video_id", "line_no", "name").agg(share.alias("share")).where("share >= 0.8").drop("share")
 
 
 @query(
-    "d54_fallback_approval", "credits names",
-    f"""WITH n AS (SELECT DISTINCT {duck('name_key', 'primary_name')} AS key FROM names WHERE nconst % 2 = 0)
+    "d54_fallback_approval", "credit_readings names",
+    f"""WITH n AS (SELECT DISTINCT {duck('name_key', 'primary_name')} AS key FROM names)
     SELECT c.video_id, c.line_no, c.name, NOT {_sql_junk('c.name')} AND (n.key IS NOT NULL OR c.confidence >= 0.85) AS approved,
-      CASE WHEN NOT {_sql_junk('c.name')} AND (n.key IS NOT NULL OR c.confidence >= 0.85) THEN round(least(1.0, c.confidence + 0.3), 3) ELSE 0.2 END AS confidence FROM credits c LEFT JOIN n ON n.key = {duck('name_key', 'c.name')} WHERE c.job = 'actor'""",
+      CASE WHEN NOT {_sql_junk('c.name')} AND (n.key IS NOT NULL OR c.confidence >= 0.85) THEN round(least(1.0, c.confidence + 0.3), 3) ELSE 0.2 END AS confidence FROM credit_readings c LEFT JOIN n ON n.key = {duck('name_key', 'c.name')} WHERE c.job = 'actor'""",
 )
 def fallback_approval(credits: DataFrame, names: DataFrame) -> DataFrame:
     """Without a model's answer a cast row is approved if its name is known or its confidence .85 or more; +.3, else .2."""
     from reelmill.functions.keys import name_key
 
-    known = names.where("nconst % 2 = 0").select(name_key("primary_name").alias("key")).distinct().withColumn("known", F.lit(True))
+    known = names.select(name_key("primary_name").alias("key")).distinct().withColumn("known", F.lit(True))
     rows = credits.where("job = 'actor'").withColumn("key", name_key("name")).join(known, "key", "left")
     good = ~is_junk(F.col("name")) & (F.coalesce("known", F.lit(False)) | (F.col("confidence") >= 0.85))
     return rows.select("video_id", "line_no", "name", good.alias("approved"), F.when(good, F.round(F.least(F.lit(1.0), F.col("confidence") + 0.3), 3)).otherwise(0.2).alias("confidence"))

@@ -113,10 +113,10 @@ def credit_parse_full(lines: DataFrame) -> DataFrame:
     return rows.groupBy("video_id").applyInPandas(run, "video_id long, line_no long, name string, category string")
 
 
-@query("e2_split_name_merge", "persons names", "WITH f AS (SELECT DISTINCT lower(string_split(primary_name, ' ')[1]) AS w FROM names WHERE nconst % 2 = 0), p AS (SELECT video_id, line_no, string_split(name, ' ')[1] AS word, lead(name) OVER (PARTITION BY video_id ORDER BY line_no) AS next_name FROM persons) SELECT p.video_id, p.line_no, p.word || ' ' || p.next_name AS name FROM p JOIN f a ON a.w = lower(p.word) JOIN f b ON b.w = lower(string_split(p.next_name, ' ')[1])")
+@query("e2_split_name_merge", "readings names", "WITH f AS (SELECT DISTINCT lower(string_split(primary_name, ' ')[1]) AS w FROM names), p AS (SELECT video_id, line_no, string_split(name, ' ')[1] AS word, lead(name) OVER (PARTITION BY video_id ORDER BY line_no) AS next_name FROM readings) SELECT p.video_id, p.line_no, p.word || ' ' || p.next_name AS name FROM p JOIN f a ON a.w = lower(p.word) JOIN f b ON b.w = lower(string_split(p.next_name, ' ')[1])")
 def split_name_merge(persons: DataFrame, names: DataFrame) -> DataFrame:
     """A row of one first name (here the first word of each) before a row that begins with one is joined with it."""
-    first = names.where("nconst % 2 = 0").select(F.lower(F.split("primary_name", " ")[0]).alias("w")).distinct()
+    first = names.select(F.lower(F.split("primary_name", " ")[0]).alias("w")).distinct()
     rows = persons.select("video_id", "line_no", F.split("name", " ")[0].alias("word"), F.lead("name").over(Window.partitionBy("video_id").orderBy("line_no")).alias("next_name"))
     both = rows.join(first.withColumnRenamed("w", "a"), F.col("a") == F.lower("word")).join(first.withColumnRenamed("w", "b"), F.col("b") == F.lower(F.split("next_name", " ")[0]))
     return both.select("video_id", "line_no", F.concat_ws(" ", "word", "next_name").alias("name"))
@@ -201,19 +201,21 @@ def crew_clusters(credits: DataFrame) -> DataFrame:
 
 @query("d45_growing_merge", "lines lines2")
 def growing_merge(lines: DataFrame, second: DataFrame) -> DataFrame:
-    """Lines of a second source that are near (ratio 85) neither the first source's (here its even lines) nor those already added."""
-    base = lines.where("line_no % 2 = 0").groupBy("video_id").agg(F.collect_list(F.lower("text")).alias("base"))
+    """Lines of a second source that are near (ratio 85) neither the first source's nor those already added."""
+    base = lines.groupBy("video_id").agg(F.collect_list(F.lower("text")).alias("base"))
     more = second.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "text", "confidence"))).alias("more"))
 
     def run(batches):
         for frame in batches:
             rows = []
             for video, held, fresh in zip(frame["video_id"], frame["base"], frame["more"], strict=True):
-                known = [] if held is None else list(held)
+                known = list(dict.fromkeys([] if held is None else held))
+                equal = set(known)
                 for row in fresh:
                     low = row["text"].lower()
-                    if not any(200 * min(len(k), len(low)) >= 85 * (len(k) + len(low)) and ratio_of(k, low) >= 85 for k in known):
+                    if low not in equal and not any(200 * min(len(k), len(low)) >= 85 * (len(k) + len(low)) and ratio_of(k, low) >= 85 for k in known):
                         known.append(low)
+                        equal.add(low)
                         rows.append((video, row["line_no"], row["text"], row["confidence"]))
             yield _plain(pd.DataFrame(rows, columns=["video_id", "line_no", "text", "confidence"]))
 

@@ -32,17 +32,18 @@ def name_match_score(query_name, choice, threshold: float = 85.0):
 
 
 def _choices(videos: DataFrame, persons: DataFrame, people: DataFrame) -> DataFrame:
-    """Names read in a video beside the people of its title whose lengths are at most 1.5 times apart."""
+    """Names read in a video beside the people of its title."""
     read = persons.select("video_id", "name").distinct()
     held = people.select(F.col("tconst").alias("true_tconst"), F.col("name").alias("choice"), "category").distinct()
-    pairs = videos.select("video_id", "true_tconst", "year", "is_series").join(read, "video_id").join(held, "true_tconst")
-    return pairs.where("greatest(length(name), length(choice)) <= 1.5 * least(length(name), length(choice))")
+    return videos.select("video_id", "true_tconst", "year", "is_series").join(read, "video_id").join(held, "true_tconst")
 
 
 @query("d22_fuzzy_name_match", _PEOPLE)
 def fuzzy_name_match(videos: DataFrame, persons: DataFrame, people: DataFrame, threshold: float = 85.0) -> DataFrame:
     """Each name read with its best person of the title."""
-    scored = _choices(videos, persons, people).withColumn("score", name_match_score(F.col("name"), F.col("choice"), threshold)).where("score IS NOT NULL")
+    pairs = _choices(videos, persons, people)
+    scored = pairs.select("name", "choice").distinct().withColumn("score", name_match_score(F.col("name"), F.col("choice"), threshold)).where("score IS NOT NULL")
+    scored = pairs.join(scored, ["name", "choice"])
     return scored.groupBy("video_id", "name").agg(F.min_by("choice", F.struct(-F.col("score"), F.col("choice"))).alias("choice"), F.round(F.max("score"), 6).alias("score"))
 
 
@@ -140,9 +141,9 @@ def enrichment_gate(videos: DataFrame, persons: DataFrame, people: DataFrame, ti
 
 @query("d44_merge_fixed", "lines lines2")
 def merge_fixed(lines: DataFrame, second: DataFrame) -> DataFrame:
-    """Lines of a second source that no line of the first (here its even lines) is near: token-sorted ratio of 85, in place of the
+    """Lines of a second source that no line of the first is near: token-sorted ratio of 85, in place of the
     weighted one. Lines that agree in key are found by a join first, and only lengths that allow the ratio are compared."""
-    base = lines.where("line_no % 2 = 0").select("video_id", sorted_tokens(F.lower("text")).alias("b"), line_key("text").alias("key"))
+    base = lines.select("video_id", sorted_tokens(F.lower("text")).alias("b"), line_key("text").alias("key"))
     more = second.select("video_id", "line_no", "text", sorted_tokens(F.lower("text")).alias("a"), line_key("text").alias("key"))
     fresh = more.join(base.select("video_id", "key"), ["video_id", "key"], "left_anti")
     able = fresh.join(base.drop("key"), "video_id").where("200 * least(length(a), length(b)) >= 85 * (length(a) + length(b))")

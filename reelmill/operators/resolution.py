@@ -24,10 +24,10 @@ def canonical_names(persons: DataFrame) -> DataFrame:
     return persons.groupBy(name_key("name").alias("key")).agg(F.min_by("name", F.struct("video_id", "line_no")).alias("canonical"))
 
 
-@query("d2_name_membership", "persons names", f"SELECT video_id, line_no, name FROM persons WHERE strpos(trim(name), ' ') > 0 AND {_KEYS} IN (SELECT {duck('name_key', 'primary_name')} FROM names WHERE nconst % 2 = 0)")
+@query("d2_name_membership", "readings names", f"SELECT video_id, line_no, name FROM readings WHERE strpos(trim(name), ' ') > 0 AND {_KEYS} IN (SELECT {duck('name_key', 'primary_name')} FROM names)")
 def name_membership(persons: DataFrame, names: DataFrame) -> DataFrame:
-    """Persons of two words or more whose key is in a name table (here every second name)."""
-    known = names.where("nconst % 2 = 0").select(name_key("primary_name").alias("key"))
+    """Persons of two words or more whose key is in a name table."""
+    known = names.select(name_key("primary_name").alias("key"))
     return persons.where(F.trim("name").contains(" ")).withColumn("key", name_key("name")).join(known, "key", "left_semi").select("video_id", "line_no", "name")
 
 
@@ -56,22 +56,22 @@ def find_names(texts: DataFrame, table: DataFrame, threshold: float = 75.0) -> D
 
 @query("d3_layered_find", "names")
 def layered_find(names: DataFrame) -> DataFrame:
-    """D3: misread names looked up in a table of every second name."""
-    return find_names(names.select(F.col("ocr_name").alias("text")).distinct(), names.where("nconst % 2 = 0"))
+    """D3: misread names looked up in the table of all names."""
+    return find_names(names.select(F.col("ocr_name").alias("text")).distinct(), names)
 
 
 @query("d4_top2_candidates", "names")
 def top2_candidates(names: DataFrame) -> DataFrame:
     """The two nearest names of each misread name, from a ratio of 75 on."""
     texts = names.select(F.col("nconst").alias("l_id"), sorted_tokens(F.col("ocr_name")).alias("l_text"))
-    table = names.where("nconst % 2 = 0").select(F.col("nconst").alias("r_id"), sorted_tokens(F.col("primary_name")).alias("r_text"))
+    table = names.select(F.col("nconst").alias("r_id"), sorted_tokens(F.col("primary_name")).alias("r_text"))
     return fuzzy_join(texts, table, 75.0, 2).select(F.col("l_id").alias("nconst"), F.col("r_id").alias("candidate"), "score")
 
 
-@query("d5_line_correction", "persons names")
+@query("d5_line_correction", "readings names")
 def line_correction(persons: DataFrame, names: DataFrame) -> DataFrame:
     """Names replaced by their canonical form where the score is .85 or more, with the original kept."""
-    found = find_names(persons.select(F.col("name").alias("text")).distinct(), names.where("nconst % 2 = 0"), 85.0).where("score >= 0.85").select(F.col("text").alias("name"), "canonical")
+    found = find_names(persons.select(F.col("name").alias("text")).distinct(), names, 85.0).where("score >= 0.85").select(F.col("text").alias("name"), "canonical")
     both = persons.join(found, "name", "left")
     return both.select("video_id", "line_no", F.coalesce("canonical", "name").alias("text"), F.col("name").alias("text_original"), (F.coalesce("canonical", "name") != F.col("name")).alias("repaired"))
 
@@ -94,19 +94,29 @@ def joined_split(persons: DataFrame) -> DataFrame:
 
 
 @query(
-    "d7_prefix_split", "persons names",
-    """WITH f AS (SELECT DISTINCT lower(string_split(primary_name, ' ')[1]) AS first FROM names WHERE nconst % 2 = 0), w AS (SELECT DISTINCT lower(replace(name, ' ', '')) AS word FROM persons WHERE length(name) BETWEEN 6 AND 31),
-    x AS (SELECT word, i FROM (SELECT word, unnest(range(2, length(word) - 2)) AS i FROM w) JOIN f ON first = substr(word, 1, i)), b AS (SELECT word, max(i) AS i FROM x GROUP BY word)
-    SELECT w.word, CASE WHEN b.i IS NULL THEN w.word ELSE substr(w.word, 1, b.i) || ' ' || substr(w.word, b.i + 1) END AS split FROM w LEFT JOIN b USING (word)""",
+    "d7_prefix_split", "readings names",
+    """WITH f AS (SELECT DISTINCT lower(string_split(primary_name, ' ')[1]) AS first FROM names), w AS (SELECT DISTINCT lower(replace(name, ' ', '')) AS word FROM readings WHERE length(name) BETWEEN 6 AND 31),
+    x AS (SELECT word, i FROM (SELECT word, unnest(range(2, length(word) - 2)) AS i FROM w) JOIN f ON first = substr(word, 1, i)), b AS (SELECT word, max(i) AS i FROM x GROUP BY word),
+    r AS (SELECT word, i, substr(word, i + 1) AS rest FROM b), y AS (SELECT word, j FROM (SELECT word, rest, unnest(range(2, length(rest) - 2)) AS j FROM r) JOIN f ON first = substr(rest, 1, j)), c AS (SELECT word, min(j) AS j FROM y GROUP BY word)
+    SELECT w.word, CASE WHEN r.i IS NULL THEN w.word WHEN c.j IS NULL THEN substr(w.word, 1, r.i) || ' ' || r.rest ELSE substr(w.word, 1, r.i) || ' ' || substr(r.rest, 1, c.j) || ' ' || substr(r.rest, c.j + 1) END AS split
+    FROM w LEFT JOIN r USING (word) LEFT JOIN c USING (word)""",
 )
 def prefix_split(persons: DataFrame, names: DataFrame) -> DataFrame:
-    """Names written together, split behind the longest known first name that leaves three letters."""
-    first = names.where("nconst % 2 = 0").select(F.lower(F.split("primary_name", " ")[0]).alias("prefix")).distinct()
+    """Names written together, split behind the longest known first name that leaves three letters, and the rest of them once
+    more behind the shortest one."""
+    first = names.select(F.lower(F.split("primary_name", " ")[0]).alias("prefix")).distinct()
     words = persons.where("length(name) BETWEEN 6 AND 31").select(F.lower(F.replace("name", F.lit(" "), F.lit(""))).alias("word")).distinct()
-    cuts = words.select("word", F.explode(F.sequence(F.lit(2), F.length("word") - 3)).alias("i")).withColumn("prefix", F.substring("word", F.lit(1), F.col("i")))
-    best = cuts.join(first, "prefix", "left_semi").groupBy("word").agg(F.max("i").alias("i"))
-    cut = F.concat(F.substring("word", F.lit(1), F.col("i")), F.lit(" "), F.substring("word", F.col("i") + 1, F.length("word")))
-    return words.join(best, "word", "left").select("word", F.when(F.col("i").isNull(), F.col("word")).otherwise(cut).alias("split"))
+
+    def cuts(rows: DataFrame, text: str, best) -> DataFrame:
+        able = rows.where(F.length(text) >= 5).select("word", text, F.explode(F.sequence(F.lit(2), F.length(text) - 3)).alias("i")).withColumn("prefix", F.substring(text, F.lit(1), F.col("i")))
+        return able.join(first, "prefix", "left_semi").groupBy("word").agg(best("i").alias("i"))
+
+    behind = lambda text, i: F.substring(text, F.col(i) + 1, F.length(text))
+    once = words.join(cuts(words, "word", F.max), "word", "left").withColumn("rest", behind("word", "i"))
+    twice = once.join(cuts(once.where("rest IS NOT NULL").select("word", "rest"), "rest", F.min).withColumnRenamed("i", "j"), "word", "left")
+    head = lambda text, i: F.substring(text, F.lit(1), F.col(i))
+    parts = F.array_compact(F.array(head("word", "i"), F.coalesce(head("rest", "j"), "rest"), behind("rest", "j")))
+    return twice.select("word", F.when(F.col("i").isNull(), F.col("word")).otherwise(F.array_join(parts, " ")).alias("split"))
 
 
 _FOLD = "lower(trim({0}))"
@@ -168,8 +178,9 @@ def cast_matches(videos: DataFrame, persons: DataFrame, people: DataFrame, thres
 
 
 _MATCHES = f"""WITH p AS (SELECT DISTINCT v.video_id, v.true_tconst AS tconst, p.name, t.name AS choice, t.category, v.is_series, v.year FROM videos v JOIN persons p USING (video_id) JOIN title_people t ON t.tconst = v.true_tconst),
-  k AS (SELECT *, {duck_sorted_tokens('lower(name)')} AS a, {duck_sorted_tokens('lower(choice)')} AS b FROM p),
-  m AS (SELECT * FROM (SELECT *, {duck_ratio('a', 'b')} AS score FROM k WHERE 200 * least(length(a), length(b)) >= 80 * (length(a) + length(b))) WHERE score >= 80)"""
+  k AS MATERIALIZED (SELECT DISTINCT name, choice, {duck_sorted_tokens('lower(name)')} AS a, {duck_sorted_tokens('lower(choice)')} AS b FROM p),
+  z AS MATERIALIZED (SELECT * FROM (SELECT name, choice, {duck_ratio('a', 'b')} AS score FROM k WHERE 200 * least(length(a), length(b)) >= 80 * (length(a) + length(b))) WHERE score >= 80),
+  m AS (SELECT p.*, z.score FROM p JOIN z ON z.name = p.name AND z.choice = p.choice)"""
 _PEOPLE = "videos persons title_people"
 
 

@@ -22,7 +22,7 @@ ONLY = {
 #: Patterns of goals, cards, scores and of sentences that deny a goal.
 NAME = r"[\p{L}\p{N}_][\p{L}\p{N}_\s]{2,30}?"
 GOAL = rf"(?i)([0-9]{{1,3}})[.\x27]?\s*(?:dakika(?:da|sında)?|dk)\s+({NAME})(?:\s+gol)"
-CARD = r"(?i)(sar[ıi]\s+kart|yellow\s+card)\s*[,.:!]?\s*([0-9]{1,3})[.\x27]?\s*(?:dakika[\p{L}]*)?\s*[,.:!]?\s*([\p{L}\p{N}_][\p{L}\p{N}_\s]{2,30})"
+CARD = r"(?i)(sar[ıi]\s+kart|yellow\s+card|k[ıi]rm[ıi]z[ıi]\s+kart|red\s+card)\s*[,.:!]?\s*([0-9]{1,3})[.\x27]?\s*(?:dakika[\p{L}]*)?\s*[,.:!]?\s*([\p{L}\p{N}_][\p{L}\p{N}_\s]{2,30})"
 SCORE = r"([0-9]{1,3})\s*[-–—:]\s*([0-9]{1,3})"
 NO_GOAL = r"(^|[^\p{L}])gol yok([^\p{L}]|$)|gol izleyemedik|gol sesi [\p{L}]* gelmedi"
 EVIDENCE = r"(?i)(^|[^\p{L}])(gol|penalt|kart|skor|sonu|hakem)[\p{L}]*"
@@ -73,14 +73,22 @@ def speaker_overlap(segments: DataFrame, diarization: DataFrame, width: float =
 
 @query(
     "d48_speaker_naming", "segments persons",
-    """WITH p AS (SELECT video_id, line_no, lower(string_split(name, ' ')[1]) AS word, name FROM persons), w AS (SELECT DISTINCT video_id, seg_no, speaker, lower(unnest(regexp_split_to_array(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' +'))) AS word FROM segments),
-    m AS (SELECT w.video_id, w.speaker, w.seg_no, p.line_no, p.name FROM w JOIN p ON p.video_id = w.video_id AND p.word = w.word) SELECT video_id, speaker, arg_min(name, (seg_no, line_no)) AS name FROM m GROUP BY ALL""",
+    """WITH w AS (SELECT video_id, seg_no, speaker, unnest(t) AS word, generate_subscripts(t, 1) AS i FROM (SELECT video_id, seg_no, speaker, list_filter(regexp_split_to_array(lower(regexp_replace(text, '[^A-Za-z ]', '', 'g')), ' +'), lambda x: x <> '') AS t FROM segments)),
+    p AS (SELECT video_id, line_no, name, lower(string_split(name, ' ')[1]) AS a, lower(string_split(name, ' ')[2]) AS b FROM persons),
+    m AS (SELECT p.video_id, x.speaker, x.seg_no, p.line_no, p.name FROM p JOIN w x ON x.video_id = p.video_id AND x.word = p.a JOIN w y ON y.video_id = x.video_id AND y.seg_no = x.seg_no AND y.word = p.b AND y.i > x.i AND y.i - x.i <= 2)
+    SELECT video_id, speaker, arg_min(name, (seg_no, line_no)) AS name FROM m GROUP BY ALL""",
 )
 def speaker_naming(segments: DataFrame, persons: DataFrame) -> DataFrame:
-    """A speaker is named by the first segment that has the first word of a person's name."""
-    said = segments.select("video_id", "seg_no", "speaker", F.explode(F.split(F.regexp_replace("text", "[^A-Za-z ]", ""), " +")).alias("word")).withColumn("word", F.lower("word")).distinct()
-    table = persons.select("video_id", "line_no", "name", F.lower(F.split("name", " ")[0]).alias("word"))
-    return said.join(table, ["video_id", "word"]).groupBy("video_id", "speaker").agg(F.min_by("name", F.struct("seg_no", "line_no")).alias("name"))
+    """A speaker is named by the first segment that has both words of a person's name in order within three words; of
+    several such persons by the first in the list."""
+    tokens = F.filter(F.split(F.lower(F.regexp_replace("text", "[^A-Za-z ]", "")), " +"), lambda w: w != "")
+    said = segments.select("video_id", "seg_no", "speaker", tokens.alias("t"))
+    spot = lambda step: F.explode(F.transform("t", lambda w, i: F.struct(w.alias("a"), F.get("t", i + step).alias("b"))))
+    two = said.select("video_id", "seg_no", "speaker", spot(1).alias("s")).unionByName(said.select("video_id", "seg_no", "speaker", spot(2).alias("s")))
+    pairs = two.where("s.b IS NOT NULL").select("video_id", "seg_no", "speaker", "s.a", "s.b").distinct()
+    word = lambda i: F.lower(F.get(F.split("name", " "), F.lit(i)))
+    table = persons.select("video_id", "line_no", "name", word(0).alias("a"), word(1).alias("b"))
+    return pairs.join(table, ["video_id", "a", "b"]).groupBy("video_id", "speaker").agg(F.min_by("name", F.struct("seg_no", "line_no")).alias("name"))
 
 
 _WINDOWS = [("first", "0.0", "600.0"), ("middle", "(dur - 900.0) / 2", "(dur + 900.0) / 2"), ("last", "dur - 900.0", "dur")]
@@ -116,10 +124,10 @@ def interval_merge(diarization: DataFrame) -> DataFrame:
     return merge_intervals(diarization, "d_start", "d_end", "d_speaker", "d_no")
 
 
-@query("e12_time_offset", "segments", "SELECT video_id, seg_no, start_sec + 30.0::double AS start_sec, end_sec + 30.0::double AS end_sec, array_to_string(list_transform(range(0, least(3, len(string_split(text, ' ')))), lambda i: cast(cast(start_sec + 30 + i AS bigint) AS varchar)), ',') AS word_starts FROM segments")
+@query("e12_time_offset", "segments", "SELECT video_id, seg_no, start_sec + 30.0::double AS start_sec, end_sec + 30.0::double AS end_sec, array_to_string(list_transform(range(0, len(string_split(text, ' '))), lambda i: cast(cast(start_sec + 30 + i AS bigint) AS varchar)), ',') AS word_starts FROM segments")
 def time_offset(segments: DataFrame, offset: float = 30.0) -> DataFrame:
-    """Segments and their nested words moved by an offset (a word a second, the first three)."""
-    words = F.transform(F.slice(F.split("text", " "), 1, 3), lambda w, i: F.struct(w.alias("word"), (F.col("start_sec") + i).alias("start")))
+    """Segments and their nested words moved by an offset (a word a second)."""
+    words = F.transform(F.split("text", " "), lambda w, i: F.struct(w.alias("word"), (F.col("start_sec") + i).alias("start")))
     moved = segments.withColumn("words", F.transform(words, lambda w: w.withField("start", w["start"] + offset)))
     return moved.select("video_id", "seg_no", (F.col("start_sec") + offset).alias("start_sec"), (F.col("end_sec") + offset).alias("end_sec"), F.array_join(F.transform("words", lambda w: w["start"].cast("long").cast("string")), ",").alias("word_starts"))
 
@@ -296,11 +304,11 @@ def goals(segments: DataFrame) -> DataFrame:
     return rows.join(none, "video_id", "left_anti")
 
 
-@query("f6_cards", "match_phrases", f"WITH c AS (SELECT video_id, unnest(regexp_extract_all(text, '{CARD}')) AS m FROM match_phrases) SELECT DISTINCT video_id, 'sarı kart' AS kind, cast(regexp_extract(m, '{CARD}', 2) AS integer) AS minute, trim(regexp_extract(m, '{CARD}', 3)) AS player FROM c")
+@query("f6_cards", "match_phrases", f"WITH c AS (SELECT video_id, unnest(regexp_extract_all(text, '{CARD}')) AS m FROM match_phrases) SELECT DISTINCT video_id, CASE WHEN regexp_matches(regexp_extract(m, '{CARD}', 1), '(?i)^(k|red)') THEN 'kırmızı kart' ELSE 'sarı kart' END AS kind, cast(regexp_extract(m, '{CARD}', 2) AS integer) AS minute, trim(regexp_extract(m, '{CARD}', 3)) AS player FROM c")
 def cards(segments: DataFrame) -> DataFrame:
     """kind, minute and player of each card, once."""
     found = segments.select("video_id", F.explode(F.regexp_extract_all("text", F.lit(CARD), F.lit(0))).alias("m"))
-    return found.select("video_id", F.lit("sarı kart").alias("kind"), F.regexp_extract("m", CARD, 2).cast("int").alias("minute"), F.trim(F.regexp_extract("m", CARD, 3)).alias("player")).distinct()
+    return found.select("video_id", F.when(F.regexp_extract("m", CARD, 1).rlike("(?i)^(k|red)"), "kırmızı kart").otherwise("sarı kart").alias("kind"), F.regexp_extract("m", CARD, 2).cast("int").alias("minute"), F.trim(F.regexp_extract("m", CARD, 3)).alias("player")).distinct()
 
 
 _TEAMS = r"([A-ZÇĞİÖŞÜ][\p{L}]+)\s+[0-9]{1,3}\s*[-–—:]\s*[0-9]{1,3}\s+([A-ZÇĞİÖŞÜ][\p{L}]+)"

@@ -29,17 +29,18 @@ _view(
            WHEN 3 THEN 'Directed by' WHEN 4 THEN 'Acme Film' WHEN 5 THEN 'yonetmen: Ada Lovelace' ELSE 'Kurgu' END ELSE text END AS text,
            first_seen, frame_no, confidence, lang, source FROM {lines}""",
 )
-_view("lines2", "lines", "SELECT video_id, line_no, upper(replace(text, 'ß', 'ss')) AS text, first_seen + 1.0 AS first_seen, confidence FROM {lines} WHERE line_no % 3 <> 0 AND lang = 'en'")
+_view("lines2", "lines", "SELECT video_id, line_no, upper(replace(CASE WHEN line_no % 4 = 1 THEN translate(text, 'aeiou', 'eioua') ELSE text END, 'ß', 'ss')) AS text, first_seen + 1.0 AS first_seen, confidence FROM {lines} WHERE line_no % 3 <> 0 AND lang = 'en'")
 _view(
     "words", "lines",
-    """SELECT video_id, frame_no, line_no, CAST(wpos AS BIGINT) AS wpos, w AS text, wpos * 110.0D + (line_no % 3) * 5.0D AS x1,
-           wpos * 110.0D + (line_no % 3) * 5.0D + length(w) * 9.0D AS x2, (line_no % 5) * 40.0D AS y1, (line_no % 5) * 40.0D + 18.0D + (length(w) % 4) AS y2, confidence
-      FROM {lines} LATERAL VIEW posexplode(filter(split(text, ' '), z -> z <> '')) t AS wpos, w WHERE wpos < 8""",
-    """SELECT video_id, frame_no, line_no, CAST(i - 1 AS BIGINT) AS wpos, w AS text, (i - 1) * 110.0::DOUBLE + (line_no % 3) * 5.0::DOUBLE AS x1,
-           (i - 1) * 110.0::DOUBLE + (line_no % 3) * 5.0::DOUBLE + length(w) * 9.0::DOUBLE AS x2, (line_no % 5) * 40.0::DOUBLE AS y1,
-           (line_no % 5) * 40.0::DOUBLE + 18.0::DOUBLE + (length(w) % 4) AS y2, confidence
+    """SELECT video_id, frame_no, line_no, CAST(wpos AS BIGINT) AS wpos, w AS text, (wpos % 8) * 110.0D + (line_no % 3) * 5.0D AS x1,
+           (wpos % 8) * 110.0D + (line_no % 3) * 5.0D + length(w) * 9.0D AS x2, (line_no % 5) * 40.0D + (wpos DIV 8) * 200.0D AS y1,
+           (line_no % 5) * 40.0D + (wpos DIV 8) * 200.0D + 18.0D + (length(w) % 4) AS y2, confidence
+      FROM {lines} LATERAL VIEW posexplode(filter(split(text, ' '), z -> z <> '')) t AS wpos, w""",
+    """SELECT video_id, frame_no, line_no, CAST(i - 1 AS BIGINT) AS wpos, w AS text, ((i - 1) % 8) * 110.0::DOUBLE + (line_no % 3) * 5.0::DOUBLE AS x1,
+           ((i - 1) % 8) * 110.0::DOUBLE + (line_no % 3) * 5.0::DOUBLE + length(w) * 9.0::DOUBLE AS x2, (line_no % 5) * 40.0::DOUBLE + ((i - 1) // 8) * 200.0::DOUBLE AS y1,
+           (line_no % 5) * 40.0::DOUBLE + ((i - 1) // 8) * 200.0::DOUBLE + 18.0::DOUBLE + (length(w) % 4) AS y2, confidence
       FROM (SELECT *, unnest(list_filter(string_split(text, ' '), lambda z: z <> '')) AS w,
-                   generate_subscripts(list_filter(string_split(text, ' '), lambda z: z <> ''), 1) AS i FROM lines) WHERE i <= 8""",
+                   generate_subscripts(list_filter(string_split(text, ' '), lambda z: z <> ''), 1) AS i FROM lines)""",
 )
 _view(
     "persons", "lines",
@@ -53,6 +54,9 @@ _view(
     """SELECT video_id, line_no, name, confidence, CASE line_no % 6 WHEN 0 THEN 'actor' WHEN 1 THEN 'Director' WHEN 2 THEN 'Producer' WHEN 3 THEN 'Writer' WHEN 4 THEN 'Editor' ELSE 'Stunts' END AS job,
            CASE video_id % 4 WHEN 0 THEN 'imdb' WHEN 1 THEN 'tmdb' WHEN 2 THEN 'ocr_verified' ELSE '' END AS raw, line_no % 3 = 0 AS is_verified FROM {persons}""",
 )
+_MISREAD = "CASE WHEN line_no % 3 = 1 THEN concat(substring(name, 1, 1), substring(name, 3, 1), substring(name, 2, 1), substring(name, 4)) ELSE name END AS name"
+_view("readings", "persons", f"SELECT video_id, line_no, {_MISREAD}, confidence FROM {{persons}}")
+_view("credit_readings", "credits", f"SELECT video_id, line_no, {_MISREAD}, confidence, job, raw, is_verified FROM {{credits}}")
 _view(
     "titles", "part",
     """SELECT p_partkey AS tconst, p_name AS primary_title, concat(p_type, ' ', p_name) AS original_title, CASE WHEN p_size % 4 = 0 THEN 'tvSeries' ELSE 'movie' END AS title_type,
@@ -69,8 +73,12 @@ _view(
 )
 _view(
     "names", "persons",
+    # numbered in each range of first letters, behind the names of the ranges before it: no task orders all names
+    """WITH d AS (SELECT DISTINCT name, substring(name, 1, 4) AS head FROM {persons}), c AS (SELECT head, count(*) AS n FROM d GROUP BY head), o AS (SELECT head, sum(n) OVER (ORDER BY head) - n AS before FROM c)
+      SELECT CAST(row_number() OVER (PARTITION BY d.head ORDER BY name) - 1 + before AS BIGINT) AS nconst, name AS primary_name, concat(substring(name, 1, 1), substring(name, 3, 1), substring(name, 2, 1), substring(name, 4)) AS ocr_name
+      FROM d JOIN o ON d.head = o.head""",
     """SELECT CAST(row_number() OVER (ORDER BY name) - 1 AS BIGINT) AS nconst, name AS primary_name, concat(substring(name, 1, 1), substring(name, 3, 1), substring(name, 2, 1), substring(name, 4)) AS ocr_name
-      FROM (SELECT DISTINCT name FROM {persons}) d""",
+      FROM (SELECT DISTINCT name FROM persons) d""",
 )
 _view(
     "segments", "conversations",
@@ -85,7 +93,7 @@ _view(
     "match_phrases", "segments",
     """SELECT video_id, seg_no, start_sec, end_sec, speaker, confidence, CASE seg_no % 7 WHEN 0 THEN concat('34. dakikada Metin Oktay gol. ', text) WHEN 1 THEN concat('Galatasaray 2 - 1 Fenerbahce. ', text)
            WHEN 2 THEN concat('sarı kart 23. dakika Alpaslan. ', text) WHEN 3 THEN CASE WHEN video_id % 5 = 0 THEN concat('gol yok. ', text) ELSE text END
-           WHEN 4 THEN concat('korner ofsayt kaleci. ', text) ELSE text END AS text FROM {segments}""",
+           WHEN 4 THEN concat('korner ofsayt kaleci. ', text) WHEN 5 THEN concat('kırmızı kart 61. dakika Rasim Kara. ', text) ELSE text END AS text FROM {segments}""",
 )
 _view(
     "jobs", "events",
