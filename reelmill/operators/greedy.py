@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from reelmill.functions.keys import TR_FROM, TR_TO, duck, safe_lower
 from reelmill.functions.similarity import ratio_of, wratio_of
-from reelmill.operators.lines import top_lines
-from reelmill.operators.names import _sql_junk, is_junk, noise_score
+from reelmill.operators.lines import is_noise, is_subtitle, sql_is_noise, sql_is_subtitle, top_lines
+from reelmill.operators.names import noise_score
 from reelmill.plans.registry import query
 
 #: Role headers and their category, in order; endings of companies' names.
@@ -75,42 +75,67 @@ def role_headers(lines: DataFrame) -> DataFrame:
     return lines.select("video_id", "line_no", "text", header_category(F.col("text")).alias("category")).where("category IS NOT NULL")
 
 
-@query("e1_credit_parse", "role_lines", f"WITH h AS (SELECT video_id, line_no, text, {_sql_header('text')} AS header FROM role_lines), s AS (SELECT *, coalesce(last_value(header IGNORE NULLS) OVER (PARTITION BY video_id ORDER BY line_no ROWS UNBOUNDED PRECEDING), 'cast') AS category FROM h) SELECT video_id, line_no, text AS name, category FROM s WHERE header IS NULL AND length(text) <= 60 AND NOT {_sql_junk('text')}")
+#: A header's own name behind a colon.
+_INLINE = r"^[^:]*:\s*(\S.*)$"
+
+
+def parsed_lines(lines: DataFrame) -> DataFrame:
+    """(video_id, line_no, text, header, inline) of the lines that are neither noise nor subtitles: the category that a line
+    is a header of, and the name that stands in it behind a colon, '' where there is none."""
+    text = F.col("text")
+    rows = lines.select("video_id", "line_no", "text", header_category(text).alias("header"), F.regexp_extract("text", _INLINE, 1).alias("inline"))
+    return rows.where(F.col("header").isNotNull() | ~(is_noise(text) | is_subtitle(text)))
+
+
+@query(
+    "e1_credit_parse", "role_lines",
+    f"""WITH h AS (SELECT video_id, line_no, text, {_sql_header('text')} AS header, regexp_extract(text, '{_INLINE}', 1) AS inline FROM role_lines), k AS (SELECT * FROM h WHERE header IS NOT NULL OR NOT ({sql_is_noise('text')} OR {sql_is_subtitle('text')})),
+    s AS (SELECT *, coalesce(last_value(header IGNORE NULLS) OVER (PARTITION BY video_id ORDER BY line_no ROWS UNBOUNDED PRECEDING), 'cast') AS category FROM k)
+    SELECT video_id, line_no, CASE WHEN header IS NULL THEN text ELSE inline END AS name, category FROM s WHERE header IS NULL OR inline <> ''""",
+)
 def credit_parse(lines: DataFrame) -> DataFrame:
-    """E1 without streak rules: the last header sets the category, cast at first; names of up to 60 characters that aren't junk follow it."""
+    """E1 without streak rules: noise and subtitles go, the last header sets the category, cast at first; the names behind it
+    follow, also one in the header's own line."""
     by = Window.partitionBy("video_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("header", header_category(F.col("text"))).withColumn("category", F.coalesce(F.last("header", ignorenulls=True).over(by), F.lit("cast")))
-    return rows.where(F.col("header").isNull() & (F.length("text") <= 60) & ~is_junk(F.col("text"))).select("video_id", "line_no", F.col("text").alias("name"), "category")
+    rows = parsed_lines(lines).withColumn("category", F.coalesce(F.last("header", ignorenulls=True).over(by), F.lit("cast")))
+    name = F.when(F.col("header").isNull(), F.col("text")).otherwise(F.col("inline"))
+    return rows.where(F.col("header").isNull() | (F.col("inline") != "")).select("video_id", "line_no", name.alias("name"), "category")
+
+
+#: Categories whose unknown rows count; the third such row in a row is noise, the fifth ends the block.
+STREAKS, NOISE_FROM, BACK_FROM = ("director", "crew", "noise"), 3, 5
 
 
 @query("e1_credit_parse_full", "role_lines")
 def credit_parse_full(lines: DataFrame) -> DataFrame:
-    """Outside the cast a brand-like row is noise at once, the third unknown row turns to noise and the fifth back to cast; noise rows give nothing. No name table."""
-    rows = lines.select("video_id", "line_no", "text", header_category(F.col("text")).alias("header"))
+    """As above, and under director or crew a brand-like row turns the block to noise at once, the third unknown row turns it
+    to noise and the fifth back to cast; noise rows give nothing. No name table, so that every row is unknown."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         out, category, unknown = [], "cast", 0
-        for text, header, line in frame.sort_values("line_no")[["text", "header", "line_no"]].itertuples(index=False):
+        for text, header, inline, line in frame.sort_values("line_no")[["text", "header", "inline", "line_no"]].itertuples(index=False):
             if isinstance(header, str):
                 category, unknown = header, 0
+                if inline:
+                    out.append((line, inline, category))
                 continue
-            if category != "cast":
+            if category in STREAKS:
                 parts = text.split()
+                if len(parts) == 1 and (text.isupper() and len(text) > 3 or len(text) <= 3):
+                    category, unknown = "noise", max(unknown + 1, NOISE_FROM)
+                    continue
                 unknown += 1
-                if unknown >= 5:
+                if unknown >= BACK_FROM:
                     category, unknown = "cast", 0
                     continue
-                if len(parts) == 1 and (text.isupper() and len(text) > 3 or len(text) <= 3):
-                    category = "noise"
-                    continue
-                if unknown >= 3:
+                if unknown >= NOISE_FROM:
                     category = "noise"
                 if category == "noise":
                     continue
             out.append((line, text, category))
         return _plain(pd.DataFrame({"video_id": frame["video_id"].iloc[0], "line_no": pd.Series([o[0] for o in out], dtype="int64"), "name": pd.Series([o[1] for o in out], dtype=object), "category": pd.Series([o[2] for o in out], dtype=object)}))
 
-    return rows.groupBy("video_id").applyInPandas(run, "video_id long, line_no long, name string, category string")
+    return parsed_lines(lines).groupBy("video_id").applyInPandas(run, "video_id long, line_no long, name string, category string")
 
 
 @query("e2_split_name_merge", "readings names", "WITH f AS (SELECT DISTINCT lower(string_split(primary_name, ' ')[1]) AS w FROM names), p AS (SELECT video_id, line_no, string_split(name, ' ')[1] AS word, lead(name) OVER (PARTITION BY video_id ORDER BY line_no) AS next_name FROM readings) SELECT p.video_id, p.line_no, p.word || ' ' || p.next_name AS name FROM p JOIN f a ON a.w = lower(p.word) JOIN f b ON b.w = lower(string_split(p.next_name, ' ')[1])")

@@ -125,30 +125,45 @@ def mojibake_repair(lines: DataFrame) -> DataFrame:
     return lines.select("video_id", "line_no", fixed.alias("text"), F.col("text").alias("original"), (fixed != F.col("text")).alias("repaired"))
 
 
-@query("b18_parser_noise", "lines", rf"SELECT video_id, line_no, text, length(text) < 2 OR regexp_matches(text, '^[^\p{{L}}]*$') OR regexp_matches(text, '{ODD}') AS is_noise FROM lines")
+def is_noise(text: Column) -> Column:
+    """Symbols or digits only, too short, or three odd characters in a row."""
+    t = F.trim(text)
+    return (F.length(t) < 2) | t.rlike(r"^[^\p{L}]*$") | t.rlike(ODD)
+
+
+def sql_is_noise(text: str) -> str:
+    return rf"(length({text}) < 2 OR regexp_matches({text}, '^[^\p{{L}}]*$') OR regexp_matches({text}, '{ODD}'))"
+
+
+@query("b18_parser_noise", "lines", f"SELECT video_id, line_no, text, {sql_is_noise('text')} AS is_noise FROM lines")
 def parser_noise(lines: DataFrame) -> DataFrame:
-    """Symbols or digits only, too short, or three odd characters in a row."""
-    text = F.trim("text")
-    return lines.select("video_id", "line_no", "text", ((F.length(text) < 2) | text.rlike(r"^[^\p{L}]*$") | text.rlike(ODD)).alias("is_noise"))
+    """Is a line noise to the parser?"""
+    return lines.select("video_id", "line_no", "text", is_noise(F.col("text")).alias("is_noise"))
 
 
+#: Endings of verbs.
 _VERBS = "(yor|mak|mek|dır|dir|lar|ler|miş|muş|ing)$"
 
 
-@query(
-    "b19_subtitle_like", "lines",
-    rf"""SELECT video_id, line_no, text, NOT ((text = upper(replace(text, 'ß', 'ss')) AND text <> lower(replace(text, 'İ', 'i'))) OR (strpos(text, ' ') > 0 AND NOT regexp_matches(text, '(^|\s)[^\p{{Lu}}\s]')))
-         AND (len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) > 8 OR len(regexp_extract_all(text, '[!?;…"'']')) >= 2
-              OR (length(text) > 15 AND regexp_matches({duck('safe_lower', 'text')}, '{_VERBS}'))) AS subtitle_like FROM lines""",
-)
-def subtitle_like(lines: DataFrame) -> DataFrame:
-    """A sentence rather than a credit: neither capitals nor title case, and long, punctuated or a verb at its end."""
-    text = F.col("text")
+def is_subtitle(text: Column) -> Column:
+    """A sentence rather than a credit: neither capitals nor title case, and long, punctuated or a verb at its end."""
     capitals = (text == F.upper(F.replace(text, F.lit("ß"), F.lit("ss")))) & (text != safe_lower(text))
     titled = (F.instr(text, " ") > 0) & ~text.rlike(r"(^|\s)[^\p{Lu}\s]")
     words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
     sentence = (words > 8) | (F.regexp_count(text, F.lit("[!?;…\"']")) >= 2) | ((F.length(text) > 15) & safe_lower(text).rlike(_VERBS))
-    return lines.select("video_id", "line_no", "text", (~(capitals | titled) & sentence).alias("subtitle_like"))
+    return ~(capitals | titled) & sentence
+
+
+def sql_is_subtitle(text: str) -> str:
+    return rf"""(NOT (({text} = upper(replace({text}, 'ß', 'ss')) AND {text} <> lower(replace({text}, 'İ', 'i'))) OR (strpos({text}, ' ') > 0 AND NOT regexp_matches({text}, '(^|\s)[^\p{{Lu}}\s]')))
+         AND (len(list_filter(regexp_split_to_array({text}, '\s+'), lambda w: w <> '')) > 8 OR len(regexp_extract_all({text}, '[!?;…"'']')) >= 2
+              OR (length({text}) > 15 AND regexp_matches({duck('safe_lower', text)}, '{_VERBS}'))))"""
+
+
+@query("b19_subtitle_like", "lines", f"SELECT video_id, line_no, text, {sql_is_subtitle('text')} AS subtitle_like FROM lines")
+def subtitle_like(lines: DataFrame) -> DataFrame:
+    """Is a line a sentence of subtitles?"""
+    return lines.select("video_id", "line_no", "text", is_subtitle(F.col("text")).alias("subtitle_like"))
 
 
 @query(

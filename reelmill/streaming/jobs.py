@@ -6,6 +6,8 @@ else it goes on by processing time. Sinks are idempotent, so a batch that runs a
 
 from __future__ import annotations
 
+from zlib import crc32
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -34,16 +36,18 @@ def _existing(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
 
 
-LEDGER = "path STRING, returncode INT, finished_at TIMESTAMP"
+LEDGER = "path STRING, returncode INT, finished_at TIMESTAMP, batch STRING"
 
 
 def resume_ledger(runs: DataFrame, ledger: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """H2: runs (path, returncode, finished_at) join the ledger unless their path is in it as completed."""
+    """H2: runs (path, returncode, finished_at) join the ledger unless their path is in it as completed. A batch of a checkpoint has a
+    folder of its own in the ledger, so a batch that is replayed replaces what it wrote."""
 
-    def add(batch: DataFrame, _: int) -> None:
-        done = _existing(batch.sparkSession, ledger, LEDGER).where("returncode = 0").select("path").distinct()
+    def add(batch: DataFrame, number: int) -> None:
+        own = f"{crc32(checkpoint.encode()):08x}-{number}"
+        done = _existing(batch.sparkSession, ledger, LEDGER).where(F.col("batch") != own).where("returncode = 0").select("path").distinct()
         fresh = batch.groupBy("path").agg(F.min_by("returncode", F.struct("returncode", "finished_at")).alias("returncode"), F.min("finished_at").alias("finished_at"))
-        fresh.join(done, "path", "left_anti").write.mode("append").parquet(ledger)
+        fresh.join(done, "path", "left_anti").write.mode("overwrite").parquet(f"{ledger.rstrip('/')}/batch={own}")
 
     return _start(runs.writeStream.foreachBatch(add), checkpoint, once)
 
