@@ -8,6 +8,7 @@ whose lengths allow t, and scores a block pair with bit-parallel arithmetic on w
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -41,13 +42,19 @@ def _sorted_tokens(text: str) -> str:
     return " ".join(sorted(text.split()))
 
 
-def _partial(a: str, b: str) -> float:
-    """The best ratio of the shorter text against any stretch of the longer one of at most its length."""
+def _partial(a: str, b: str, least: float = 0.0) -> float:
+    """The best ratio of the shorter text against any stretch of the longer one of at most its length; 0 where the
+    letters that they share rule `least` out."""
     short, long = (a, b) if len(a) <= len(b) else (b, a)
-    if not short:
+    n, shared = len(short), (Counter(a) & Counter(b)).total()
+    if not shared or 200.0 * shared / (n + shared) < least:
         return 0.0
-    n = len(short)
-    return max(ratio_of(short, long[max(0, i) : i + n]) for i in range(1 - n, len(long)))
+    best = 0.0
+    for i in range(1 - n, len(long)):
+        best = max(best, ratio_of(short, long[max(0, i) : i + n]))
+        if best == 100.0:
+            break
+    return best
 
 
 def _token_set(a: str, b: str, scorer) -> float:
@@ -62,8 +69,9 @@ def _token_set(a: str, b: str, scorer) -> float:
     return max([*found, scorer(both, one), scorer(both, two)]) if both else max(found)
 
 
-def wratio_of(a: str | None, b: str | None) -> float:
-    """S3: the best of ratio, token ratios x .95, and for lengths 1.5 times apart or more partial ratios x .9 (.6 from 8 times on)."""
+def wratio_of(a: str | None, b: str | None, least: float = 0.0) -> float:
+    """S3: the best of ratio, token ratios x .95, and for lengths 1.5 times apart or more partial ratios x .9 (.6 from 8 times on).
+    A score below `least` may come out lower than it is."""
     a, b = a or "", b or ""
     if not a or not b:
         return 0.0
@@ -73,23 +81,23 @@ def wratio_of(a: str | None, b: str | None) -> float:
     if apart < 1.5:
         return max(best, 0.95 * ratio_of(sa, sb), 0.95 * _token_set(a, b, ratio_of))
     scale = 0.6 if apart >= 8 else 0.9
-    return max(best, scale * _partial(a, b), scale * 0.95 * max(_partial(sa, sb), _token_set(a, b, _partial)))
+    near, loose = least / scale, least / scale / 0.95
+    return max(best, scale * _partial(a, b, near), scale * 0.95 * max(_partial(sa, sb, loose), _token_set(a, b, lambda x, y: _partial(x, y, loose))))
 
 
 def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio_of(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def _wratios(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([wratio_of(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
 def ratio(a: Column, b: Column) -> Column:
     return F.pandas_udf(_ratios, "double")(a, b)
 
 
-def wratio(a: Column, b: Column) -> Column:
-    return F.pandas_udf(_wratios, "double")(a, b)
+def wratio(a: Column, b: Column, least: float = 0.0) -> Column:
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([wratio_of(x, y, least) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return F.pandas_udf(run, "double")(a, b)
 
 
 def sorted_tokens(text: Column) -> Column:

@@ -244,16 +244,24 @@ def hints(videos: DataFrame, people: DataFrame) -> DataFrame:
     return videos.select("video_id", "true_tconst").join(first, "true_tconst").select("video_id", "key", part(0).alias("hint_department"), part(1).alias("hint_job"))
 
 
+def credit_hints(credits: DataFrame) -> DataFrame:
+    """The same of credits that catalogues gave, where these stand beside the readings."""
+    rows = credits.where("raw IN ('tmdb', 'imdb')").withColumn("department", _map(F.col("job"), DEPARTMENT))
+    return rows.groupBy("video_id", ascii_key("name").alias("key")).agg(F.min_by("department", "line_no").alias("hint_department"), F.min_by("job", "line_no").alias("hint_job"))
+
+
 @query(
     "d36_field_mismatch", "credits videos title_people",
     f"""WITH {_HINTS}, c AS (SELECT *, {_DEPT_SQL} AS expected, {duck('ascii_key', 'name')} AS key FROM credits WHERE raw = 'ocr_verified')
     SELECT c.video_id, c.line_no, c.name, c.job AS ocr_job, h.hint_job AS job, h.hint_department AS department, CASE WHEN c.job IN ('Director', 'Producer', 'actor') THEN 1 ELSE 2 END AS category
     FROM c JOIN h ON h.video_id = c.video_id AND h.key = c.key WHERE c.expected IS NOT NULL AND h.hint_department <> c.expected""",
 )
-def field_mismatch(credits: DataFrame, videos: DataFrame, people: DataFrame) -> DataFrame:
-    """Verified readings whose job's department differs from the catalogue's; the catalogue's job wins, category 1 or 2."""
+def field_mismatch(credits: DataFrame, videos: DataFrame | None = None, people: DataFrame | None = None) -> DataFrame:
+    """Verified readings whose job's department differs from the catalogue's; the catalogue's job wins, category 1 or 2. The
+    catalogue is the people of the video's title or, without these, the credits that come from catalogues."""
+    held = credit_hints(credits) if people is None else hints(videos, people)
     rows = credits.where("raw = 'ocr_verified'").withColumn("expected", _map(F.col("job"), DEPARTMENT)).withColumn("key", ascii_key("name"))
-    wrong = rows.join(hints(videos, people), ["video_id", "key"]).where("expected IS NOT NULL AND hint_department <> expected")
+    wrong = rows.join(held, ["video_id", "key"]).where("expected IS NOT NULL AND hint_department <> expected")
     category = F.when(F.col("job").isin("Director", "Producer", "actor"), 1).otherwise(2)
     return wrong.select("video_id", "line_no", "name", F.col("job").alias("ocr_job"), F.col("hint_job").alias("job"), F.col("hint_department").alias("department"), category.alias("category"))
 

@@ -19,14 +19,15 @@ def name_match_score(query_name, choice, threshold: float = 85.0):
     last = lambda t: F.element_at(F.split(t, " "), -1)
     two = F.contains(a, F.lit(" ")) & F.contains(b, F.lit(" "))
     guard = ~two | (first(a) != first(b)) | (F.least(F.length(last(a)), F.length(last(b))) >= 5) | (ratio(last(a), last(b)) >= max(88.0, threshold))
-    direct, folded = wratio(query_name, choice), wratio(a, b)
+    folded_from = max(75.0, threshold - 3)
+    direct, folded = wratio(query_name, choice, threshold), wratio(a, b, folded_from)
     strong_sizes = two & (F.least(F.length(first(a)), F.length(first(b))) >= 4) & (F.least(F.length(last(a)), F.length(last(b))) >= 5) & (F.length(F.replace(a, F.lit(" "), F.lit(""))) >= 10) & (F.length(F.replace(b, F.lit(" "), F.lit(""))) >= 10)
     full, firsts, lasts = ratio(a, b), ratio(first(a), first(b)), ratio(last(a), last(b))
     strong = strong_sizes & (((firsts >= 92) & (lasts >= 58) & (full >= max(74.0, threshold - 8))) | ((first(a) == first(b)) & (lasts >= 62) & (full >= max(76.0, threshold - 6))))
     return (
         F.when(alnum_key(query_name) == alnum_key(choice), 100.0)
         .when((direct >= threshold) & guard, direct)
-        .when((folded >= max(75.0, threshold - 3)) & guard, folded)
+        .when((folded >= folded_from) & guard, folded)
         .when(strong, full)
     )
 
