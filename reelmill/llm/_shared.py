@@ -40,6 +40,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Spark removes the shuffle files of a finished query at once where this is set.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """materialize(), whose shuffle files go as soon as the table is written, as nothing reads them again."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        return materialize(df, label)
+    finally:
+        conf.set(CLEANUP, before) if before is not None else conf.unset(CLEANUP)
+
+
 def discard(df: DataFrame) -> None:
     """Removes the files of a table made by materialize() that nothing reads any more."""
     spark = df.sparkSession
