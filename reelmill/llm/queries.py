@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelmill.llm import bpe, chat, licenses, line_dedup, mixing, pii, quality, simhash, spelling, topk, urls
+from reelmill.llm import align, bpe, chat, licenses, line_dedup, mixing, pii, quality, simhash, spelling, topk, urls
 from reelmill.llm._shared import table
 
 
@@ -53,6 +53,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.report(table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_pii_spans": op1_pii_spans,
@@ -66,6 +70,7 @@ def queries() -> dict:
         "op9_simhash": op9_simhash,
         "op10_top_k": op10_top_k,
         "op12_spelling_variants": op12_spelling_variants,
+        "op13_token_alignment": op13_token_alignment,
     }
 
 
