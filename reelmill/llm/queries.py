@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelmill.llm import align, bpe, chat, licenses, line_dedup, mixing, pii, quality, simhash, spelling, topk, urls
+from reelmill.llm import align, bpe, chat, licenses, line_dedup, mixing, pii, quality, simhash, spelling, suffix_dedup, topk, urls
 from reelmill.llm._shared import table
 
 
@@ -49,6 +49,10 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.report(table(spark, sf_dir, "documents"))
 
@@ -69,6 +73,7 @@ def queries() -> dict:
         "op8_quality_bands": op8_quality_bands,
         "op9_simhash": op9_simhash,
         "op10_top_k": op10_top_k,
+        "op11_suffix_dedup": op11_suffix_dedup,
         "op12_spelling_variants": op12_spelling_variants,
         "op13_token_alignment": op13_token_alignment,
     }
