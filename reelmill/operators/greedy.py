@@ -1,4 +1,4 @@
-"""Passes that go by order within a group: greedy fuzzy dedup and clusters, sequential credit parsing, report casing.
+"""Passes that go by order within a group: greedy fuzzy dedup and clusters, report casing.
 
 A group is a video or a video's role, capped by C6 where the rules cap it; Spark deals groups out, and a pass keeps one
 group in memory.
@@ -10,134 +10,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelmill.functions.keys import TR_FROM, TR_TO, duck, safe_lower
 from reelmill.functions.similarity import ratio_of, wratio_of
-from reelmill.operators.lines import is_noise, is_subtitle, sql_is_noise, sql_is_subtitle, top_lines
+from reelmill.operators.lines import top_lines
 from reelmill.operators.names import noise_score
 from reelmill.plans.registry import query
 
-#: Role headers and their category, in order; endings of companies' names.
-HEADERS = (
-    ("cast", ("oynayanlar", "oyuncular", "cast", "başroller", "basroller", "starring", "oynayan", "oyuncu", "darsteller", "avec", "interpreti", "acteurs", "actores", "atores")),
-    ("director", ("yönetmen", "yonetmen", "director", "yöneten", "yoneten", "regie", "réalisation", "realisation", "regia", "dirección", "direccion", "dirigido por", "a film by", "film by", "directed by")),
-    ("crew", ("senaryo", "senarist", "screenplay", "drehbuch", "written by", "story by", "script", "görüntü yönetmeni", "goruntu yonetmeni", "director of photography", "kamera", "camera", "kamera operatorleri", "müzik", "muzik", "music", "kurgu", "montaj", "editing", "edited by", "editor", "yapımcı", "yapimci", "producer", "executive producer")),
-    ("production", ("yapım", "yapim", "production", "produced by")),
-)
-COMPANY_ENDS = ("film", "films", "filmcilik", "medya", "yapım", "yapimevi", "production", "productions", "studio", "televizyon")
-ALIASES = {alias: category for category, aliases in HEADERS for alias in aliases}
-
-
 def _plain(frame: pd.DataFrame) -> pd.DataFrame:
     """Text columns as plain objects, which Arrow takes as one array."""
     return frame.astype({c: object for c in frame.columns if not pd.api.types.is_numeric_dtype(frame[c])})
 
 
-def fold(text):
-    """Turkish letters folded, lower case, letters and digits with single spaces."""
-    return F.trim(F.regexp_replace(F.lower(F.translate(text, TR_FROM, TR_TO)), "[^a-z0-9]+", " "))
-
-
-def _fold_py(text: str) -> str:
-    return text.translate(str.maketrans(TR_FROM, TR_TO)).lower()
-
-
-_FOLDED = {_fold_py(a): c for a, c in reversed(ALIASES.items())}
-_EXACT = "CASE {0} " + " ".join(f"WHEN '{a}' THEN '{c}'" for a, c in ALIASES.items()) + " END"
-_FOLD_EXACT = "CASE {0} " + " ".join(f"WHEN '{a}' THEN '{c}'" for a, c in _FOLDED.items()) + " END"
-_PREFIX = {c: "^(" + "|".join(a for a, k in ALIASES.items() if k == c) + ")[ :]" for c, _ in HEADERS}
-_FOLD_PREFIX = {c: "^(" + "|".join(a for a, k in _FOLDED.items() if k == c) + ")[ :]" for c, _ in HEADERS}
-
-
-def header_category(text):
-    """The category that a line is a header of, or null: exact, then prefix, then the same on folded text, then a company's ending."""
-    low, folded = safe_lower(F.trim(text)), fold(text)
-    found = F.element_at(F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv]), low)
-    prefix = F.lit(None).cast("string")
-    for patterns, t in ((_FOLD_PREFIX, folded), (_PREFIX, low)):
-        for c in reversed([h for h, _ in HEADERS]):
-            prefix = F.when(t.rlike(patterns[c]), c).otherwise(prefix)
-        if patterns is _FOLD_PREFIX:
-            prefix = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in _FOLDED.items() for x in kv]), folded), prefix)
-    company = F.when(low.rlike("(" + "|".join(COMPANY_ENDS) + ")$") & (F.length(low) > 8), "company")
-    return F.coalesce(found, prefix, company)
-
-
-def _sql_header(text: str) -> str:
-    low = duck("safe_lower", f"trim({text})")
-    folded = f"trim(regexp_replace(lower(translate({text}, '{TR_FROM}', '{TR_TO}')), '[^a-z0-9]+', ' ', 'g'))"
-    cases = lambda patterns, t: "CASE " + " ".join(f"WHEN regexp_matches({t}, '{patterns[c]}') THEN '{c}'" for c, _ in HEADERS) + " END"
-    return f"coalesce({_EXACT.format(low)}, {cases(_PREFIX, low)}, {_FOLD_EXACT.format(folded)}, {cases(_FOLD_PREFIX, folded)}, CASE WHEN regexp_matches({low}, '({'|'.join(COMPANY_ENDS)})$') AND length({low}) > 8 THEN 'company' END)"
-
-
-@query("d8_role_headers", "role_lines", f"SELECT video_id, line_no, text, {_sql_header('text')} AS category FROM role_lines WHERE {_sql_header('text')} IS NOT NULL")
-def role_headers(lines: DataFrame) -> DataFrame:
-    """Lines that are role headers, with their category."""
-    return lines.select("video_id", "line_no", "text", header_category(F.col("text")).alias("category")).where("category IS NOT NULL")
-
-
-#: A header's own name behind a colon.
-_INLINE = r"^[^:]*:\s*(\S.*)$"
-
-
-def parsed_lines(lines: DataFrame) -> DataFrame:
-    """(video_id, line_no, text, header, inline) of the lines that are neither noise nor subtitles: the category that a line
-    is a header of, and the name that stands in it behind a colon, '' where there is none."""
-    text = F.col("text")
-    rows = lines.select("video_id", "line_no", "text", header_category(text).alias("header"), F.regexp_extract("text", _INLINE, 1).alias("inline"))
-    return rows.where(F.col("header").isNotNull() | ~(is_noise(text) | is_subtitle(text)))
-
-
-@query(
-    "e1_credit_parse", "role_lines",
-    f"""WITH h AS (SELECT video_id, line_no, text, {_sql_header('text')} AS header, regexp_extract(text, '{_INLINE}', 1) AS inline FROM role_lines), k AS (SELECT * FROM h WHERE header IS NOT NULL OR NOT ({sql_is_noise('text')} OR {sql_is_subtitle('text')})),
-    s AS (SELECT *, coalesce(last_value(header IGNORE NULLS) OVER (PARTITION BY video_id ORDER BY line_no ROWS UNBOUNDED PRECEDING), 'cast') AS category FROM k)
-    SELECT video_id, line_no, CASE WHEN header IS NULL THEN text ELSE inline END AS name, category FROM s WHERE header IS NULL OR inline <> ''""",
-)
-def credit_parse(lines: DataFrame) -> DataFrame:
-    """E1 without streak rules: noise and subtitles go, the last header sets the category, cast at first; the names behind it
-    follow, also one in the header's own line."""
-    by = Window.partitionBy("video_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = parsed_lines(lines).withColumn("category", F.coalesce(F.last("header", ignorenulls=True).over(by), F.lit("cast")))
-    name = F.when(F.col("header").isNull(), F.col("text")).otherwise(F.col("inline"))
-    return rows.where(F.col("header").isNull() | (F.col("inline") != "")).select("video_id", "line_no", name.alias("name"), "category")
-
-
-#: Categories whose unknown rows count; the third such row in a row is noise, the fifth ends the block.
-STREAKS, NOISE_FROM, BACK_FROM = ("director", "crew", "noise"), 3, 5
-
-
-@query("e1_credit_parse_full", "role_lines")
-def credit_parse_full(lines: DataFrame) -> DataFrame:
-    """As above, and under director or crew a brand-like row turns the block to noise at once, the third unknown row turns it
-    to noise and the fifth back to cast; noise rows give nothing. No name table, so that every row is unknown."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        out, category, unknown = [], "cast", 0
-        for text, header, inline, line in frame.sort_values("line_no")[["text", "header", "inline", "line_no"]].itertuples(index=False):
-            if isinstance(header, str):
-                category, unknown = header, 0
-                if inline:
-                    out.append((line, inline, category))
-                continue
-            if category in STREAKS:
-                parts = text.split()
-                if len(parts) == 1 and (text.isupper() and len(text) > 3 or len(text) <= 3):
-                    category, unknown = "noise", max(unknown + 1, NOISE_FROM)
-                    continue
-                unknown += 1
-                if unknown >= BACK_FROM:
-                    category, unknown = "cast", 0
-                    continue
-                if unknown >= NOISE_FROM:
-                    category = "noise"
-                if category == "noise":
-                    continue
-            out.append((line, text, category))
-        return _plain(pd.DataFrame({"video_id": frame["video_id"].iloc[0], "line_no": pd.Series([o[0] for o in out], dtype="int64"), "name": pd.Series([o[1] for o in out], dtype=object), "category": pd.Series([o[2] for o in out], dtype=object)}))
-
-    return parsed_lines(lines).groupBy("video_id").applyInPandas(run, "video_id long, line_no long, name string, category string")
-
-
 @query("e2_split_name_merge", "readings names", "WITH f AS (SELECT DISTINCT lower(string_split(primary_name, ' ')[1]) AS w FROM names), p AS (SELECT video_id, line_no, string_split(name, ' ')[1] AS word, lead(name) OVER (PARTITION BY video_id ORDER BY line_no) AS next_name FROM readings) SELECT p.video_id, p.line_no, p.word || ' ' || p.next_name AS name FROM p JOIN f a ON a.w = lower(p.word) JOIN f b ON b.w = lower(string_split(p.next_name, ' ')[1])")
 def split_name_merge(persons: DataFrame, names: DataFrame) -> DataFrame:
     """A row of one first name (here the first word of each) before a row that begins with one is joined with it."""

@@ -25,8 +25,8 @@ _view(
 )
 _view(
     "role_lines", "lines",
-    """SELECT video_id, line_no, CASE WHEN line_no % 9 = 0 THEN CASE video_id % 7 WHEN 0 THEN 'Oyuncular' WHEN 1 THEN 'Yönetmen' WHEN 2 THEN 'KAMERA OPERATORLERi'
-           WHEN 3 THEN 'Directed by' WHEN 4 THEN 'Acme Film' WHEN 5 THEN 'yonetmen: Ada Lovelace' ELSE 'Kurgu' END ELSE text END AS text,
+    """SELECT video_id, line_no, CASE WHEN line_no % 9 = 0 THEN CASE video_id % 11 WHEN 0 THEN 'Oyuncular' WHEN 1 THEN 'Yönetmen' WHEN 2 THEN 'KAMERA OPERATORLERi'
+           WHEN 3 THEN 'Directed by' WHEN 4 THEN 'Acme Film' WHEN 5 THEN 'yonetmen: Ada Lovelace' WHEN 6 THEN 'Oyuncuiar' WHEN 7 THEN 'Yönetnem' WHEN 8 THEN 'GORUNTU YONETNENi' WHEN 9 THEN 'bu filmin müzik kayıtları 1987' ELSE 'Kurgu' END ELSE text END AS text,
            first_seen, frame_no, confidence, lang, source FROM {lines}""",
 )
 _view("lines2", "lines", "SELECT video_id, line_no, upper(replace(CASE WHEN line_no % 4 = 1 THEN translate(text, 'aeiou', 'eioua') ELSE text END, 'ß', 'ss')) AS text, first_seen + 1.0 AS first_seen, confidence FROM {lines} WHERE line_no % 3 <> 0 AND lang = 'en'")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelmill.functions.similarity import ratio_of, wratio_of
-from reelmill.operators import greedy, layout, lines, matching, resolution
+from reelmill.operators import greedy, layout, lines, matching, resolution, roles
 from reelmill.operators.names import noise_score
 from reelmill.views import view
 
@@ -141,7 +141,7 @@ def test_sequential_parse(spark):
     names = ["Ada King", "Bob Lee", "Cem Kaya", "Dan Poe", "Eva Roe", "Fay Lim"]
     rows = ["Ada Star", "Directed by", *names, "Oyuncular", "KOLA", "Kurgu: Jon Snow", "KOLA", "Ada King", "production", *names[:4], "###", "they were walking in the long cold night again, friend"]
     df = spark.createDataFrame([(1, i, t) for i, t in enumerate(rows)], "video_id long, line_no long, text string")
-    got = [(r["name"], r["category"]) for r in greedy.credit_parse_full(df).orderBy("line_no").collect()]
+    got = [(r["name"], r["category"]) for r in roles.credit_parse_full(df).orderBy("line_no").collect()]
     assert got == [("Ada Star", "cast"), ("Ada King", "director"), ("Bob Lee", "director"), ("Fay Lim", "cast"), ("KOLA", "cast"), ("Jon Snow", "crew"), *[(n, "production") for n in names[:4]]]
 
 
