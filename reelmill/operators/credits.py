@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelmill.functions.contain import first_overlap
 from reelmill.functions.keys import alnum_key, ascii_key, duck, plain_key, word_key
 from reelmill.functions.similarity import best_jaccard, duck_ratio, ratio
 from reelmill.operators.names import _SQL_VARIANT, _sql_blacklist, _sql_junk, _sql_non_person, _sql_reason, blacklist_reason, is_junk, is_non_person, structural_reason, variant_score, words
@@ -60,14 +61,13 @@ def line_lineage(lines: DataFrame, credits: DataFrame) -> DataFrame:
     """Raw text, repaired text, final name and category of each line. A line belongs to the credit of its video that it equals, case
     aside, else to that with its ascii key, else to the first one whose key holds its own or the other way round.
 
-    Only lines whose key no credit has are compared with a video's credits one by one.
+    Only lines whose key no credit has go on to the search for texts inside one another.
     """
     table = credits.groupBy("video_id", ascii_key("name").alias("key")).agg(F.min_by("name", "line_no").alias("name"), F.min_by("job", "line_no").alias("job"), F.min("line_no").alias("place")).where("key <> ''")
     keyed = lines.select("video_id", "line_no", F.col("text").alias("raw_text"), F.trim(F.regexp_replace("text", r"\s+", " ")).alias("repaired"), ascii_key("text").alias("key"))
     exact = keyed.join(table.select("video_id", "key", "name", "job"), ["video_id", "key"], "left")
-    rest = exact.where("name IS NULL AND key <> ''").select("video_id", "line_no", F.col("key").alias("line_key"))
-    within = F.col("line_key").contains(F.col("key")) | F.col("key").contains(F.col("line_key"))
-    near = rest.join(table, "video_id").where(within).groupBy("video_id", "line_no").agg(F.min_by(F.struct("name", "job"), "place").alias("near"))
+    near = first_overlap(exact.where("name IS NULL AND key <> ''").select("video_id", "line_no", "key"), table.select("video_id", "key", "place"))
+    near = near.join(table.select("video_id", "place", F.struct("name", "job").alias("near")), ["video_id", "place"]).drop("place")
     both = exact.join(near, ["video_id", "line_no"], "left")
     return both.select("video_id", "line_no", "raw_text", "repaired", F.coalesce("name", "near.name").alias("final_name"), F.coalesce("job", "near.job", F.lit("unknown")).alias("category"))
 
@@ -207,13 +207,13 @@ def reverse_scorecard(credits: DataFrame, videos: DataFrame, people: DataFrame,
 
 @query(
     "d34_external_credits", "title_people",
-    """WITH c AS (SELECT DISTINCT tconst, nconst, name, category, ordering FROM title_people), cast_rows AS (SELECT *, row_number() OVER (PARTITION BY tconst ORDER BY ordering, nconst, name, category) AS r FROM c WHERE category IN ('actor', 'actress'))
+    """WITH c AS (SELECT DISTINCT tconst, name, category, ordering FROM title_people), cast_rows AS (SELECT *, row_number() OVER (PARTITION BY tconst ORDER BY ordering, name, category) AS r FROM c WHERE category IN ('actor', 'actress'))
     SELECT tconst, name, 'cast' AS part FROM cast_rows WHERE r <= 15 UNION ALL SELECT tconst, name, 'crew' FROM c WHERE category NOT IN ('actor', 'actress') UNION ALL SELECT tconst, name, 'director' FROM c WHERE category = 'director'""",
 )
 def external_credits(people: DataFrame) -> DataFrame:
     """The first 15 of the cast, the crew, and directors derived from it."""
-    rows = people.select("tconst", "nconst", "name", "category", "ordering").distinct()
-    order = Window.partitionBy("tconst").orderBy("ordering", "nconst", "name", "category")
+    rows = people.select("tconst", "name", "category", "ordering").distinct()
+    order = Window.partitionBy("tconst").orderBy("ordering", "name", "category")
     acting = F.col("category").isin("actor", "actress")
     cast = rows.where(acting).withColumn("r", F.row_number().over(order)).where("r <= 15")
     part = lambda d, p: d.select("tconst", "name", F.lit(p).alias("part"))
@@ -374,7 +374,7 @@ def uncovered_frames(lines: DataFrame, second: DataFrame) -> DataFrame:
     return lines.join(covered, ["video_id", "frame_no"], "left_anti").select("video_id", "frame_no", F.explode(F.split("text", ", ")).alias("text"), F.lit(0.6).alias("confidence"))
 
 
-_LAYERS = f"""WITH k AS (SELECT c.*, {_sql_blacklist('c.name')} IS NOT NULL AS blacklisted, {_sql_reason('c.name')} <> 'ok' AS malformed, n.key IS NOT NULL AS known FROM credit_readings c LEFT JOIN (SELECT DISTINCT {duck('name_key', 'primary_name')} AS key FROM names) n ON n.key = {duck('name_key', 'c.name')}),
+_LAYERS = f"""WITH k AS (SELECT c.*, {_sql_blacklist('c.name')} IS NOT NULL AS blacklisted, {_sql_reason('c.name')} <> 'ok' AS malformed, n.key IS NOT NULL AS known FROM credit_readings c LEFT JOIN (SELECT DISTINCT {duck('name_key', 'primary_name')} AS key FROM name_list) n ON n.key = {duck('name_key', 'c.name')}),
   l AS (SELECT *, CASE WHEN blacklisted THEN 'blacklist' WHEN malformed THEN 'structure' WHEN known THEN 'name_table' WHEN is_verified THEN 'catalogue' ELSE 'none' END AS layer FROM k)"""
 
 
@@ -389,7 +389,7 @@ def layered(credits: DataFrame, names: DataFrame) -> DataFrame:
 
 
 @query(
-    "d50_crew_verification", "credit_readings names",
+    "d50_crew_verification", "credit_readings name_list",
     f"""{_LAYERS}, w AS (SELECT *, max(CASE WHEN layer IN ('name_table', 'catalogue') THEN 1 ELSE 0 END) OVER (PARTITION BY video_id, job) AS has_verified FROM l WHERE job <> 'actor')
     SELECT video_id, line_no, name, layer, CASE WHEN layer IN ('blacklist', 'structure') THEN 'dropped' WHEN layer IN ('name_table', 'catalogue') THEN 'kept' WHEN has_verified = 1 THEN 'dropped' ELSE 'flagged' END AS action FROM w""",
 )
@@ -402,22 +402,22 @@ def crew_verification(credits: DataFrame, names: DataFrame) -> DataFrame:
     return rows.withColumn("has", has).select("video_id", "line_no", "name", "layer", action.alias("action"))
 
 
-@query("d51_cast_verification", "credit_readings names", f"{_LAYERS} SELECT video_id, count(*) FILTER (WHERE layer NOT IN ('blacklist', 'structure')) AS kept, count(*) FILTER (WHERE layer IN ('name_table', 'catalogue')) AS verified, count(*) FILTER (WHERE layer = 'none') AS flagged, count(*) FILTER (WHERE layer IN ('blacklist', 'structure')) AS dropped FROM l WHERE job = 'actor' GROUP BY video_id")
+@query("d51_cast_verification", "credit_readings name_list", f"{_LAYERS} SELECT video_id, count(*) FILTER (WHERE layer NOT IN ('blacklist', 'structure')) AS kept, count(*) FILTER (WHERE layer IN ('name_table', 'catalogue')) AS verified, count(*) FILTER (WHERE layer = 'none') AS flagged, count(*) FILTER (WHERE layer IN ('blacklist', 'structure')) AS dropped FROM l WHERE job = 'actor' GROUP BY video_id")
 def cast_verification(credits: DataFrame, names: DataFrame) -> DataFrame:
     """Cast names by layer, totals a video."""
     bad, good = F.col("layer").isin("blacklist", "structure"), F.col("layer").isin("name_table", "catalogue")
     return layered(credits.where("job = 'actor'"), names).groupBy("video_id").agg(F.count_if(~bad).alias("kept"), F.count_if(good).alias("verified"), F.count_if(F.col("layer") == "none").alias("flagged"), F.count_if(bad).alias("dropped"))
 
 
-@query("c30_audit_funnel", "credit_readings names", f"{_LAYERS} SELECT layer, job, count(*) AS n FROM l GROUP BY ALL")
+@query("c30_audit_funnel", "credit_readings name_list", f"{_LAYERS} SELECT layer, job, count(*) AS n FROM l GROUP BY ALL")
 def audit_funnel(credits: DataFrame, names: DataFrame) -> DataFrame:
     """Rows by layer and job."""
     return layered(credits, names).groupBy("layer", "job").agg(F.count("*").alias("n"))
 
 
 @query(
-    "d53_name_protection", "readings names",
-    """WITH k AS (SELECT DISTINCT lower(unnest(string_split(primary_name, ' '))) AS word FROM names), w AS (SELECT video_id, line_no, name, unnest(string_split(lower(name), ' ')) AS word FROM readings WHERE strpos(name, ' ') > 0)
+    "d53_name_protection", "readings name_list",
+    """WITH k AS (SELECT DISTINCT lower(unnest(string_split(primary_name, ' '))) AS word FROM name_list), w AS (SELECT video_id, line_no, name, unnest(string_split(lower(name), ' ')) AS word FROM readings WHERE strpos(name, ' ') > 0)
     SELECT w.video_id, w.line_no, w.name FROM w LEFT JOIN k USING (word) GROUP BY ALL HAVING avg(CASE WHEN k.word IS NULL THEN 0.0 ELSE 1.0 END) >= 0.8""",
 )
 def name_protection(persons: DataFrame, names: DataFrame) -> DataFrame:
@@ -429,8 +429,8 @@ def name_protection(persons: DataFrame, names: DataFrame) -> DataFrame:
 
 
 @query(
-    "d54_fallback_approval", "credit_readings names",
-    f"""WITH n AS (SELECT DISTINCT {duck('name_key', 'primary_name')} AS key FROM names)
+    "d54_fallback_approval", "credit_readings name_list",
+    f"""WITH n AS (SELECT DISTINCT {duck('name_key', 'primary_name')} AS key FROM name_list)
     SELECT c.video_id, c.line_no, c.name, NOT {_sql_junk('c.name')} AND (n.key IS NOT NULL OR c.confidence >= 0.85) AS approved,
       CASE WHEN NOT {_sql_junk('c.name')} AND (n.key IS NOT NULL OR c.confidence >= 0.85) THEN round(least(1.0, c.confidence + 0.3), 3) ELSE 0.2 END AS confidence FROM credit_readings c LEFT JOIN n ON n.key = {duck('name_key', 'c.name')} WHERE c.job = 'actor'""",
 )

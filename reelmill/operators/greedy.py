@@ -20,7 +20,7 @@ def _plain(frame: pd.DataFrame) -> pd.DataFrame:
     return frame.astype({c: object for c in frame.columns if not pd.api.types.is_numeric_dtype(frame[c])})
 
 
-@query("e2_split_name_merge", "readings names", "WITH f AS (SELECT DISTINCT lower(string_split(primary_name, ' ')[1]) AS w FROM names), p AS (SELECT video_id, line_no, string_split(name, ' ')[1] AS word, lead(name) OVER (PARTITION BY video_id ORDER BY line_no) AS next_name FROM readings) SELECT p.video_id, p.line_no, p.word || ' ' || p.next_name AS name FROM p JOIN f a ON a.w = lower(p.word) JOIN f b ON b.w = lower(string_split(p.next_name, ' ')[1])")
+@query("e2_split_name_merge", "readings name_list", "WITH f AS (SELECT DISTINCT lower(string_split(primary_name, ' ')[1]) AS w FROM name_list), p AS (SELECT video_id, line_no, string_split(name, ' ')[1] AS word, lead(name) OVER (PARTITION BY video_id ORDER BY line_no) AS next_name FROM readings) SELECT p.video_id, p.line_no, p.word || ' ' || p.next_name AS name FROM p JOIN f a ON a.w = lower(p.word) JOIN f b ON b.w = lower(string_split(p.next_name, ' ')[1])")
 def split_name_merge(persons: DataFrame, names: DataFrame) -> DataFrame:
     """A row of one first name (here the first word of each) before a row that begins with one is joined with it."""
     first = names.select(F.lower(F.split("primary_name", " ")[0]).alias("w")).distinct()

@@ -65,7 +65,7 @@ def font_class(words: DataFrame) -> DataFrame:
     return font_classes(words)
 
 
-@query("c28_name_table_ratio", "lines readings names", f"WITH k AS (SELECT DISTINCT {duck('name_key', 'primary_name')} AS key FROM names) SELECT video_id, count(*) AS n, round(count(k.key) / count(*)::double, 6) AS ratio FROM readings p LEFT JOIN k ON k.key = {duck('name_key', 'p.name')} WHERE length(trim(p.name)) >= 4 GROUP BY video_id")
+@query("c28_name_table_ratio", "lines readings name_list", f"WITH k AS (SELECT DISTINCT {duck('name_key', 'primary_name')} AS key FROM name_list) SELECT video_id, count(*) AS n, round(count(k.key) / count(*)::double, 6) AS ratio FROM readings p LEFT JOIN k ON k.key = {duck('name_key', 'p.name')} WHERE length(trim(p.name)) >= 4 GROUP BY video_id")
 def name_table_ratio(_lines: DataFrame, persons: DataFrame, names: DataFrame) -> DataFrame:
     """Share of a video's texts of four characters or more that the name table has."""
     known = names.select(name_key("primary_name").alias("key")).distinct().withColumn("hit", F.lit(1))
@@ -74,8 +74,8 @@ def name_table_ratio(_lines: DataFrame, persons: DataFrame, names: DataFrame) ->
 
 
 @query(
-    "b22_recheck_selection", "lines names",
-    f"""WITH k AS (SELECT DISTINCT {duck('name_key', 'primary_name')} AS key FROM names), l AS (SELECT *, length(text) - length(replace(text, ' ', '')) BETWEEN 1 AND 3 AS name_like, len(regexp_extract_all(text, '[\\p{{L}} ]')) >= 0.8 * length(text) AS good FROM lines)
+    "b22_recheck_selection", "lines name_list",
+    f"""WITH k AS (SELECT DISTINCT {duck('name_key', 'primary_name')} AS key FROM name_list), l AS (SELECT *, length(text) - length(replace(text, ' ', '')) BETWEEN 1 AND 3 AS name_like, len(regexp_extract_all(text, '[\\p{{L}} ]')) >= 0.8 * length(text) AS good FROM lines)
     SELECT l.video_id, l.frame_no, count(*) AS n FROM l LEFT JOIN k ON k.key = {duck('name_key', 'l.text')} WHERE l.confidence >= 0.60 AND NOT (l.confidence >= 0.80 AND l.good AND NOT (l.name_like AND k.key IS NULL)) GROUP BY ALL""",
 )
 def recheck_selection(lines: DataFrame, names: DataFrame) -> DataFrame:
@@ -90,8 +90,8 @@ def recheck_selection(lines: DataFrame, names: DataFrame) -> DataFrame:
 
 
 @query(
-    "b24_frame_routing", "lines words readings names",
-    f"""WITH k AS (SELECT DISTINCT {duck('name_key', 'primary_name')} AS key FROM names), r AS (SELECT video_id, count(k.key) / count(*)::double AS ratio FROM readings p LEFT JOIN k ON k.key = {duck('name_key', 'p.name')} GROUP BY video_id),
+    "b24_frame_routing", "lines words readings name_list",
+    f"""WITH k AS (SELECT DISTINCT {duck('name_key', 'primary_name')} AS key FROM name_list), r AS (SELECT video_id, count(k.key) / count(*)::double AS ratio FROM readings p LEFT JOIN k ON k.key = {duck('name_key', 'p.name')} GROUP BY video_id),
     f AS (SELECT video_id, frame_no, {_FONT} AS font_type FROM words GROUP BY ALL), c AS (SELECT video_id, frame_no, avg(cast(confidence AS decimal(18, 9)))::double - 0.45 AS conf FROM lines GROUP BY ALL)
     SELECT c.video_id, c.frame_no, f.font_type FROM c LEFT JOIN f USING (video_id, frame_no) LEFT JOIN r USING (video_id) WHERE coalesce(r.ratio, 0) < 0.60 AND (c.conf < 0.20 OR (c.conf < 0.30 AND coalesce(f.font_type, 'unknown') <> 'standard'))""",
 )

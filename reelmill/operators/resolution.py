@@ -24,7 +24,7 @@ def canonical_names(persons: DataFrame) -> DataFrame:
     return persons.groupBy(name_key("name").alias("key")).agg(F.min_by("name", F.struct("video_id", "line_no")).alias("canonical"))
 
 
-@query("d2_name_membership", "readings names", f"SELECT video_id, line_no, name FROM readings WHERE strpos(trim(name), ' ') > 0 AND {_KEYS} IN (SELECT {duck('name_key', 'primary_name')} FROM names)")
+@query("d2_name_membership", "readings name_list", f"SELECT video_id, line_no, name FROM readings WHERE strpos(trim(name), ' ') > 0 AND {_KEYS} IN (SELECT {duck('name_key', 'primary_name')} FROM name_list)")
 def name_membership(persons: DataFrame, names: DataFrame) -> DataFrame:
     """Persons of two words or more whose key is in a name table."""
     known = names.select(name_key("primary_name").alias("key"))
@@ -94,8 +94,8 @@ def joined_split(persons: DataFrame) -> DataFrame:
 
 
 @query(
-    "d7_prefix_split", "readings names",
-    """WITH f AS (SELECT DISTINCT lower(string_split(primary_name, ' ')[1]) AS first FROM names), w AS (SELECT DISTINCT lower(replace(name, ' ', '')) AS word FROM readings WHERE length(name) BETWEEN 6 AND 31),
+    "d7_prefix_split", "readings name_list",
+    """WITH f AS (SELECT DISTINCT lower(string_split(primary_name, ' ')[1]) AS first FROM name_list), w AS (SELECT DISTINCT lower(replace(name, ' ', '')) AS word FROM readings WHERE length(name) BETWEEN 6 AND 31),
     x AS (SELECT word, i FROM (SELECT word, unnest(range(2, length(word) - 2)) AS i FROM w) JOIN f ON first = substr(word, 1, i)), b AS (SELECT word, max(i) AS i FROM x GROUP BY word),
     r AS (SELECT word, i, substr(word, i + 1) AS rest FROM b), y AS (SELECT word, j FROM (SELECT word, rest, unnest(range(2, length(rest) - 2)) AS j FROM r) JOIN f ON first = substr(rest, 1, j)), c AS (SELECT word, min(j) AS j FROM y GROUP BY word)
     SELECT w.word, CASE WHEN r.i IS NULL THEN w.word WHEN c.j IS NULL THEN substr(w.word, 1, r.i) || ' ' || r.rest ELSE substr(w.word, 1, r.i) || ' ' || substr(r.rest, 1, c.j) || ' ' || substr(r.rest, c.j + 1) END AS split

@@ -256,7 +256,7 @@ class Parse:
         return text, self.role or "Cast", "cast", round(min(1.0, confidence + 0.2) if known else confidence, 3), known, "exact_db" if known else "", title, new_year
 
 
-@query("e1_credit_parse_full", "role_lines names")
+@query("e1_credit_parse_full", "role_lines name_list")
 def credit_parse_full(lines: DataFrame, names: DataFrame | None = None, aliases: DataFrame | None = None, phrases: DataFrame | None = None) -> DataFrame:
     """The rows of a video in order. A header sets category and job; under director, crew and noise a brand-like row turns
     the block to noise at once and the third row in a row that the name table lacks does; the fifth such row outside cast goes
@@ -290,7 +290,7 @@ def credit_parse_full(lines: DataFrame, names: DataFrame | None = None, aliases:
     return rows.repartition("video_id").sortWithinPartitions("video_id", "line_no").mapInPandas(run, CREDIT)
 
 
-@query("e1_title_year", "role_lines names")
+@query("e1_title_year", "role_lines name_list")
 def title_year(lines: DataFrame, names: DataFrame) -> DataFrame:
     """The film title and year that E1 finds in a video's lines; a video whose parse finds neither has nulls."""
     found = credit_parse_full(lines, names)
