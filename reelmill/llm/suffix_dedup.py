@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,13 +34,13 @@ LAST_DOC = 2**63 - 1
 class Params:
     length: int = 50
     #: Lengths of anchors; the later ones serve keys with more than max_group segments. The last is the whole string.
-    anchors: tuple[int, ...] = (16, 32, 50)
+    anchors: tuple[int, ...] = (24, 36, 50)
     seed: int = 42
     max_group: int = 20_000
     #: Bytes of texts that one pass compares before it sends keys out, of texts that are cut at once, and of segments whose transform is built at once.
     block_bytes: int = 8_000_000
     piece_bytes: int = 1_000_000
-    built_bytes: int = 1_500_000
+    built_bytes: int = 350_000
 
 
 def _byte_hashes(seed: int) -> np.ndarray:
@@ -90,14 +91,11 @@ def cut(data: np.ndarray, level: int, params: Params) -> tuple[np.ndarray, np.nd
     return np.concatenate(starts), np.concatenate(counts), np.concatenate(found).view(np.int64)
 
 
-def build(segments: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(transform, common): the Burrows-Wheeler transform of a collection, symbols one above their byte and 0 at a
-    segment's start, and the common prefix of each suffix with the one before it, up to depth. Suffixes of no symbols come
-    first, in the order of the segments."""
-    m = len(segments)
-    sizes = np.array([len(s) for s in segments], np.int64)
-    ends = np.cumsum(sizes)
-    symbols = np.frombuffer(b"".join(segments), np.uint8)
+def transform(symbols: np.ndarray, sizes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(transform, common) of the segments whose bytes and sizes these are: the Burrows-Wheeler transform of a collection,
+    symbols one above their byte and 0 at a segment's start, and the common prefix of each suffix with the one before it, up
+    to depth. Suffixes of no symbols come first, in the order of the segments."""
+    m, ends = len(sizes), np.cumsum(sizes)
     bwt, common = np.zeros(m, np.uint16), np.zeros(m, np.uint8)
     at = np.arange(m)
     for j in range(1, int(sizes.max()) + 1 if m else 1):
@@ -106,11 +104,11 @@ def build(segments: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
         bwt[place] = symbols[ends[live] - j].astype(np.uint16) + 1
         order = np.argsort(bwt, kind="stable")
         open_ = len(bwt) - int(np.count_nonzero(bwt))
-        rank = np.empty(len(bwt), np.int64)
-        rank[order] = np.arange(len(bwt))
+        rank = np.empty(len(bwt), np.int32)
+        rank[order] = np.arange(len(bwt), dtype=np.int32)
         by = np.argsort(-place, kind="stable")
         live, place = live[by], place[by]
-        old = rank[place]
+        old = rank[place].astype(np.int64)
         new = old - open_ + m
         # common prefixes with the neighbours that start alike: one more than the least between where the rest stands
         low = order[old - 1]
@@ -137,19 +135,22 @@ def build(segments: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return bwt, common
 
 
-def owners(segments: list[bytes], docs: np.ndarray, length: int) -> list[np.ndarray]:
-    """For every string of length bytes of each segment, the least of docs that holds it."""
-    m = len(segments)
-    bwt, common = build(segments, length)
+def build(segments: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """transform() of segments."""
+    return transform(np.frombuffer(b"".join(segments), np.uint8), np.array([len(s) for s in segments], np.int64), depth)
+
+
+def least_owners(symbols: np.ndarray, sizes: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
+    """For every string of length bytes of the segments, one behind the other, the least of docs that holds it."""
+    bwt, common = transform(symbols, sizes, length)
     # walks all segments from their ends along the transform, to learn whose suffix stands where
     order = np.argsort(bwt, kind="stable")
     open_ = len(bwt) - int(np.count_nonzero(bwt))
     rank = np.empty(len(bwt), np.int64)
-    rank[order] = np.arange(len(bwt)) - open_ + m
-    sizes = np.array([len(s) for s in segments], np.int64)
+    rank[order] = np.arange(len(bwt)) - open_ + len(sizes)
     counts = sizes - length + 1
     first = np.cumsum(counts) - counts
-    at, spots = np.arange(m), np.empty(int(counts.sum()), np.int64)
+    at, spots = np.arange(len(sizes)), np.empty(int(counts.sum()), np.int64)
     for j in range(1, int(sizes.max()) + 1):
         live = np.flatnonzero(sizes >= j)
         at[live] = rank[at[live]]
@@ -159,10 +160,16 @@ def owners(segments: list[bytes], docs: np.ndarray, length: int) -> list[np.ndar
     whose, group = np.repeat(docs, counts), stretch[spots]
     by = np.argsort(group, kind="stable")
     edges = np.flatnonzero(np.r_[True, group[by][1:] != group[by][:-1]])
-    least = np.minimum.reduceat(whose[by], edges)
     out = np.empty(len(by), np.int64)
-    out[by] = np.repeat(least, np.diff(np.r_[edges, len(by)]))
-    return np.split(out, first[1:])
+    out[by] = np.repeat(np.minimum.reduceat(whose[by], edges), np.diff(np.r_[edges, len(by)]))
+    return out
+
+
+def owners(segments: list[bytes], docs: np.ndarray, length: int) -> list[np.ndarray]:
+    """least_owners() of segments, one array each."""
+    sizes = np.array([len(s) for s in segments], np.int64)
+    found = least_owners(np.frombuffer(b"".join(segments), np.uint8), sizes, docs, length)
+    return np.split(found, np.cumsum(sizes - length + 1)[:-1])
 
 
 def _texts(docs: DataFrame, *rest: str) -> DataFrame:
@@ -218,20 +225,20 @@ def _segments(texts: DataFrame, met: DataFrame, params: Params) -> DataFrame:
     """(doc, row_hash, start, key, segment) of the segments in met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "row_hash", "start", "key", "segment"]
         for batch in batches:
-            for i in range(batch.num_rows):
-                value = batch["data"][i]
-                data, buffer = np.frombuffer(value.as_buffer(), np.uint8), value.as_buffer()
-                start, count, key = cut(data, 0, params)
-                keep = np.isin(start, batch["starts"][i].values.to_numpy())
+            cells: list[list] = [[], [], [], [], []]
+            for doc, row_hash, value, met_starts in zip(batch["doc"].to_pylist(), batch["row_hash"].to_pylist(), batch["data"], batch["starts"], strict=True):
+                whole = value.as_py()
+                start, count, key = cut(np.frombuffer(whole, np.uint8), 0, params)
+                keep = np.isin(start, met_starts.values.to_numpy())
                 start, count, key = start[keep], count[keep], key[keep]
-                if not len(start):
-                    continue
-                whole = buffer.to_pybytes()
-                cuts = [whole[a:b] for a, b in zip(start.tolist(), (start + count + params.length - 1).tolist(), strict=True)]
-                same = [pa.array(np.full(len(start), batch[c][i].as_py(), np.int64)) for c in ("doc", "row_hash")]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(start.astype(np.int32)), pa.array(key), pa.array(cuts, pa.binary())], names)
+                cells[0] += [doc] * len(start)
+                cells[1] += [row_hash] * len(start)
+                cells[2] += start.tolist()
+                cells[3] += key.tolist()
+                cells[4] += [whole[a:b] for a, b in zip(start.tolist(), (start + count + params.length - 1).tolist(), strict=True)]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], ["doc", "row_hash", "start", "key", "segment"])
 
     return texts.join(met, "doc").mapInArrow(run, "doc long, row_hash long, start int, key long, segment binary")
 
@@ -239,22 +246,52 @@ def _segments(texts: DataFrame, met: DataFrame, params: Params) -> DataFrame:
 def _built(groups: DataFrame, params: Params) -> DataFrame:
     """groups (key, segment, low) -> (segment, owners): one owner where all strings of a segment have the same, else one each."""
 
-    def made(rows: list[tuple]) -> pa.RecordBatch:
-        found = owners([r[1] for r in rows], np.array([r[2] for r in rows], np.int64), params.length)
-        short = [o[:1] if (o == o[0]).all() else o for o in found]
-        return pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.binary()), pa.array(short, pa.list_(pa.int64()))], ["segment", "owners"])
+    def made(rows: pa.Table) -> pa.RecordBatch:
+        key, low = rows["key"].to_numpy(), rows["low"].to_numpy()
+        segments = rows["segment"].combine_chunks()
+        segments = segments.combine_chunks() if isinstance(segments, pa.ChunkedArray) else segments
+        # a collection of one segment has no other to share with: its document owns all its strings
+        edge = np.r_[True, key[1:] != key[:-1], True]
+        alone = edge[:-1] & edge[1:]
+        sizes = pc.binary_length(segments).to_numpy(zero_copy_only=False).astype(np.int64)
+        same, least = alone.copy(), low.copy()
+        counts, flat = np.ones(len(low), np.int64), low
+        if not alone.all():
+            many = segments.filter(pa.array(~alone))
+            offsets = np.frombuffer(many.buffers()[1], np.int32)[many.offset : many.offset + len(many) + 1]
+            symbols = np.frombuffer(many.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+            found = least_owners(symbols, sizes[~alone], low[~alone], params.length)
+            n = sizes[~alone] - params.length + 1
+            first = np.cumsum(n) - n
+            least[~alone] = np.minimum.reduceat(found, first)
+            same[~alone] = least[~alone] == np.maximum.reduceat(found, first)
+            counts[~alone] = np.where(same[~alone], 1, n)
+            flat = np.repeat(least, counts)
+            flat[np.repeat(~same, counts)] = found[np.repeat(~same[~alone], n)]
+        held = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(flat))
+        return pa.RecordBatch.from_arrays([segments, held], ["segment", "owners"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for batch in batches:
-            for key, segment, low in zip(batch["key"].to_pylist(), batch["segment"].to_pylist(), batch["low"].to_pylist(), strict=True):
-                if size >= params.built_bytes and key != rows[-1][0]:
-                    yield made(rows)
+            key = batch["key"].to_numpy()
+            ends = np.cumsum(pc.binary_length(batch["segment"]).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < len(key):
+                # as many rows as fill the rest, and on to the end of their key
+                stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + params.built_bytes - size))
+                full = stop < len(key)
+                if full:
+                    change = np.flatnonzero(key[stop + 1 :] != key[stop:-1])
+                    full, stop = len(change) > 0, stop + 1 + int(change[0]) if len(change) else len(key)
+                rows.append(batch.slice(at, min(stop, len(key)) - at))
+                size += int(ends[min(stop, len(key)) - 1] - (ends[at - 1] if at else 0))
+                at = min(stop, len(key))
+                if full:
+                    yield made(pa.Table.from_batches(rows))
                     rows, size = [], 0
-                rows.append((key, segment, low))
-                size += len(segment)
         if rows:
-            yield made(rows)
+            yield made(pa.Table.from_batches(rows))
 
     return groups.repartition("key").sortWithinPartitions("key").select("key", "segment", "low").mapInArrow(run, "segment binary, owners array<long>")
 
@@ -301,7 +338,10 @@ def _marks(docs: DataFrame, params: Params) -> DataFrame:
     mask = F.when(F.size("owners") == 1, F.when(F.get("owners", F.lit(0)) < F.col("doc"), F.lit(-1).cast("long")).otherwise(0)).otherwise(bits)
     joined = places.join(owned.select(*ids(), "owners", (F.octet_length("segment") - params.length + 1).alias("n")), ["s1", "s2"])
     hit = joined.select("doc", "row_hash", "start", "n", mask.alias("mask")).where("mask <> 0")
-    return settle(hit.groupBy("doc", "row_hash").agg(F.collect_list(F.struct("start", "n", "mask")).alias("marks")), "suffix-marks")
+    marks = settle(hit.groupBy("doc", "row_hash").agg(F.collect_list(F.struct("start", "n", "mask")).alias("marks")), "suffix-marks")
+    discard(found)
+    discard(owned)
+    return marks
 
 
 def removed(length: int, n_bytes: int, start: np.ndarray, n: np.ndarray, mask: np.ndarray) -> np.ndarray:
