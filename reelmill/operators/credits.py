@@ -61,15 +61,13 @@ def line_lineage(lines: DataFrame, credits: DataFrame) -> DataFrame:
     """Raw text, repaired text, final name and category of each line. A line belongs to the credit of its video that it equals, case
     aside, else to that with its ascii key, else to the first one whose key holds its own or the other way round.
 
-    Only lines whose key no credit has go on to the search for texts inside one another.
+    All of it is one search for keys inside keys, which only the keys pass through.
     """
-    table = credits.groupBy("video_id", ascii_key("name").alias("key")).agg(F.min_by("name", "line_no").alias("name"), F.min_by("job", "line_no").alias("job"), F.min("line_no").alias("place")).where("key <> ''")
-    keyed = lines.select("video_id", "line_no", F.col("text").alias("raw_text"), F.trim(F.regexp_replace("text", r"\s+", " ")).alias("repaired"), ascii_key("text").alias("key"))
-    exact = keyed.join(table.select("video_id", "key", "name", "job"), ["video_id", "key"], "left")
-    near = first_overlap(exact.where("name IS NULL AND key <> ''").select("video_id", "line_no", "key"), table.select("video_id", "key", "place"))
-    near = near.join(table.select("video_id", "place", F.struct("name", "job").alias("near")), ["video_id", "place"]).drop("place")
-    both = exact.join(near, ["video_id", "line_no"], "left")
-    return both.select("video_id", "line_no", "raw_text", "repaired", F.coalesce("name", "near.name").alias("final_name"), F.coalesce("job", "near.job", F.lit("unknown")).alias("category"))
+    table = credits.groupBy("video_id", ascii_key("name").alias("key")).agg(F.min_by(F.struct("name", "job"), "line_no").alias("hit"), F.min("line_no").alias("place")).where("key <> ''")
+    found = first_overlap(lines.select("video_id", "line_no", ascii_key("text").alias("key")), table).join(table.select("video_id", "place", "hit"), ["video_id", "place"])
+    both = lines.join(found.select("video_id", "line_no", "hit"), ["video_id", "line_no"], "left")
+    repaired = F.trim(F.regexp_replace("text", r"\s+", " "))
+    return both.select("video_id", "line_no", F.col("text").alias("raw_text"), repaired.alias("repaired"), F.col("hit.name").alias("final_name"), F.coalesce("hit.job", F.lit("unknown")).alias("category"))
 
 
 @query(
