@@ -44,15 +44,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
-    """materialize(), whose shuffle files go as soon as the table is written, as nothing reads them again."""
+#: Rows that travel to and from Python at once.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def settle(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame:
+    """materialize(), whose shuffle files go as soon as the table is written, as nothing reads them again. batch_rows: rows
+    that Python takes at once, where rows are large."""
     conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, None)
-    conf.set(CLEANUP, "true")
+    own = {CLEANUP: "true"} | ({BATCH: str(batch_rows)} if batch_rows else {})
+    before = {k: conf.get(k, None) for k in own}
+    for k, v in own.items():
+        conf.set(k, v)
     try:
         return materialize(df, label)
     finally:
-        conf.set(CLEANUP, before) if before is not None else conf.unset(CLEANUP)
+        for k, v in before.items():
+            conf.set(k, v) if v is not None else conf.unset(k)
 
 
 def discard(df: DataFrame) -> None:
