@@ -2,9 +2,10 @@
 
 A text's zstandard ratio (UTF-8 bytes over compressed bytes) says how repetitive it is. Ratios rise with length, so
 each length has its own band: below it the text is close to random, above it it repeats itself. The whole text is
-judged by the band of its length, and then each of its chunks, the last part chunk included, by the band of the
-chunk's length, since a long text can hide a run of repeats or noise in an ordinary mean. A text fails when chunks
-outside their bands have more than a share of the bytes judged.
+judged by the band of its length, and then each of its chunks by the band of the chunk's length, since a long text can
+hide a run of repeats or noise in an ordinary mean; a last chunk too short for a band belongs to the one before it. A
+text fails when chunks outside their bands have more than a share of the bytes judged. fit_bands() sets the largest
+ratios from labelled rows.
 """
 
 from __future__ import annotations
@@ -26,24 +27,23 @@ from reelmill.llm._shared import SPACES
 class Params:
     """bands: (bytes from, least ratio, largest ratio), by rising length; below the first no ratio is judged.
 
-    The largest ratios are 3 % beyond the extremes of the 3243 labelled-good documents of sf0.1 that pass the base rules,
-    their whole texts and 4096-byte chunks together. No labelled-bad document has a low ratio to set the least ones by,
-    so they are wide. From 4097 to 4999 bytes, which only whole texts have, the largest is wide too: a text of 4292 bytes at ratio 3.0 counts as clean in the tests.
+    The largest ratios are those of fit_bands() over the labelled rows of sf0.1: 3 % beyond the extremes of the 3243
+    labelled-good documents that pass the base rules, their whole texts and chunks together. No labelled-bad document has a
+    low ratio to set the least ones by, so they are wide.
     """
 
     level: int = 3
     bands: tuple[tuple[int, float, float], ...] = (
         (200, 1.05, 1.706),
-        (350, 1.05, 1.893),
+        (350, 1.05, 1.894),
         (500, 1.15, 1.924),
-        (700, 1.15, 2.032),
+        (700, 1.15, 2.033),
         (1000, 1.3, 2.085),
         (1400, 1.3, 2.212),
-        (2000, 1.45, 2.221),
-        (2800, 1.45, 2.323),
-        (4097, 1.45, 4.2),
-        (5000, 1.5, 2.388),
-        (7000, 1.5, 2.431),
+        (2000, 1.45, 2.222),
+        (2800, 1.45, 2.343),
+        (5000, 1.5, 2.389),
+        (7000, 1.5, 2.432),
         (10000, 1.5, 2.510),
         (20000, 1.55, 2.554),
     )
@@ -90,6 +90,15 @@ def _outside(ratio: float, size: int, params: Params) -> str | None:
     return "incompressible" if ratio < band[0] else "repetitive"
 
 
+def _parts(data: bytes, params: Params) -> list[memoryview]:
+    """The chunks of a text; a last one below the first band is part of the one before it."""
+    view, size = memoryview(data), params.chunk_bytes
+    ends = [*range(size, len(data), size), len(data)]
+    if len(ends) > 1 and len(data) - ends[-2] < params.bands[0][0]:
+        del ends[-2]
+    return [view[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 def measure(text: str | None, compressor: zstandard.ZstdCompressor, params: Params = Params()) -> tuple:
     """METRICS of one text; null counts as empty. verdict is null, or why the compression bands reject the text."""
     text = text or ""
@@ -98,9 +107,7 @@ def measure(text: str | None, compressor: zstandard.ZstdCompressor, params: Para
     lines = [line for line in data.split(b"\n") if line.strip()]
     ratio = len(data) / len(compressor.compress(data)) if data else 0.0
     verdict = _outside(ratio, len(data), params)
-    view = memoryview(data)
-    parts = [view[i : i + params.chunk_bytes] for i in range(0, len(data), params.chunk_bytes)]
-    parts = [part for part in parts if _band(len(part), params)]
+    parts = _parts(data, params)
     chunks = len(parts) if len(parts) > 1 else 0
     bad: dict[str, list[int]] = {}
     for part in parts if chunks else []:
@@ -144,7 +151,9 @@ def _failed(params: Params):
 
 
 def keep_good(docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """The rows of docs that the rules keep. Columns are those of docs; null and empty texts fail on their word count."""
+    """The rows of docs that the rules keep. Columns are those of docs, whatever their names; null and empty texts fail on
+    their word count. Texts of any length are read whole; repeated rows are judged alike; a ratio at a band's limit is
+    inside; an empty table gives an empty table."""
     marked = measured(docs, params)
     at = added_column(docs)
     q = lambda name: F.col(f"{at}.{name}")
@@ -152,6 +161,34 @@ def keep_good(docs: DataFrame, params: Params = Params()) -> DataFrame:
     return marked.where(~failed & q("verdict").isNull()).drop(at)
 
 
+def fit_bands(docs: DataFrame, labels: DataFrame, params: Params = Params(), margin: float = 0.03) -> tuple[tuple[int, float, float], ...]:
+    """The bands of params with their largest ratios set margin beyond the extremes of the documents that labels (doc_id,
+    quality) call good and that pass the base rules: ratios of whole texts and of chunks, by the band of their length.
+    A band that no such text falls in keeps its limit. All labelled rows count, reduced to one row a band before they
+    reach the driver."""
+    good = labels.where("quality = 1").select("doc_id").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=params.level)
+        for batch in batches:
+            sizes, ratios = [], []
+            for text in batch["text"].to_pylist():
+                words, *_, repeat, _, _, _, _ = measure(text, press, params)
+                data = (text or "").encode("utf-8", "surrogatepass")
+                if words >= params.min_words and 100 * repeat <= params.max_repeat_percent * words:
+                    for part in [data, *_parts(data, params)]:
+                        sizes.append(len(part))
+                        ratios.append(len(part) / len(press.compress(part)))
+            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64()), pa.array(ratios, pa.float64())], ["size", "ratio"])
+
+    parts = docs.join(good, "doc_id", "left_semi").select("text").mapInArrow(run, "size long, ratio double")
+    band = F.lit(-1)
+    for i, (start, _, _) in enumerate(params.bands):
+        band = F.when(F.col("size") >= start, i).otherwise(band)
+    most = {r["band"]: r["most"] for r in parts.groupBy(band.alias("band")).agg(F.max("ratio").alias("most")).collect()}
+    return tuple((start, low, round(most[i] * (1 + margin), 3) if i in most else high) for i, (start, low, high) in enumerate(params.bands))
+
+
 def report(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """The columns of op8, with the ratio and the verdict of the compression bands. Null and empty texts have no words and
     fail on that; texts below the first band have no ratio to fail by; a text of any length is read whole, chunk by

@@ -3,7 +3,7 @@ import re
 import zstandard
 from test_bpe import expected, reference  # noqa: F401
 from test_mixing import slow_targets
-from test_simhash import slow_components, slow_fingerprint
+from test_near_copies import slow_set
 
 import corpus_pipeline
 from reelmill.llm import quality
@@ -20,6 +20,24 @@ def slow_lines(rows):
     return {d: "\n".join(x for x in t.split("\n") if owner.get(key(x), d) == d) for d, t in rows.items()}
 
 
+def slow_near(texts):
+    """For each document the smallest one of its component under a five-word Jaccard similarity of 0.8 or more."""
+    sets, label = {d: slow_set(t) for d, t in texts.items()}, {d: d for d in texts}
+
+    def root(d):
+        while label[d] != d:
+            d = label[d]
+        return d
+
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                low, high = sorted((root(i), root(j)))
+                label[high] = low
+    return {d: root(d) for d in ids}
+
+
 def test_stages(spark, small, small_docs, reference):  # noqa: F811
     docs, kept = small_docs, {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -37,8 +55,7 @@ def test_stages(spark, small, small_docs, reference):  # noqa: F811
     lined = slow_lines(good)
     assert {r["doc_id"]: r["text"] for r in kept["line dedup"]} == lined
     assert all(r["n_chars"] == len(r["text"]) for r in kept["line dedup"])
-    fps = {d: slow_fingerprint(t) for d, t in lined.items()}
-    first = set(slow_components(fps).values())
+    first = set(slow_near(lined).values())
     assert {r["doc_id"]: r["text"] for r in kept["near dedup"]} == {d: lined[d] for d in first}
     source = {r["doc_id"]: r["source"] for r in small_docs.collect()}
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))

@@ -1,9 +1,9 @@
 import base64
 import os
-import random
 import re
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 import zstandard
 
@@ -49,8 +49,14 @@ def test_empty_table(make_docs):
     assert quality.keep_good(make_docs([])).collect() == []
 
 
-_RANDOM = random.Random(1)
-PROSE = " ".join("".join(_RANDOM.choice("the on re an ti ed in st".split()) for _ in range(_RANDOM.randint(1, 4))) for _ in range(700))
+def prose():
+    """A labelled-good text of the smallest tables, of more than a chunk's bytes."""
+    docs, labels = (pq.read_table(f"/root/testdata/sf0.001/{t}.parquet").to_pylist() for t in ("documents", "labels"))
+    good = {r["doc_id"] for r in labels if r["quality"] == 1 and r["toxic"] == 0}
+    return min((r["text"] for r in docs if r["doc_id"] in good and len(r["text"].encode()) > 4100), key=len)
+
+
+PROSE = prose()
 
 
 @pytest.mark.parametrize(
@@ -93,7 +99,39 @@ def test_tail_and_single_full_chunk_are_judged(small_docs, spark, small):
     assert quality.measure(clean, press)[-1] is None
     hidden = clean.encode()[:3300].decode("utf-8", "ignore") + "spam " * 320
     *_, ratio, chunks, bad, verdict = quality.measure(hidden, press)
-    assert (chunks, bad, verdict) == (2, 2, "repetitive chunks") and ratio < 4.2
+    assert (chunks, bad) == (2, 2) and verdict.startswith("repetitive") and ratio < 4.2
+
+
+@pytest.mark.parametrize("share", [4, 6, 9])
+def test_one_text_has_one_verdict_at_neighbouring_lengths(share):
+    """Repetitive to one degree, cut around the chunk's size and around a full chunk with the shortest tail of a band."""
+    text = "".join(f"{i * i * 7919 % 100003:x} tion the " + "again and again " * (i % share == 0) for i in range(2000))
+    found = {quality.measure(text[:n], zstandard.ZstdCompressor(level=3))[-1] for n in (4000, 4095, 4096, 4097, 4200, 4295, 4296, 4297, 4999, 5000)}
+    assert len(found) == 1
+
+
+def test_short_tail_belongs_to_the_chunk_before():
+    sizes = lambda n: [len(p) for p in quality._parts(b"x" * n, quality.Params())]
+    assert (sizes(0), sizes(100), sizes(4096), sizes(4097), sizes(4295), sizes(4296)) == ([0], [100], [4096], [4097], [4295], [4096, 200])
+    assert sizes(8192 + 150) == [4096, 4246]
+    noisy_tail = (PROSE[:4000] + "spam " * 900).encode()[: 8192 + 150].decode("utf-8", "ignore")
+    assert quality.measure(noisy_tail, zstandard.ZstdCompressor(level=3))[-1] is not None
+
+
+def test_fitted_bands(spark, small_docs, small):
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    fitted = quality.fit_bands(small_docs, labels)
+    assert [b[:2] for b in fitted] == [b[:2] for b in quality.Params().bands]
+    good = small_docs.join(labels.where("quality = 1"), "doc_id")
+    most, press = {}, zstandard.ZstdCompressor(level=3)
+    for r in good.collect():
+        n, *_, repeat, _, _, _, _ = quality.measure(r["text"], press)
+        data = r["text"].encode()
+        for part in [data, *quality._parts(data, quality.Params())] if n >= 50 and 2 * repeat <= n else []:
+            at = max((i for i, b in enumerate(fitted) if b[0] <= len(part)), default=None)
+            most[at] = max(most.get(at, 0), len(part) / len(press.compress(part)))
+    assert all(fitted[i][2] == (round(most[i] * 1.03, 3) if i in most else b[2]) for i, b in enumerate(quality.Params().bands))
+    assert quality.report(small_docs, quality.Params(bands=fitted)).join(good.select("doc_id"), "doc_id").where("n_words >= 50 AND NOT base_failed AND NOT kept").count() == 0
 
 
 def test_clashing_column_names(make_docs):
