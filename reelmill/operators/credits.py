@@ -236,7 +236,8 @@ _HINTS = f"""h AS (SELECT video_id, key, {_case('category', {c: d for c, (d, _)
 def hints(videos: DataFrame, people: DataFrame) -> DataFrame:
     """(video_id, key, hint_department, hint_job): what the people of a video's title do, by ascii key of the name; the first in order
     where a name stands twice."""
-    held = people.select(F.col("tconst").alias("true_tconst"), ascii_key("name").alias("key"), "category", "ordering")
+    asked = people.join(videos.select(F.col("true_tconst").alias("tconst")).distinct(), "tconst", "left_semi")
+    held = asked.select(F.col("tconst").alias("true_tconst"), ascii_key("name").alias("key"), "category", "ordering")
     first = held.groupBy("true_tconst", "key").agg(F.min_by("category", F.struct("ordering", "category")).alias("category"))
     part = lambda i: _map(F.col("category"), {c: v[i] for c, v in CATEGORY_HINT.items()})
     return videos.select("video_id", "true_tconst").join(first, "true_tconst").select("video_id", "key", part(0).alias("hint_department"), part(1).alias("hint_job"))
@@ -312,7 +313,8 @@ def missing_crew(credits: DataFrame, videos: DataFrame, people: DataFrame) -> Da
     """Crew names that no crew member of the title is near and that are no role title."""
     rows = credits.where((F.col("job") != "actor") & blacklist_reason(F.col("name")).isNull()).select("video_id", "name").distinct()
     rows = rows.join(videos.select("video_id", F.col("true_tconst").alias("tconst")), "video_id").withColumn("key", word_key("name"))
-    crew = people.where("category NOT IN ('actor', 'actress')").select("tconst", word_key("name").alias("ckey"))
+    asked = videos.select(F.col("true_tconst").alias("tconst")).distinct()
+    crew = people.where("category NOT IN ('actor', 'actress')").join(asked, "tconst", "left_semi").select("tconst", word_key("name").alias("ckey"))
     best = best_jaccard(rows, crew, ["video_id", "name"], "tconst").where("similarity < 0.75")
     return best.select("video_id", "name", F.round("similarity", 6).alias("similarity"))
 

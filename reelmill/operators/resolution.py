@@ -309,7 +309,7 @@ def missing_actors(lines: DataFrame, videos: DataFrame, people: DataFrame) -> Da
     grouped = lines.withColumn("lk", line_key("text")).where("lk <> ''").groupBy("video_id", "lk").agg(F.max_by("text", F.struct("confidence", -F.col("line_no"))).alias("text"), F.max("confidence").alias("confidence"), F.count("*").alias("seen"), F.min("first_seen").alias("first_seen"))
     keyed = grouped.withColumn("key", word_key("text")).where("length(key) - length(replace(key, ' ', '')) BETWEEN 1 AND 3 AND confidence >= 0.88 AND (seen >= 3 OR first_seen <= 45)")
     titled = keyed.join(videos.select("video_id", F.col("true_tconst").alias("tconst")), "video_id", "left")
-    cast = people.select("tconst", word_key("name").alias("ckey"))
+    cast = people.join(titled.select("tconst").distinct(), "tconst", "left_semi").select("tconst", word_key("name").alias("ckey"))
     best = best_jaccard(titled, cast, ["video_id", "text", "confidence", "seen", "first_seen"], "tconst", 4, longer=False).where("similarity < 0.75")
     opening = F.col("first_seen") <= 45
     order = Window.partitionBy("video_id").orderBy(opening.desc(), F.col("seen").desc(), "text")
