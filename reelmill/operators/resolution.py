@@ -231,53 +231,6 @@ def strategy_b(videos: DataFrame, persons: DataFrame, people: DataFrame, titles:
     return _with_titles(videos, persons, people, titles).where(_b()).select("video_id", "tconst", "directors")
 
 
-def shared_titles(persons: DataFrame, people: DataFrame, least: int) -> DataFrame:
-    """(video_id, tconst, shared): titles that share `least` people or more with a video, by K5 of the name."""
-    read = persons.select("video_id", alnum_key("name").alias("key")).distinct()
-    held = people.select("tconst", alnum_key("name").alias("key")).distinct()
-    return read.join(held, "key").groupBy("video_id", "tconst").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
-
-
-_SHARED = f"""s AS (SELECT video_id, tconst, count(*) AS shared FROM (SELECT DISTINCT video_id, {duck('alnum_key', 'name')} AS key FROM persons) JOIN (SELECT DISTINCT tconst, {duck('alnum_key', 'name')} AS key FROM title_people) USING (key)
-  GROUP BY ALL HAVING count(*) >= 2)"""
-
-
-@query("d18_strategy_c", "persons title_people", f"WITH {_SHARED} SELECT video_id, arg_max(tconst, (shared, -tconst)) AS tconst, max(shared) AS shared FROM s WHERE shared >= 3 GROUP BY video_id")
-def strategy_c(persons: DataFrame, people: DataFrame) -> DataFrame:
-    """The title that shares most people with the names read; three at least, the smaller id on ties."""
-    found = shared_titles(persons, people, 2).where("shared >= 3")
-    return found.groupBy("video_id").agg(F.max_by("tconst", F.struct("shared", -F.col("tconst"))).alias("tconst"), F.max("shared").alias("shared"))
-
-
-_D = f"""d AS (SELECT s.video_id, arg_max(s.tconst, (shared, -s.tconst)) AS tconst, max(shared) AS shared FROM s JOIN videos v USING (video_id) JOIN titles t ON t.tconst = s.tconst
-  WHERE abs(v.year - t.start_year) <= 1 OR {duck('alnum_key', 'v.film_title')} = {duck('alnum_key', 't.primary_title')} GROUP BY s.video_id)"""
-
-
-@query("d19_strategy_d", "persons title_people videos titles", f"WITH {_SHARED}, {_D} SELECT * FROM d")
-def strategy_d(persons: DataFrame, people: DataFrame, videos: DataFrame, titles: DataFrame) -> DataFrame:
-    """Two shared people, and the same title (K5) or a year within one."""
-    found = shared_titles(persons, people, 2).join(videos, "video_id").join(titles, "tconst")
-    good = found.where((F.abs(F.col("year") - F.col("start_year")) <= 1) | (alnum_key("film_title") == alnum_key("primary_title")))
-    return good.groupBy("video_id").agg(F.max_by("tconst", F.struct("shared", -F.col("tconst"))).alias("tconst"), F.max("shared").alias("shared"))
-
-
-@query(
-    "d20_strategy_waterfall", f"{_PEOPLE} titles",
-    f"""{_EVIDENCE}, {_SHARED}, {_D}, c AS (SELECT video_id, arg_max(tconst, (shared, -tconst)) AS tconst FROM s WHERE shared >= 3 GROUP BY video_id),
-    u AS (SELECT video_id, tconst, 1 AS rank FROM e WHERE {_A} UNION ALL SELECT video_id, tconst, 2 FROM e WHERE {_B} UNION ALL SELECT video_id, tconst, 3 FROM c UNION ALL SELECT video_id, tconst, 4 FROM d)
-    SELECT video_id, arg_min(tconst, rank) AS tconst, ['A', 'B', 'C', 'D'][min(rank)] AS matched_via FROM u GROUP BY video_id""",
-)
-def strategy_waterfall(videos: DataFrame, persons: DataFrame, people: DataFrame, titles: DataFrame) -> DataFrame:
-    """The first strategy that succeeds decides a video's title."""
-    facts = _with_titles(videos, persons, people, titles)
-    ranked = facts.where(_a()).select("video_id", "tconst", F.lit(1).alias("rank"))
-    ranked = ranked.unionByName(facts.where(_b()).select("video_id", "tconst", F.lit(2).alias("rank")))
-    ranked = ranked.unionByName(strategy_c(persons, people).select("video_id", "tconst", F.lit(3).alias("rank")))
-    ranked = ranked.unionByName(strategy_d(persons, people, videos, titles).select("video_id", "tconst", F.lit(4).alias("rank")))
-    first = ranked.groupBy("video_id").agg(F.min_by("tconst", "rank").alias("tconst"), F.min("rank").alias("rank"))
-    return first.select("video_id", "tconst", F.element_at(F.array(*map(F.lit, "ABCD")), F.col("rank")).alias("matched_via"))
-
-
 @query(
     "d21_catalogue_result", "principals names director_lists",
     """WITH p AS (SELECT DISTINCT p.tconst, n.primary_name AS name, CASE WHEN p.category IN ('actor', 'actress', 'self') THEN 'cast' ELSE 'crew' END AS part FROM principals p JOIN names n USING (nconst)),
