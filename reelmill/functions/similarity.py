@@ -85,6 +85,43 @@ def wratio_of(a: str | None, b: str | None, least: float = 0.0) -> float:
     return max(best, scale * _partial(a, b, near), scale * 0.95 * max(_partial(sa, sb, loose), _token_set(a, b, lambda x, y: _partial(x, y, loose))))
 
 
+def block_ratio_of(a: str | None, b: str | None) -> float:
+    """200 x letters in common blocks over all letters: the longest common block (the first of several) is taken, then the
+    same left and right of it. Never above ratio. Two empty texts are equal; a null text is empty."""
+    a, b = a or "", b or ""
+    total, open_ = 0, [(0, len(a), 0, len(b))]
+    places: dict[str, list[int]] = {}
+    for j, c in enumerate(b):
+        places.setdefault(c, []).append(j)
+    while open_:
+        a0, a1, b0, b1 = open_.pop()
+        at, bt, size, runs = a0, b0, 0, {}
+        for i in range(a0, a1):
+            now = {}
+            for j in places.get(a[i], ()):
+                if b0 <= j < b1:
+                    now[j] = n = runs.get(j - 1, 0) + 1
+                    if n > size:
+                        at, bt, size = i - n + 1, j - n + 1, n
+            runs = now
+        if size:
+            total += size
+            open_ += [(a0, at, b0, bt), (at + size, a1, bt + size, b1)]
+    return 100.0 if not a and not b else 200.0 * total / (len(a) + len(b))
+
+
+def block_ratio(a: Column, b: Column) -> Column:
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([block_ratio_of(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return F.pandas_udf(run, "double")(a, b)
+
+
+def can_reach(a: Column, b: Column, least: float) -> Column:
+    """Whether the texts may have a ratio of least or more: it bounds their edit distance, which the JVM computes."""
+    return 100 * F.levenshtein(a, b) <= (100 - least) * (F.length(a) + F.length(b))
+
+
 def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio_of(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reelmill.functions.contain import first_overlap
 from reelmill.functions.keys import alnum_key, ascii_key, duck, plain_key, word_key
-from reelmill.functions.similarity import best_jaccard, duck_ratio, ratio
+from reelmill.functions.similarity import best_jaccard, can_reach, duck_ratio, ratio
 from reelmill.operators.names import _SQL_VARIANT, _sql_blacklist, _sql_junk, _sql_non_person, _sql_reason, blacklist_reason, is_junk, is_non_person, structural_reason, variant_score, words
 from reelmill.plans.registry import query
 
@@ -148,7 +148,7 @@ _PAIRS31 = f"""WITH p AS (SELECT c.video_id, c.line_no, c.name, t.name AS choice
 def canonical_credits(credits: DataFrame, videos: DataFrame, people: DataFrame) -> DataFrame:
     """Names spelled as the accepted title has them where the ratio is 82 or more; a hit or a miss a row."""
     choices = videos.select("video_id", F.col("true_tconst").alias("tconst")).join(people.select("tconst", F.col("name").alias("choice")).distinct(), "tconst")
-    able = credits.join(choices, "video_id").where("200 * least(length(name), length(choice)) >= 82 * (length(name) + length(choice))")
+    able = credits.join(choices, "video_id").where("200 * least(length(name), length(choice)) >= 82 * (length(name) + length(choice))").where(can_reach(F.lower("name"), F.lower("choice"), 82.0))
     near = able.withColumn("score", ratio(F.lower("name"), F.lower("choice"))).where("score >= 82")
     best = near.groupBy("video_id", "line_no").agg(F.min_by("choice", F.struct(-F.col("score"), F.col("choice"))).alias("canonical"))
     joined = credits.join(best, ["video_id", "line_no"], "left")
@@ -178,7 +178,7 @@ def reverse_scorecard(credits: DataFrame, videos: DataFrame, people: DataFrame,
     The title is compared by S1 on K5 keys and directors and cast by S1, in place of the weighted ratio.
     """
     choices = videos.select("video_id", F.col("true_tconst").alias("tconst")).join(people.select("tconst", F.col("name").alias("choice")).distinct(), "tconst")
-    able = credits.where("job IN ('actor', 'Director')").join(choices, "video_id").where("200 * least(length(name), length(choice)) >= 82 * (length(name) + length(choice))")
+    able = credits.where("job IN ('actor', 'Director')").join(choices, "video_id").where("200 * least(length(name), length(choice)) >= 82 * (length(name) + length(choice))").where(can_reach(F.lower("name"), F.lower("choice"), 82.0))
     near = able.withColumn("score", ratio(F.lower("name"), F.lower("choice"))).where("score >= 82").groupBy("video_id", "line_no").agg(F.max("score").alias("score"))
     scored = credits.join(near, ["video_id", "line_no"], "left")
     cast = scored.where("job = 'actor'").groupBy("video_id").agg(F.count("*").alias("n"), F.count("score").alias("hits"))

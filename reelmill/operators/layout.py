@@ -220,20 +220,44 @@ def column_separator(words: DataFrame, rounds: int = 10) -> DataFrame:
     return words.groupBy("video_id", "frame_no").applyInPandas(run, "video_id long, frame_no long, separator double")
 
 
+#: A header word, least gap between words and largest shift of centres as shares of the width, and the
+#: distance of rows in heights of the upper one.
+HEADER_WORD = "^(the|cast|actor|der|le|la|el)$"
+LEAST_GAP, MOST_SHIFT, NEAREST, FARTHEST = 0.05 * WIDTH, 0.10 * WIDTH, 0.5, 2.5
+
+
 @query(
     "e7_stacked_names", "words",
-    """WITH r AS (SELECT video_id, frame_no, line_no, count(*) AS n FROM words GROUP BY ALL), p AS (SELECT video_id, frame_no, line_no, n, lead(line_no) OVER w AS next_line, lead(n) OVER w AS next_n FROM r WINDOW w AS (PARTITION BY video_id, frame_no ORDER BY line_no)),
-    k AS (SELECT * FROM p WHERE n >= 3 AND n = next_n) SELECT k.video_id, k.line_no, a.wpos, a.text || ' ' || b.text AS name FROM k JOIN words a ON a.video_id = k.video_id AND a.line_no = k.line_no JOIN words b ON b.video_id = k.video_id AND b.line_no = k.next_line AND b.wpos = a.wpos
-    WHERE abs((a.x1 + a.x2) / 2 - (b.x1 + b.x2) / 2) <= 88.0""",
+    f"""WITH g AS (SELECT *, lead(x1) OVER (PARTITION BY video_id, frame_no, line_no ORDER BY x1, wpos) - x2 AS gap FROM words),
+    r AS (SELECT video_id, frame_no, line_no, count(*) AS n, avg((y1 + y2) / 2) AS y, avg(y2 - y1) AS h, coalesce(min(gap) >= {LEAST_GAP}, true) AS apart, list({{'x': (x1 + x2) / 2, 'wpos': wpos, 'text': text}} ORDER BY (x1 + x2) / 2, wpos) AS w FROM g GROUP BY ALL),
+    p AS (SELECT *, n >= 3 AND apart AND NOT regexp_matches(lower(w[1].text), '{HEADER_WORD}') AS able FROM r),
+    q AS (SELECT *, lead(able) OVER f AND able AND lead(n) OVER f = n AND lead(y) OVER f - y BETWEEN {NEAREST} * h AND {FARTHEST} * h AS near, lead(w) OVER f AS b FROM p WINDOW f AS (PARTITION BY video_id, frame_no ORDER BY line_no)),
+    o AS (SELECT *, coalesce(near AND len(list_filter(range(1, n + 1), lambda i: abs(w[i].x - b[i].x) > {MOST_SHIFT})) = 0, false) AS ok FROM q),
+    i AS (SELECT *, count(*) FILTER (WHERE NOT ok) OVER (PARTITION BY video_id, frame_no ORDER BY line_no) AS island FROM o),
+    u AS (SELECT *, row_number() OVER (PARTITION BY video_id, frame_no, island ORDER BY line_no) AS place FROM i WHERE ok)
+    SELECT video_id, line_no, w[k].wpos AS wpos, w[k].text || ' ' || b[k].text AS name FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM u WHERE place % 2 = 1)""",
 )
 def stacked_names(words: DataFrame) -> DataFrame:
-    """Two rows that follow each other with as many words, three at least: the words above each other form a name."""
-    rows = words.groupBy("video_id", "frame_no", "line_no").agg(F.array_sort(F.collect_list(F.struct("wpos", "text", ((F.col("x1") + F.col("x2")) / 2).alias("x")))).alias("w"))
-    below = F.lead("w").over(Window.partitionBy("video_id", "frame_no").orderBy("line_no"))
-    both = rows.withColumn("b", below).where((F.size("w") >= 3) & (F.size("w") == F.size("b")))
-    zipped = both.select("video_id", "line_no", F.explode(F.arrays_zip(F.col("w").alias("a"), F.col("b").alias("b"))).alias("z"))
-    near = zipped.where(F.abs(F.col("z.a.x") - F.col("z.b.x")) <= 88.0)
-    return near.select("video_id", "line_no", F.col("z.a.wpos").alias("wpos"), F.concat_ws(" ", "z.a.text", "z.b.text").alias("name"))
+    """Two rows that follow each other with as many words, three at least, clear gaps between them, centres above each other
+    and half to two and a half heights apart: the words above each other form a name. No row joins twice: of a run of such
+    pairs every other one counts. Rows that begin with a header word stay out."""
+    centre = (F.col("x1") + F.col("x2")) / 2
+    gap = F.lead("x1").over(Window.partitionBy("video_id", "frame_no", "line_no").orderBy("x1", "wpos")) - F.col("x2")
+    rows = words.withColumn("gap", gap).groupBy("video_id", "frame_no", "line_no").agg(
+        F.array_sort(F.collect_list(F.struct(centre.alias("x"), "wpos", "text"))).alias("w"), F.avg((F.col("y1") + F.col("y2")) / 2).alias("y"), F.avg(F.col("y2") - F.col("y1")).alias("h"), F.min("gap").alias("gap")
+    )
+    able = (F.size("w") >= 3) & F.coalesce(F.col("gap") >= LEAST_GAP, F.lit(True)) & ~F.lower(F.col("w")[0]["text"]).rlike(HEADER_WORD)
+    frame = Window.partitionBy("video_id", "frame_no").orderBy("line_no")
+    below = lambda c: F.lead(c).over(frame)
+    both = rows.withColumn("able", able).withColumn("b", below("w")).withColumn("down", below("y") - F.col("y")).withColumn("able", F.col("able") & below("able"))
+    near = F.col("able") & (F.size("w") == F.size("b")) & F.col("down").between(NEAREST * F.col("h"), FARTHEST * F.col("h"))
+    shifted = F.exists(F.arrays_zip(F.col("w").alias("a"), F.col("b").alias("b")), lambda z: F.abs(z["a"]["x"] - z["b"]["x"]) > MOST_SHIFT)
+    pairs = both.withColumn("ok", F.coalesce(near & ~shifted, F.lit(False)))
+    pairs = pairs.withColumn("island", F.count_if(~F.col("ok")).over(frame)).where("ok")
+    place = F.row_number().over(Window.partitionBy("video_id", "frame_no", "island").orderBy("line_no"))
+    used = pairs.withColumn("place", place).where("place % 2 = 1")
+    zipped = used.select("video_id", "line_no", F.explode(F.arrays_zip(F.col("w").alias("a"), F.col("b").alias("b"))).alias("z"))
+    return zipped.select("video_id", "line_no", F.col("z.a.wpos").alias("wpos"), F.concat_ws(" ", "z.a.text", "z.b.text").alias("name"))
 
 
 @query("e8_table_header", "words", "WITH f AS (SELECT video_id, frame_no, min(line_no) AS line_no FROM words GROUP BY ALL) SELECT f.video_id, f.frame_no, bool_or(regexp_matches(lower(w.text), '^(the|cast|actor|der|le|la|el)$')) AS has_header FROM f JOIN words w ON w.video_id = f.video_id AND w.line_no = f.line_no GROUP BY ALL")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelmill.functions.keys import alnum_key, duck, line_key, word_key
-from reelmill.functions.similarity import containment, duck_ratio, duck_sorted_tokens, ratio, sorted_tokens, wratio
+from reelmill.functions.similarity import block_ratio, can_reach, containment, duck_ratio, duck_sorted_tokens, ratio, sorted_tokens, wratio
 from reelmill.operators.resolution import _EVIDENCE, _MATCHES, _PEOPLE, cast_matches, evidence
 from reelmill.plans.registry import query
 
@@ -160,6 +160,16 @@ def title_hints(videos: DataFrame, titles: DataFrame) -> DataFrame:
     return near.select("video_id", "tconst", F.col("primary_title").alias("title"), F.round("score", 6).alias("score"))
 
 
+@query("d49_title_hints_blocks", "videos titles")
+def title_hints_blocks(videos: DataFrame, titles: DataFrame) -> DataFrame:
+    """D49 with the ratio of common blocks in place of S1: texts whose letters agree only in scattered places fall below 92.
+    S1 bounds it, so pairs that S1 can't bring to 92 are left out first."""
+    pairs = videos.join(titles, videos["true_tconst"] == titles["tconst"]).select("video_id", "tconst", "primary_title", alnum_key("film_title").alias("a"), alnum_key("primary_title").alias("b"))
+    able = pairs.where("abs(length(a) - length(b)) <= 4").where(can_reach(F.col("a"), F.col("b"), 92.0))
+    near = able.withColumn("score", F.when(F.col("a") == F.col("b"), 100.0).otherwise(block_ratio(F.col("a"), F.col("b")))).where("score >= 92")
+    return near.select("video_id", "tconst", F.col("primary_title").alias("title"), F.round("score", 6).alias("score"))
+
+
 @query("s3_weighted_ratio", "names")
 def weighted_ratio(names: DataFrame) -> DataFrame:
     """S3: the weighted ratio of each name with its misread form."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelmill.functions.keys import alnum_key, duck, hit_key, name_key, word_key
-from reelmill.functions.similarity import best_jaccard, duck_ratio, duck_sorted_tokens, fuzzy_join, jaccard, positional, ratio, sorted_tokens, token_sort_ratio
+from reelmill.functions.similarity import best_jaccard, can_reach, duck_ratio, duck_sorted_tokens, fuzzy_join, jaccard, positional, ratio, sorted_tokens, token_sort_ratio
 from reelmill.plans.registry import query
 
 #: Readings by name key and the names that they stand for.
@@ -136,7 +136,7 @@ def title_candidates(videos: DataFrame, titles: DataFrame) -> DataFrame:
     tokens = all_titles.select("tconst", "title", F.explode(F.array_distinct(F.split(F.lower("title"), " "))).alias("token"))
     wanted = videos.select("video_id", "film_title", F.split(F.lower("film_title"), " ")[0].alias("token"))
     pairs = wanted.join(tokens, "token").select("video_id", "tconst", "title", sorted_tokens(F.lower("film_title")).alias("a"), sorted_tokens(F.lower("title")).alias("b")).distinct()
-    able = pairs.where("200 * least(length(a), length(b)) >= 80 * (length(a) + length(b))")
+    able = pairs.where("200 * least(length(a), length(b)) >= 80 * (length(a) + length(b))").where(can_reach(F.col("a"), F.col("b"), 80.0))
     return able.withColumn("score", F.round(ratio(F.col("a"), F.col("b")), 6)).where("score >= 80").select("video_id", "tconst", "title", "score")
 
 
@@ -173,13 +173,13 @@ def cast_matches(videos: DataFrame, persons: DataFrame, people: DataFrame, thres
     """(video_id, tconst, name, best, score): each name read in a video with its best person of the video's title."""
     pairs = videos.select("video_id", F.col("true_tconst").alias("tconst")).join(persons.select("video_id", "name").distinct(), "video_id").join(people.select("tconst", F.col("name").alias("choice"), "category").distinct(), "tconst")
     pairs = pairs.select("video_id", "tconst", "name", "choice", "category", sorted_tokens(F.lower("name")).alias("a"), sorted_tokens(F.lower("choice")).alias("b"))
-    able = pairs.where(f"200 * least(length(a), length(b)) >= {threshold} * (length(a) + length(b))")
+    able = pairs.where(f"200 * least(length(a), length(b)) >= {threshold} * (length(a) + length(b))").where(can_reach(F.col("a"), F.col("b"), threshold))
     return able.withColumn("score", ratio(F.col("a"), F.col("b"))).where(F.col("score") >= threshold).drop("a", "b")
 
 
 _MATCHES = f"""WITH p AS (SELECT DISTINCT v.video_id, v.true_tconst AS tconst, p.name, t.name AS choice, t.category, v.is_series, v.year FROM videos v JOIN persons p USING (video_id) JOIN title_people t ON t.tconst = v.true_tconst),
   k AS MATERIALIZED (SELECT DISTINCT name, choice, {duck_sorted_tokens('lower(name)')} AS a, {duck_sorted_tokens('lower(choice)')} AS b FROM p),
-  z AS MATERIALIZED (SELECT * FROM (SELECT name, choice, {duck_ratio('a', 'b')} AS score FROM k WHERE 200 * least(length(a), length(b)) >= 80 * (length(a) + length(b))) WHERE score >= 80),
+  z AS MATERIALIZED (SELECT * FROM (SELECT name, choice, {duck_ratio('a', 'b')} AS score FROM k WHERE 5 * levenshtein(a, b) <= length(a) + length(b)) WHERE score >= 80),
   m AS (SELECT p.*, z.score FROM p JOIN z ON z.name = p.name AND z.choice = p.choice)"""
 _PEOPLE = "videos persons title_people"
 
