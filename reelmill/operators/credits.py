@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelmill.functions.contain import first_overlap
-from reelmill.functions.keys import alnum_key, ascii_key, duck, plain_key, word_key
+from reelmill.functions.keys import TR_FROM, alnum_key, ascii_key, duck, plain_key, word_key
 from reelmill.functions.similarity import best_jaccard, can_reach, duck_ratio, ratio
 from reelmill.operators.names import _SQL_VARIANT, _sql_blacklist, _sql_junk, _sql_non_person, _sql_reason, blacklist_reason, is_junk, is_non_person, structural_reason, variant_score, words
 from reelmill.plans.registry import query
@@ -157,49 +157,75 @@ def canonical_credits(credits: DataFrame, videos: DataFrame, people: DataFrame)
 
 def scorecard_sql(source: str) -> str:
     return f"""SELECT video_id, title_score, director_score, ratio_score, hits_score, penalty, round(title_score + director_score + ratio_score + hits_score + penalty, 6) AS score,
-      title_score + director_score + ratio_score + hits_score + penalty >= greatest(1.0, 0.40 * (2.5 + CASE WHEN has_directors THEN 2.5 ELSE 0 END + CASE WHEN hits + misses > 0 THEN 6.0 ELSE 0 END)) AS accepted FROM {source}"""
+      title_score + director_score + ratio_score + hits_score + penalty >= greatest(1.0, 0.40 * (CASE WHEN compared THEN 2.5 ELSE 0 END + CASE WHEN has_directors THEN 2.5 ELSE 0 END + CASE WHEN hits + misses > 0 THEN 6.0 ELSE 0 END)) AS accepted FROM {source}"""
 
 
+#: Letters of the language classes.
+_TURKISH, _CYRILLIC = f"[{TR_FROM}]", "[\u0400-\u04ff]"
+_sql_tr = lambda t: f"regexp_matches({t}, '{_TURKISH}')"
+_sql_cyr = lambda t: f"regexp_matches({t}, '{_CYRILLIC}')"
+_SQL_COMPARED = f"""CASE WHEN {_sql_cyr('t.primary_title')} THEN CASE WHEN t.original_title <> '' AND NOT {_sql_cyr('t.original_title')} AND {_sql_tr('v.film_title')} = {_sql_tr('t.original_title')} THEN t.original_title END
+  WHEN {_sql_tr('v.film_title')} = {_sql_tr('t.primary_title')} THEN t.primary_title WHEN t.original_title <> '' AND {_sql_tr('v.film_title')} = {_sql_tr('t.original_title')} AND NOT {_sql_cyr('t.original_title')} THEN t.original_title END"""
+
 _CARD = f"""{_PAIRS31}, h AS (SELECT c.video_id, count(DISTINCT c.line_no) AS n, count(DISTINCT m.line_no) AS hits FROM credits c LEFT JOIN m ON m.video_id = c.video_id AND m.line_no = c.line_no WHERE c.job = 'actor' GROUP BY c.video_id),
-  d AS (SELECT c.video_id, max(CASE WHEN m.score >= 95 THEN 2 WHEN m.score IS NOT NULL THEN 1 ELSE 0 END) AS level FROM credits c LEFT JOIN m ON m.video_id = c.video_id AND m.line_no = c.line_no WHERE c.job = 'Director' GROUP BY c.video_id),
-  v AS (SELECT v.video_id, {duck('alnum_key', 'v.film_title')} AS a, {duck('alnum_key', 't.primary_title')} AS b FROM videos v JOIN titles t ON t.tconst = v.true_tconst),
-  e AS (SELECT v.video_id, {duck_ratio('a', 'b')} AS sim, a = b AS same, strpos(a, b) > 0 OR strpos(b, a) > 0 AS within, d.level, d.level IS NOT NULL AS has_directors, coalesce(h.hits, 0) AS hits, coalesce(h.n, 0) - coalesce(h.hits, 0) AS misses
+  dp AS (SELECT c.video_id, c.line_no, lower(c.name) AS a, lower(t.name) AS b, t.category FROM credits c JOIN videos v USING (video_id) JOIN (SELECT DISTINCT tconst, name, category FROM title_people WHERE category NOT IN ('actor', 'actress')) t ON t.tconst = v.true_tconst
+    WHERE c.job = 'Director' AND 5 * levenshtein(lower(c.name), lower(t.name)) <= length(c.name) + length(t.name)),
+  ds AS (SELECT video_id, line_no, max(CASE WHEN category = 'director' THEN score END) AS best, max(score) AS crew FROM (SELECT *, {duck_ratio('a', 'b')} AS score FROM dp) GROUP BY ALL),
+  d AS (SELECT c.video_id, CASE WHEN bool_and({_sql_cyr('c.name')}) THEN NULL ELSE max(CASE WHEN best >= 95 THEN 2 WHEN best >= 80 OR crew >= 82 THEN 1 ELSE 0 END) END AS level FROM credits c LEFT JOIN ds ON ds.video_id = c.video_id AND ds.line_no = c.line_no WHERE c.job = 'Director' GROUP BY c.video_id),
+  v AS (SELECT video_id, {duck('alnum_key', 'film_title')} AS a, {duck('alnum_key', 'compare')} AS b, compare IS NOT NULL AS compared FROM (SELECT v.video_id, v.film_title, {_SQL_COMPARED} AS compare FROM videos v JOIN titles t ON t.tconst = v.true_tconst)),
+  e AS (SELECT v.video_id, v.compared, {duck_ratio('a', 'b')} AS sim, a = b AS same, strpos(a, b) > 0 OR strpos(b, a) > 0 AS within, d.level, d.video_id IS NOT NULL AS has_directors, coalesce(h.hits, 0) AS hits, coalesce(h.n, 0) - coalesce(h.hits, 0) AS misses
         FROM v LEFT JOIN d USING (video_id) LEFT JOIN h USING (video_id)),
   r AS (SELECT *, CASE WHEN hits + misses = 0 THEN 0 ELSE hits / (hits + misses)::double END AS share FROM e),
-  z AS (SELECT *, CASE WHEN same THEN 2.5 WHEN sim >= 90 THEN 2.0 WHEN sim >= 80 THEN 1.0 WHEN within THEN 0.5 ELSE 0.0 END::double AS title_score, CASE level WHEN 2 THEN 2.5 WHEN 1 THEN 1.5 WHEN 0 THEN -2.5 ELSE 0.0 END::double AS director_score,
+  z AS (SELECT *, CASE WHEN NOT compared THEN 0.0 WHEN same THEN 2.5 WHEN sim >= 90 THEN 2.0 WHEN sim >= 80 THEN 1.0 WHEN within THEN 0.5 ELSE 0.0 END::double AS title_score, CASE level WHEN 2 THEN 2.5 WHEN 1 THEN 1.5 WHEN 0 THEN -2.5 ELSE 0.0 END::double AS director_score,
         CASE WHEN share >= 0.5 THEN 3.0 WHEN share >= 0.3 THEN 2.0 WHEN share >= 0.15 THEN 1.0 WHEN share >= 0.05 THEN 0.5 ELSE 0.0 END::double AS ratio_score, CASE WHEN hits >= 8 THEN 3.0 WHEN hits >= 5 THEN 2.0 WHEN hits >= 3 THEN 1.0 ELSE 0.0 END::double AS hits_score,
         CASE WHEN hits >= 3 THEN 0.0 WHEN share < 0.05 THEN -3.0 WHEN share < 0.10 THEN -2.0 WHEN share < 0.15 THEN -1.0 ELSE 0.0 END::double AS penalty FROM r) {scorecard_sql('z')}"""
 
 
+def compared_title(film: Column, primary: Column, original: Column) -> Column:
+    """The catalogue's title that a film's may be compared with: of its own language class (Turkish letters or none), never
+    a Cyrillic one; null if there is none."""
+    turkish, cyrillic = lambda t: t.rlike(_TURKISH), lambda t: t.rlike(_CYRILLIC)
+    second = F.when((original != "") & (turkish(film) == turkish(original)) & ~cyrillic(original), original)
+    return F.when(~cyrillic(primary) & (turkish(film) == turkish(primary)), primary).otherwise(second)
+
+
 @query("d32_reverse_scorecard", "credits videos title_people titles", _CARD)
 def reverse_scorecard(credits: DataFrame, videos: DataFrame, people: DataFrame, titles: DataFrame) -> DataFrame:
     """Title, director and cast of a match scored; accepted from 40 % of what could be reached, 1 at least.
 
-    The title is compared by S1 on K5 keys and directors and cast by S1, in place of the weighted ratio.
+    The title is compared by S1 on K5 keys, with the catalogue's title of its own language class; without one it neither
+    scores nor counts as reachable. A director is found at 95 among the title's directors, near at 80 among these or 82
+    among all its crew; if all directors read are Cyrillic they are not judged. Names are compared by S1, in place of the
+    weighted ratio.
     """
     choices = videos.select("video_id", F.col("true_tconst").alias("tconst")).join(people.select("tconst", F.col("name").alias("choice")).distinct(), "tconst")
-    able = credits.where("job IN ('actor', 'Director')").join(choices, "video_id").where("200 * least(length(name), length(choice)) >= 82 * (length(name) + length(choice))").where(can_reach(F.lower("name"), F.lower("choice"), 82.0))
-    near = able.withColumn("score", ratio(F.lower("name"), F.lower("choice"))).where("score >= 82").groupBy("video_id", "line_no").agg(F.max("score").alias("score"))
-    scored = credits.join(near, ["video_id", "line_no"], "left")
-    cast = scored.where("job = 'actor'").groupBy("video_id").agg(F.count("*").alias("n"), F.count("score").alias("hits"))
-    level = F.when(F.col("score") >= 95, 2).when(F.col("score").isNotNull(), 1).otherwise(0)
-    directors = scored.where("job = 'Director'").groupBy("video_id").agg(F.max(level).alias("level"))
-    a, b = alnum_key("film_title"), alnum_key("primary_title")
-    facts = videos.join(titles, videos["true_tconst"] == titles["tconst"]).select("video_id", a.alias("a"), b.alias("b")).withColumn("sim", ratio(F.col("a"), F.col("b")))
+    a, b = F.lower("name"), F.lower("choice")
+    able = credits.where("job = 'actor'").join(choices, "video_id").where("200 * least(length(name), length(choice)) >= 82 * (length(name) + length(choice))").where(can_reach(a, b, 82.0))
+    near = able.withColumn("score", ratio(a, b)).where("score >= 82").select("video_id", "line_no").distinct().withColumn("hit", F.lit(1))
+    cast = credits.where("job = 'actor'").join(near, ["video_id", "line_no"], "left").groupBy("video_id").agg(F.count("*").alias("n"), F.count("hit").alias("hits"))
+    crew = people.where("category NOT IN ('actor', 'actress')").select(F.col("tconst").alias("true_tconst"), F.col("name").alias("choice"), "category").distinct()
+    read = credits.where("job = 'Director'").select("video_id", "line_no", "name")
+    met = read.join(videos.select("video_id", "true_tconst"), "video_id").join(crew, "true_tconst").where(can_reach(a, b, 80.0)).withColumn("score", ratio(a, b))
+    best = met.groupBy("video_id", "line_no").agg(F.max(F.when(F.col("category") == "director", F.col("score"))).alias("best"), F.max("score").alias("crew"))
+    level = F.when(F.col("best") >= 95, 2).when((F.col("best") >= 80) | (F.col("crew") >= 82), 1).otherwise(0)
+    judged = ~F.bool_and(F.col("name").rlike(_CYRILLIC))
+    directors = read.join(best, ["video_id", "line_no"], "left").groupBy("video_id").agg(F.when(judged, F.max(level)).alias("level")).withColumn("has_directors", F.lit(True))
+    facts = videos.join(titles, videos["true_tconst"] == titles["tconst"]).withColumn("compare", compared_title(F.col("film_title"), F.col("primary_title"), F.col("original_title")))
+    facts = facts.select("video_id", alnum_key("film_title").alias("a"), alnum_key("compare").alias("b"), F.col("compare").isNotNull().alias("compared")).withColumn("sim", ratio(F.col("a"), F.col("b")))
     facts = facts.join(directors, "video_id", "left").join(cast, "video_id", "left").na.fill(0, ["n", "hits"])
     facts = facts.withColumn("share", F.when(F.col("n") == 0, 0.0).otherwise(F.col("hits") / F.col("n")))
     hits, share = F.col("hits"), F.col("share")
     within = F.col("a").contains(F.col("b")) | F.col("b").contains(F.col("a"))
     steps = facts.select(
-        "video_id", "level", "n",
-        F.when(F.col("a") == F.col("b"), 2.5).when(F.col("sim") >= 90, 2.0).when(F.col("sim") >= 80, 1.0).when(within, 0.5).otherwise(0.0).alias("title_score"),
+        "video_id", "compared", "has_directors", "n",
+        F.when(~F.col("compared"), 0.0).when(F.col("a") == F.col("b"), 2.5).when(F.col("sim") >= 90, 2.0).when(F.col("sim") >= 80, 1.0).when(within, 0.5).otherwise(0.0).alias("title_score"),
         F.when(F.col("level") == 2, 2.5).when(F.col("level") == 1, 1.5).when(F.col("level") == 0, -2.5).otherwise(0.0).alias("director_score"),
         F.when(share >= 0.5, 3.0).when(share >= 0.3, 2.0).when(share >= 0.15, 1.0).when(share >= 0.05, 0.5).otherwise(0.0).alias("ratio_score"),
         F.when(hits >= 8, 3.0).when(hits >= 5, 2.0).when(hits >= 3, 1.0).otherwise(0.0).alias("hits_score"),
         F.when(hits >= 3, 0.0).when(share < 0.05, -3.0).when(share < 0.10, -2.0).when(share < 0.15, -1.0).otherwise(0.0).alias("penalty"),
     )
     total = F.col("title_score") + F.col("director_score") + F.col("ratio_score") + F.col("hits_score") + F.col("penalty")
-    attainable = 2.5 + F.when(F.col("level").isNotNull(), 2.5).otherwise(0.0) + F.when(F.col("n") > 0, 6.0).otherwise(0.0)
+    attainable = F.when(F.col("compared"), 2.5).otherwise(0.0) + F.when(F.col("has_directors"), 2.5).otherwise(0.0) + F.when(F.col("n") > 0, 6.0).otherwise(0.0)
     return steps.select("video_id", "title_score", "director_score", "ratio_score", "hits_score", "penalty", F.round(total, 6).alias("score"), (total >= F.greatest(F.lit(1.0), 0.40 * attainable)).alias("accepted"))
 
 
