@@ -87,6 +87,54 @@ def stage_times(jobs: DataFrame) -> DataFrame:
     return times.groupBy("stage", "status").agg(F.sum("times").alias("n"), mean.alias("mean_sec"), share(0.5).alias("median_sec"), share(0.95).alias("p95_sec"))
 
 
+#: Least confidence that ends the search, and the seconds from which a late sample exists.
+SURE, LATE_FROM = 0.75, 510
+_TRIALS = {"mix": (1, 2), "c0": (3, 4), "c1": (5, 6)}
+
+
+def _sql_vote(n: str) -> str:
+    return f"""CASE WHEN {n}_l2 IS NULL OR {n}_l1 = {n}_l2 OR {n}_p1 > {n}_p2 THEN {n}_l1 ELSE {n}_l2 END AS {n}_lang,
+      CASE WHEN {n}_l2 IS NULL THEN {n}_p1 WHEN {n}_l1 = {n}_l2 THEN ({n}_p1 + {n}_p2) / 2 ELSE greatest({n}_p1, {n}_p2) END AS {n}_p"""
+
+
+@query(
+    "e15_language_rounds", "language_samples",
+    f"""WITH a AS (SELECT job_id, any_value(channels) AS channels, any_value(seconds) AS seconds, {', '.join(f"max(CASE WHEN sample = {r} THEN lang END) AS {n}_l{i}, max(CASE WHEN sample = {r} THEN p END) AS {n}_p{i}" for n, rs in _TRIALS.items() for i, r in enumerate(rs, 1))},
+      {', '.join(f"max(CASE WHEN sample = {r} THEN lang END) AS l_{n}, max(CASE WHEN sample = {r} THEN p END) AS p_{n}" for n, r in (("mix", 7), ("c0", 8), ("c1", 9)))} FROM language_samples GROUP BY job_id),
+    v AS (SELECT *, {', '.join(_sql_vote(n) for n in _TRIALS)} FROM a),
+    t AS (SELECT *, mix_p < {SURE} AND channels >= 2 AS again FROM v), c AS (SELECT *, again AND coalesce(c0_p > mix_p, false) AS by0 FROM t),
+    d AS (SELECT *, again AND coalesce(c1_p > CASE WHEN by0 THEN c0_p ELSE mix_p END, false) AS by1 FROM c),
+    b AS (SELECT *, CASE WHEN by1 THEN 'c1' WHEN by0 THEN 'c0' ELSE 'mix' END AS source, CASE WHEN by1 THEN c1_lang WHEN by0 THEN c0_lang ELSE mix_lang END AS lang, CASE WHEN by1 THEN c1_p WHEN by0 THEN c0_p ELSE mix_p END AS p,
+          CASE WHEN by1 THEN l_c1 WHEN by0 THEN l_c0 ELSE l_mix END AS late_lang, CASE WHEN by1 THEN p_c1 WHEN by0 THEN p_c0 ELSE p_mix END AS late_p FROM d),
+    f AS (SELECT *, p < {SURE} AND seconds >= {LATE_FROM} AND coalesce(late_p > p, false) AS late FROM b)
+    SELECT job_id, CASE WHEN late THEN late_lang ELSE lang END AS lang, round(CASE WHEN late THEN late_p ELSE p END, 6) AS p, source, late FROM f""",
+)
+def language_rounds(samples: DataFrame) -> DataFrame:
+    """E15 with its later rounds: below .75 the two channels of a stereo recording vote as the mix did, each taken if it is
+    surer than what stands; below .75 still, a recording of 510 seconds or more has a late sample of the source that leads,
+    taken if it is surer. samples (job_id, sample, lang, p, channels, seconds) has one row a sample: 1-2 of the mix, 3-4 and
+    5-6 of the channels, 7-9 the late ones in this order. One aggregate a recording holds all that the rounds ask for."""
+    at = lambda c, n: F.max(F.when(F.col("sample") == n, F.col(c)))
+    cells = [at(c, r).alias(f"{n}_{c}{i}") for n, rs in _TRIALS.items() for i, r in enumerate(rs, 1) for c in ("lang", "p")]
+    late = [at(c, r).alias(f"late_{n}_{c}") for n, r in zip(_TRIALS, (7, 8, 9), strict=True) for c in ("lang", "p")]
+    rows = samples.groupBy("job_id").agg(F.any_value("channels").alias("channels"), F.any_value("seconds").alias("seconds"), *cells, *late)
+
+    def vote(n: str):
+        l1, l2, p1, p2 = (F.col(f"{n}_{c}") for c in ("lang1", "lang2", "p1", "p2"))
+        lang = F.when(l2.isNull() | (l1 == l2) | (p1 > p2), l1).otherwise(l2)
+        return F.struct(lang.alias("lang"), F.when(l2.isNull(), p1).when(l1 == l2, (p1 + p2) / 2).otherwise(F.greatest(p1, p2)).alias("p"), F.lit(n).alias("source"))
+
+    surer = lambda new, old, able: F.when(able & F.coalesce(new["p"] > old["p"], F.lit(False)), new).otherwise(old)
+    rows = rows.withColumn("mix", vote("mix")).withColumn("c0", vote("c0")).withColumn("c1", vote("c1"))
+    again = (F.col("mix.p") < SURE) & (F.col("channels") >= 2)
+    rows = rows.withColumn("best", surer(F.col("c0"), F.col("mix"), again)).withColumn("best", surer(F.col("c1"), F.col("best"), again))
+    for c in ("lang", "p"):
+        rows = rows.withColumn(f"late_{c}", F.when(F.col("best.source") == "mix", F.col(f"late_mix_{c}")).when(F.col("best.source") == "c0", F.col(f"late_c0_{c}")).otherwise(F.col(f"late_c1_{c}")))
+    late_wins = (F.col("best.p") < SURE) & (F.col("seconds") >= LATE_FROM) & F.coalesce(F.col("late_p") > F.col("best.p"), F.lit(False))
+    rows = rows.withColumn("late", late_wins)
+    return rows.select("job_id", F.when(F.col("late"), F.col("late_lang")).otherwise(F.col("best.lang")).alias("lang"), F.round(F.when(F.col("late"), F.col("late_p")).otherwise(F.col("best.p")), 6).alias("p"), "best.source", "late")
+
+
 @query("e15_language_vote", "jobs", """WITH s AS (SELECT job_id, event_id, stage AS lang, least(sec / 100, 1.0) AS p, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS r FROM jobs), a AS (SELECT job_id, max(CASE WHEN r = 1 THEN lang END) AS l1, max(CASE WHEN r = 1 THEN p END) AS p1, max(CASE WHEN r = 2 THEN lang END) AS l2, max(CASE WHEN r = 2 THEN p END) AS p2 FROM s WHERE r <= 2 GROUP BY job_id)
     SELECT job_id, CASE WHEN l2 IS NULL OR l1 = l2 OR p1 > p2 THEN l1 ELSE l2 END AS lang, round(CASE WHEN l2 IS NULL THEN p1 WHEN l1 = l2 THEN (p1 + p2) / 2 ELSE greatest(p1, p2) END, 6) AS p, CASE WHEN l2 IS NULL THEN p1 WHEN l1 = l2 THEN (p1 + p2) / 2 ELSE greatest(p1, p2) END < 0.75 AS retry FROM a""")
 def language_vote(jobs: DataFrame) -> DataFrame:

@@ -86,12 +86,30 @@ def series_split(manifest: DataFrame) -> DataFrame:
     return rows.groupBy(block(0).alias("year"), kind.alias("kind")).agg(F.count("*").alias("n"), F.count_distinct(F.when(block(2) == "0", block(3))).alias("episodes"))
 
 
-@query("a4_title_from_name", "manifest", rf"SELECT video_id, array_to_string(list_transform(string_split(lower({_AFTER}), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS title FROM manifest")
-def title_from_name(manifest: DataFrame) -> DataFrame:
-    """A4: the text behind the id, in title case (dotted and dotless i apart)."""
-    local = F.trim(F.translate(F.regexp_replace(F.regexp_replace(stem(F.col("filename")), f"^.*?{ID}", ""), "^[-_]+", ""), "_-", "  "))
-    cased = F.transform(F.split(F.lower(F.translate(local, "İ", "i")), " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w))))
-    return manifest.select("video_id", F.array_join(cased, " ").alias("title"))
+#: The numeric block before a title, and how a dated segment begins.
+_BLOCK, _DATED = "[0-9]{4}-[0-9]{3,4}-[0-9]-[0-9]{3,4}-[0-9]{2}-[0-9]-(.+)$", "^[0-9]{4}-"
+
+
+@query(
+    "a4_title_from_name", "archive_names",
+    rf"""WITH s AS (SELECT video_id, {_STEM} AS stem, string_split({_STEM}, '_') AS parts FROM archive_names), k AS (SELECT *, list_position(list_transform(parts, lambda p, i: i > 1 AND regexp_matches(p, '{_DATED}')), true) AS spot FROM s),
+    r AS (SELECT video_id, stem, list_filter(regexp_split_to_array(replace(regexp_extract(stem, '{_BLOCK}', 1), '_', ' '), '\s+'), lambda w: w <> '') AS behind,
+          CASE WHEN spot > 2 THEN list_filter(regexp_split_to_array(array_to_string(parts[2:spot - 1], ' '), '\s+'), lambda w: w <> '') ELSE [] END AS middle FROM k),
+    w AS (SELECT video_id, stem, CASE WHEN len(behind) > 0 THEN behind WHEN len(middle) >= 2 THEN middle ELSE [] END AS words FROM r)
+    SELECT video_id, CASE WHEN len(words) = 0 THEN stem ELSE array_to_string(list_transform(words, lambda w: w[1] || lower(translate(w[2:], 'İI', 'iı'))), ' ') END AS title FROM w""",
+)
+def title_from_name(names: DataFrame) -> DataFrame:
+    """A4: the text behind the numeric block; else the segments between the first one and the first dated one, if these are two
+    words or more; else the stem. First letters stay, the rest is lower case with dotted and dotless i apart."""
+    bare = stem(F.col("filename"))
+    words = lambda text: F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    rows = names.select("video_id", bare.alias("stem"), F.split(bare, "_").alias("parts"))
+    rows = rows.withColumn("at", F.array_position(F.transform("parts", lambda p, i: (i > 0) & p.rlike(_DATED)), True))
+    behind = words(F.translate(F.regexp_extract("stem", _BLOCK, 1), "_", " "))
+    middle = words(F.array_join(F.slice("parts", F.lit(2), F.greatest(F.col("at") - 2, F.lit(0))), " "))
+    found = F.when(F.size(behind) > 0, behind).when((F.col("at") > 2) & (F.size(middle) >= 2), middle)
+    cased = F.transform(found, lambda w: F.concat(F.substring(w, 1, 1), F.lower(F.translate(F.substring(w, F.lit(2), F.length(w)), "İI", "iı"))))
+    return rows.select("video_id", F.coalesce(F.array_join(cased, " "), F.col("stem")).alias("title"))
 
 
 @query("a6_sidecar_coverage", "manifest titles", rf"WITH s AS (SELECT tconst AS video_id, CASE WHEN tconst % 5 = 0 THEN '' ELSE primary_title END AS title FROM titles) SELECT m.video_id, CASE WHEN s.video_id IS NULL THEN 'missing' WHEN s.title = '' THEN 'no_title' ELSE 'ok' END AS status FROM manifest m LEFT JOIN s ON s.video_id = m.video_id")

@@ -115,6 +115,19 @@ _view(
       FROM {orders} JOIN {part} ON p_partkey = o_orderkey % (SELECT count(*) FROM {part})""",
 )
 
+_view(
+    "archive_names", "manifest",
+    """SELECT video_id, CASE video_id % 4 WHEN 1 THEN concat('archive_', replace(regexp_replace(filename, '^.*-1-', ''), '.mp4', ''), '_1989-0624-1.mp4') WHEN 2 THEN concat('archive_ONE_19', CAST(10 + video_id % 90 AS STRING), '-0624-1.mp4')
+           ELSE filename END AS filename FROM {manifest}""",
+    """SELECT video_id, CASE video_id % 4 WHEN 1 THEN concat('archive_', replace(regexp_replace(filename, '^.*-1-', ''), '.mp4', ''), '_1989-0624-1.mp4') WHEN 2 THEN concat('archive_ONE_19', CAST(10 + video_id % 90 AS VARCHAR), '-0624-1.mp4')
+           ELSE filename END AS filename FROM manifest""",
+)
+_view(
+    "language_samples", "events",
+    # samples of a recording in order: two of the mix, two of either channel, a late one of each
+    """SELECT user_id AS job_id, event_type AS lang, least(value / 100, 1.0D) AS p, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS sample, 1 + user_id % 3 AS channels, 300 + 40 * (user_id % 10) AS seconds FROM {events}""",
+    """SELECT user_id AS job_id, event_type AS lang, least(value / 100, 1.0::double) AS p, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS sample, 1 + user_id % 3 AS channels, 300 + 40 * (user_id % 10) AS seconds FROM events""",
+)
 _view(
     "videos", "documents titles",
     """SELECT d.doc_id AS video_id, t.tconst AS true_tconst, CASE d.doc_id % 3 WHEN 0 THEN upper(t.primary_title) WHEN 1 THEN t.primary_title ELSE concat(substring(t.primary_title, 1, 4), substring(t.primary_title, 6)) END AS film_title,
