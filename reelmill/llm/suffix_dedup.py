@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,7 @@ class Params:
     built_bytes: int = 350_000
 
 
+@lru_cache(maxsize=8)
 def _byte_hashes(seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**64, 256, dtype=np.uint64)
 
@@ -226,19 +228,19 @@ def _segments(texts: DataFrame, met: DataFrame, params: Params) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells: list[list] = [[], [], [], [], []]
-            for doc, row_hash, value, met_starts in zip(batch["doc"].to_pylist(), batch["row_hash"].to_pylist(), batch["data"], batch["starts"], strict=True):
+            starts, found, cuts = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
+            for value, met_starts in zip(batch["data"], batch["starts"], strict=True):
                 whole = value.as_py()
                 start, count, key = cut(np.frombuffer(whole, np.uint8), 0, params)
                 keep = np.isin(start, met_starts.values.to_numpy())
-                start, count, key = start[keep], count[keep], key[keep]
-                cells[0] += [doc] * len(start)
-                cells[1] += [row_hash] * len(start)
-                cells[2] += start.tolist()
-                cells[3] += key.tolist()
-                cells[4] += [whole[a:b] for a, b in zip(start.tolist(), (start + count + params.length - 1).tolist(), strict=True)]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], ["doc", "row_hash", "start", "key", "segment"])
+                start, count = start[keep], count[keep]
+                starts.append(start)
+                found.append(key[keep])
+                cuts += [whole[a:b] for a, b in zip(start.tolist(), (start + count + params.length - 1).tolist(), strict=True)]
+            n = [len(x) for x in starts[1:]]
+            own = [pa.array(np.repeat(batch[c].to_numpy(), n)) for c in ("doc", "row_hash")]
+            cells = [*own, pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(found)), pa.array(cuts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cells, ["doc", "row_hash", "start", "key", "segment"])
 
     return texts.join(met, "doc").mapInArrow(run, "doc long, row_hash long, start int, key long, segment binary")
 
@@ -345,13 +347,15 @@ def _marks(docs: DataFrame, params: Params) -> DataFrame:
 
 
 def removed(length: int, n_bytes: int, start: np.ndarray, n: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Which of n_bytes are covered by marked strings."""
-    at = np.repeat(start, n)
-    i = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-    hit = at[(np.repeat(mask, n) >> i) & 1 == 1] + i[(np.repeat(mask, n) >> i) & 1 == 1]
-    edges = np.zeros(n_bytes + 1, np.int64)
-    np.add.at(edges, hit, 1)
-    np.add.at(edges, hit + length, -1)
+    """Which of n_bytes are covered by marked strings: n of them from each start, those whose bit is set (-1: all)."""
+    whole = mask == -1
+    part, many, bits = start[~whole], n[~whole], mask[~whole]
+    at = np.repeat(part, many)
+    i = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+    set_ = (np.repeat(bits, many) >> i) & 1 == 1
+    hit = at[set_] + i[set_]
+    begin, end = np.r_[start[whole], hit], np.r_[start[whole] + n[whole] - 1, hit] + length
+    edges = np.bincount(begin, minlength=n_bytes + 1) - np.bincount(end, minlength=n_bytes + 1)
     return np.cumsum(edges[:-1]) > 0
 
 
