@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelmill.functions.contain import first_overlap
 from reelmill.functions.keys import TR_FROM, alnum_key, ascii_key, duck, plain_key, word_key
-from reelmill.functions.similarity import best_jaccard, can_reach, duck_ratio, ratio
+from reelmill.functions.similarity import best_jaccard, can_reach, duck_ratio, ratio, ratio_of
 from reelmill.operators.names import _SQL_VARIANT, _sql_blacklist, _sql_junk, _sql_non_person, _sql_reason, blacklist_reason, is_junk, is_non_person, structural_reason, variant_score, words
 from reelmill.plans.registry import query
 
@@ -563,6 +566,69 @@ def value_merge(credits: DataFrame) -> DataFrame:
     return best.select("video_id", "b.name", F.when(one, "HIGH").otherwise("LOW").alias("level"), F.round(F.col("b.mean") * F.when(one, 1.0).otherwise(0.7), 6).alias("confidence"), (F.col("n") - 1).alias("alternatives"))
 
 
+#: Levels of a single source's score; least ratio of values that count as one.
+HIGH_FROM, MEDIUM_FROM, SAME_VALUE = 0.85, 0.60, 85.0
+
+
+def _same(a: str, b: str, least: float) -> bool:
+    return a == b or 200 * min(len(a), len(b)) >= least * (len(a) + len(b)) and ratio_of(a, b) >= least
+
+
+def _merged(values: list[tuple], least: float) -> tuple:
+    """values (name, total, n, score, line) in order of their first line -> (name, level, confidence, alternatives). A value
+    joins the first leader that it is near to; leaders are looked up by lengths that can reach the ratio."""
+    leaders: list[str] = []
+    groups: list[list[tuple]] = []
+    by_length: dict[int, list[int]] = {}
+    for value in values:
+        name = value[0]
+        fits = sorted(i for n, held in by_length.items() if 200 * min(n, len(name)) >= least * (n + len(name)) for i in held)
+        at = next((i for i in fits if _same(name, leaders[i], least)), None)
+        if at is None:
+            by_length.setdefault(len(name), []).append(len(leaders))
+            leaders.append(name)
+            groups.append([value])
+        else:
+            groups[at].append(value)
+    best = max(groups, key=lambda g: (sum(v[1] for v in g), -groups.index(g)))
+    name, mean = max(best, key=lambda v: (v[3], -v[4]))[0], sum(v[1] for v in best) / sum(v[2] for v in best)
+    if len(groups) > 1:
+        return name, "LOW", mean * 0.7, [x for x in leaders if not _same(x, name, least)]
+    single = sum(v[2] for v in best) == 1
+    level = "HIGH" if not single or mean >= HIGH_FROM else "MEDIUM" if mean >= MEDIUM_FROM else "LOW"
+    return name, level, mean, []
+
+
+@query("c19_value_merge_fuzzy", "credit_readings")
+def value_merge_fuzzy(credits: DataFrame, least: float = SAME_VALUE) -> DataFrame:
+    """C19 in full: values of a video in order of their first line join the first value that they are near to (ratio of 85);
+    the group of highest score sum wins (the earlier on ties) and gives its surest value; one group is HIGH with its mean,
+    several are LOW with the winner's mean x .7 and the other groups' first values as alternatives; a single source has the
+    level of its score. Equal values are one before they travel, and one video's different values are held at a time.
+    """
+    values = credits.where("job = 'Director'").groupBy("video_id", "name").agg(
+        F.sum("confidence").alias("total"), F.count("*").alias("n"), F.max("confidence").alias("score"), F.max_by("line_no", F.struct("confidence", -F.col("line_no"))).alias("line"), F.min("line_no").alias("first")
+    )
+    rows = values.repartition("video_id").sortWithinPartitions("video_id", "first").select("video_id", "name", "total", "n", "score", "line")
+    columns = ["video_id", "name", "level", "confidence", "alternatives"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        video, held = None, []
+        for frame in frames:
+            out = []
+            for v, *value in frame.itertuples(index=False):
+                if held and v != video:
+                    out.append((video, *_merged(held, least)))
+                    held = []
+                video = v
+                held.append(tuple(value))
+            yield pd.DataFrame(out, columns=columns, dtype=object)
+        if held:
+            yield pd.DataFrame([(video, *_merged(held, least))], columns=columns, dtype=object)
+
+    return rows.mapInPandas(run, "video_id long, name string, level string, confidence double, alternatives array<string>")
+
+
 @query("c20_ordered_distinct", "credits", "WITH f AS (SELECT video_id, lower(name) AS key, arg_min(name, line_no) AS name, min(line_no) AS line_no FROM credits GROUP BY ALL) SELECT video_id, name, position FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY line_no) AS position FROM f) WHERE position <= 50")
 def ordered_distinct(credits: DataFrame) -> DataFrame:
     """C20: names of a video once each, case ignored, in order of first appearance, 50 at most."""

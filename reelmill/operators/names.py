@@ -260,7 +260,15 @@ def noise_score(actor: Column) -> Column:
     w = words(actor)
     caps = lambda x: x.rlike(r"\p{Lu}") & ~x.rlike(r"\p{Ll}")
     keys = F.transform(w, ascii_key)
-    twins = F.aggregate(F.transform(keys, lambda a, i: F.size(F.filter(keys, lambda b, j: (j > i) & (F.length(a) >= 4) & (F.length(b) >= 4) & (F.substring(a, 1, 4) == F.substring(b, 1, 4))))), F.lit(0), lambda s, x: s + x)
+    # pairs of words whose keys of four letters or more begin alike: sorted heads, each counted with its equals before it
+    heads = F.array_sort(F.transform(F.filter(keys, lambda k: F.length(k) >= 4), lambda k: F.substring(k, 1, 4)))
+    start = F.struct(F.lit("").alias("head"), F.lit(0).alias("run"), F.lit(0).alias("pairs"))
+
+    def step(s, x):
+        run = F.when(s["head"] == x, s["run"] + 1).otherwise(0)
+        return F.struct(x.alias("head"), run.alias("run"), (s["pairs"] + run).alias("pairs"))
+
+    twins = F.aggregate(heads, start, step, lambda s: s["pairs"])
     return (
         F.when(actor.rlike(r"\.{3,}"), 10).otherwise(0)
         + F.when(actor.contains("&"), 5).otherwise(0)
@@ -284,18 +292,18 @@ _SQL_NOISE = rf"""CASE WHEN regexp_matches(text, '\.{{3,}}') THEN 10 ELSE 0 END
   + greatest(len(w) - 2, 0) * 3 - CASE WHEN length(text) > length(translate(text, '{TURKISH}', '')) THEN 5 ELSE 0 END
   + CASE WHEN len(w) >= 2 AND len(list_filter(w, lambda x: NOT {_sql_upper('x')})) = 0 THEN 4 ELSE 0 END
   + CASE WHEN strpos(text, ' ') = 0 AND {_sql_upper('text')} AND length(text) >= 8 THEN 6 ELSE 0 END + len(list_filter(w, lambda x: length(x) >= 10)) * 2
-  + 2 * list_sum(list_transform(range(1, len(k) + 1), lambda i: len(list_filter(range(i + 1, len(k) + 1), lambda j: length(k[i]) >= 4 AND length(k[j]) >= 4 AND k[i][1:4] = k[j][1:4]))))"""
+  + 2 * coalesce(list_sum(list_transform(map_values(list_histogram(list_transform(list_filter(k, lambda x: length(x) >= 4), lambda x: x[1:4]))), lambda c: c * (c - 1) // 2)), 0)"""
 
 
 @query(
     "c17_spelling_scores", "lines",
-    f"""WITH s AS (SELECT video_id, line_no, text, {_SQL_WORDS.format('text')} AS w FROM lines WHERE length(text) <= 60), k AS (SELECT *, list_transform(w, lambda x: {duck('ascii_key', 'x')}) AS k FROM s)
+    f"""WITH s AS (SELECT video_id, line_no, text, {_SQL_WORDS.format('text')} AS w FROM lines), k AS (SELECT *, list_transform(w, lambda x: {duck('ascii_key', 'x')}) AS k FROM s)
     SELECT video_id, line_no, cast({_SQL_NOISE} AS bigint) AS noise, round({_SQL_VARIANT}, 6) AS variant FROM k""",
 )
 def spelling_scores(lines: DataFrame) -> DataFrame:
-    """C17: noise and variant score of every line short enough to be a name (60 characters)."""
+    """C17: noise and variant score of every line."""
     t = F.col("text")
-    return lines.where(F.length("text") <= 60).select("video_id", "line_no", noise_score(t).cast("long").alias("noise"), F.round(variant_score(t), 6).alias("variant"))
+    return lines.select("video_id", "line_no", noise_score(t).cast("long").alias("noise"), F.round(variant_score(t), 6).alias("variant"))
 
 
 @query(

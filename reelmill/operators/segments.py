@@ -73,22 +73,25 @@ def speaker_overlap(segments: DataFrame, diarization: DataFrame, width: float =
 
 @query(
     "d48_speaker_naming", "segments persons",
-    """WITH w AS (SELECT video_id, seg_no, speaker, unnest(t) AS word, generate_subscripts(t, 1) AS i FROM (SELECT video_id, seg_no, speaker, list_filter(regexp_split_to_array(lower(regexp_replace(text, '[^A-Za-z ]', '', 'g')), ' +'), lambda x: x <> '') AS t FROM segments)),
-    p AS (SELECT video_id, line_no, name, lower(string_split(name, ' ')[1]) AS a, lower(string_split(name, ' ')[2]) AS b FROM persons),
-    m AS (SELECT p.video_id, x.speaker, x.seg_no, p.line_no, p.name FROM p JOIN w x ON x.video_id = p.video_id AND x.word = p.a JOIN w y ON y.video_id = x.video_id AND y.seg_no = x.seg_no AND y.word = p.b AND y.i > x.i AND y.i - x.i <= 2)
-    SELECT video_id, speaker, arg_min(name, (seg_no, line_no)) AS name FROM m GROUP BY ALL""",
+    """WITH w AS (SELECT video_id, seg_no, speaker, t, unnest(t) AS word, generate_subscripts(t, 1) AS i FROM (SELECT video_id, seg_no, speaker, list_filter(regexp_split_to_array(lower(regexp_replace(text, '[^A-Za-z ]', '', 'g')), ' +'), lambda x: x <> '') AS t FROM segments)),
+    p AS (SELECT video_id, line_no, name, list_filter(string_split(lower(name), ' '), lambda x: x <> '') AS parts FROM persons),
+    m AS (SELECT p.video_id, w.speaker, w.seg_no, p.line_no, p.name, p.parts, len(p.parts) AS n, w.t[w.i:w.i + len(p.parts)] AS near FROM p JOIN w ON w.video_id = p.video_id AND w.word = p.parts[1])
+    SELECT video_id, speaker, arg_min(name, (seg_no, line_no)) AS name FROM m WHERE near[1:n] = parts OR len(list_filter(range(2, n + 1), lambda k: list_concat(near[1:k - 1], near[k + 1:n + 1]) = parts)) > 0 GROUP BY ALL""",
 )
 def speaker_naming(segments: DataFrame, persons: DataFrame) -> DataFrame:
-    """A speaker is named by the first segment that has both words of a person's name in order within three words; of
-    several such persons by the first in the list."""
+    """A speaker is named by the first segment that has all n words of a person's name in order within n + 1 words; of
+    several such persons by the first in the list. A name of one word is named by that word."""
     tokens = F.filter(F.split(F.lower(F.regexp_replace("text", "[^A-Za-z ]", "")), " +"), lambda w: w != "")
-    said = segments.select("video_id", "seg_no", "speaker", tokens.alias("t"))
-    spot = lambda step: F.explode(F.transform("t", lambda w, i: F.struct(w.alias("a"), F.get("t", i + step).alias("b"))))
-    two = said.select("video_id", "seg_no", "speaker", spot(1).alias("s")).unionByName(said.select("video_id", "seg_no", "speaker", spot(2).alias("s")))
-    pairs = two.where("s.b IS NOT NULL").select("video_id", "seg_no", "speaker", "s.a", "s.b").distinct()
-    word = lambda i: F.lower(F.get(F.split("name", " "), F.lit(i)))
-    table = persons.select("video_id", "line_no", "name", word(0).alias("a"), word(1).alias("b"))
-    return pairs.join(table, ["video_id", "a", "b"]).groupBy("video_id", "speaker").agg(F.min_by("name", F.struct("seg_no", "line_no")).alias("name"))
+    parts = F.filter(F.split(F.lower("name"), " "), lambda w: w != "")
+    table = persons.select("video_id", "line_no", "name", parts.alias("parts")).where(F.size("parts") > 0)
+    most = table.agg(F.max(F.size("parts"))).first()[0] or 1
+    said = segments.select("video_id", "seg_no", "speaker", tokens.alias("t")).where(F.size("t") > 0)
+    spots = F.explode(F.transform(F.sequence(F.lit(1), F.size("t")), lambda i: F.slice("t", i, F.lit(most + 1)))).alias("near")
+    met = said.select("video_id", "seg_no", "speaker", spots).withColumn("word", F.get("near", F.lit(0))).join(table.withColumn("word", F.get("parts", F.lit(0))), ["video_id", "word"])
+    n = F.size("parts")
+    gapped = F.exists(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda k: F.concat(F.slice("near", F.lit(1), k), F.slice("near", k + 2, n - k)) == F.col("parts"))
+    whole = (F.slice("near", F.lit(1), n) == F.col("parts")) | ((n > 1) & gapped)
+    return met.where(whole).groupBy("video_id", "speaker").agg(F.min_by("name", F.struct("seg_no", "line_no")).alias("name"))
 
 
 _WINDOWS = [("first", "0.0", "600.0"), ("middle", "(dur - 900.0) / 2", "(dur + 900.0) / 2"), ("last", "dur - 900.0", "dur")]
