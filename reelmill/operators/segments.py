@@ -344,26 +344,39 @@ def event_dedup(segments: DataFrame) -> DataFrame:
     return segments.groupBy("video_id", F.lower(F.trim("speaker")).alias("speaker"), F.lower(F.trim("text")).alias("text")).agg(F.min("seg_no").alias("seg_no"))
 
 
-_MARKERS = "ve bir bu ile için gibi daha sonra ancak kadar değil hikaye karar olur eder olan olarak kendi ona onu onun bunu böyle yine artık de la en le".split()
-_ENGLISH = "the and with from that this into after before while when their they his her".split()
+#: Marker words of both languages, word endings, and endings behind an apostrophe.
+_MARKERS = "ve bir bu ile icin için gibi daha sonra ancak kadar degil değil film hikaye karar olur eder olan olarak kendi ona onu onun bunu böyle yine artik artık".split()
+_ENGLISH = "the and with from that this into after before while when their they his her ultimately chooses teacher soldier exchange relationship secret".split()
+_ENDINGS = "(iyor|iyorlar|erek|arak|madan|meden|ince|unca|ip)$"
+_APOSTROPHE = r"['’](i|ı|u|ü|in|ın|un|ün|e|a|de|da|den|dan|ye|ya|nin|nın|nun|nün)($|[^\p{L}\p{N}_])"
+_WORD = "[A-Za-zÀ-ÖØ-öø-ÿÇĞİÖŞÜçğıöşü']+"
+_OWN_LETTERS = "[çÇğĞıİöÖşŞüÜ]"
 
 
 @query(
     "b27_language_validity", "documents",
-    f"""WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '\\p{{L}}') AS letters, list_filter(regexp_split_to_array({duck('safe_lower', 'text')}, '[^\\p{{L}}]+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL),
-    m AS (SELECT doc_id, length(text) >= 20 AS long, len(letters) AS n, len(list_filter(letters, lambda c: unicode(c) < 592)) AS latin, len(list_filter(w, lambda x: x IN ({', '.join(f"'{w}'" for w in _MARKERS)}))) AS own, len(list_filter(w, lambda x: x IN ({', '.join(f"'{w}'" for w in _ENGLISH)}))) AS other FROM d)
-    SELECT doc_id, own AS marker_hits, other AS english_hits, CASE WHEN NOT long THEN 'too_short' WHEN n = 0 OR latin < 0.7 * n THEN 'non_latin' WHEN own >= 2 AND own > other THEN 'valid' ELSE 'other_language' END AS verdict FROM m""",
+    rf"""WITH d AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM documents WHERE text IS NOT NULL), w AS (SELECT *, {duck('safe_lower', 'text')} AS low, regexp_extract_all({duck('safe_lower', 'text')}, '{_WORD.replace("'", "''")}') AS w FROM d),
+    m AS (SELECT doc_id, text, len(regexp_extract_all(text, '\p{{L}}')) AS n, len(regexp_extract_all(text, '\p{{Latin}}')) AS latin, regexp_matches(text, '{_OWN_LETTERS}') AS own, regexp_matches(low, '{_APOSTROPHE.replace("'", "''")}') AS apostrophe,
+          len(list_filter(w, lambda x: x IN ({', '.join(f"'{x}'" for x in _MARKERS)}))) AS marker_hits, len(list_filter(w, lambda x: x IN ({', '.join(f"'{x}'" for x in _ENGLISH)}))) AS english_hits, len(list_filter(w, lambda x: regexp_matches(x, '{_ENDINGS}'))) AS ending_hits FROM w)
+    SELECT doc_id, marker_hits, english_hits, ending_hits, CASE WHEN text = '' THEN 'empty' WHEN length(text) < 20 OR n = 0 OR latin < 0.7 * n OR NOT (own OR apostrophe OR (marker_hits >= 2 AND marker_hits > english_hits) OR (ending_hits >= 1 AND english_hits = 0)) THEN 'not_turkish'
+      WHEN latin < n THEN 'non_latin_script' ELSE 'valid' END AS verdict FROM m""",
 )
 def language_validity(documents: DataFrame) -> DataFrame:
-    """Long enough, mostly Latin, and more marker words of the wanted languages than English ones."""
-    text = F.col("text")
-    w = F.filter(F.split(safe_lower(text), r"[^\p{L}]+"), lambda x: x != "")
-    rows = documents.where("text IS NOT NULL").select(
-        "doc_id", (F.length(text) >= 20).alias("long"), F.regexp_count(text, F.lit(r"\p{L}")).alias("n"), F.regexp_count(text, F.lit(r"[\p{L}&&[\x{0000}-\x{024F}]]")).alias("latin"),
-        F.size(F.filter(w, lambda x: x.isin(*_MARKERS))).cast("long").alias("marker_hits"), F.size(F.filter(w, lambda x: x.isin(*_ENGLISH))).cast("long").alias("english_hits"),
+    """A text of 20 characters or more whose letters are Latin to 70 % is Turkish by one of its letters, an ending behind an
+    apostrophe, two marker words or more that outnumber the English ones, or a word ending without any English marker; a
+    Turkish text with a letter of another script is rejected all the same."""
+    rows = documents.where("text IS NOT NULL").select("doc_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text")).withColumn("low", safe_lower("text"))
+    w = F.regexp_extract_all("low", F.lit(_WORD), F.lit(0))
+    count = lambda test: F.size(F.filter(w, test)).cast("long")
+    rows = rows.select(
+        "doc_id", "text", F.regexp_count("text", F.lit(r"\p{L}")).alias("n"), F.regexp_count("text", F.lit(r"\p{IsLatin}")).alias("latin"),
+        (F.col("text").rlike(_OWN_LETTERS) | F.col("low").rlike(_APOSTROPHE)).alias("own"),
+        count(lambda x: x.isin(*_MARKERS)).alias("marker_hits"), count(lambda x: x.isin(*_ENGLISH)).alias("english_hits"), count(lambda x: x.rlike(_ENDINGS)).alias("ending_hits"),
     )
-    verdict = F.when(~F.col("long"), "too_short").when((F.col("n") == 0) | (F.col("latin") < 0.7 * F.col("n")), "non_latin").when((F.col("marker_hits") >= 2) & (F.col("marker_hits") > F.col("english_hits")), "valid").otherwise("other_language")
-    return rows.select("doc_id", "marker_hits", "english_hits", verdict.alias("verdict"))
+    votes = ((F.col("marker_hits") >= 2) & (F.col("marker_hits") > F.col("english_hits"))) | ((F.col("ending_hits") >= 1) & (F.col("english_hits") == 0))
+    turkish = (F.length("text") >= 20) & (F.col("n") > 0) & (F.col("latin") >= 0.7 * F.col("n")) & (F.col("own") | votes)
+    verdict = F.when(F.col("text") == "", "empty").when(~turkish, "not_turkish").when(F.col("latin") < F.col("n"), "non_latin_script").otherwise("valid")
+    return rows.select("doc_id", "marker_hits", "english_hits", "ending_hits", verdict.alias("verdict"))
 
 
 @query("f10_tagged_words", "documents", r"SELECT doc_id, i AS position, tag FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '([A-Z][a-z]+)([.,])', '[[\1]]\2', 'g'), '\[\[([^\]]+)\]\]', 1)) AS tag, generate_subscripts(regexp_extract_all(regexp_replace(text, '([A-Z][a-z]+)([.,])', '[[\1]]\2', 'g'), '\[\[([^\]]+)\]\]', 1), 1) AS i FROM documents)")
