@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,9 +22,21 @@ ONLY = {
     "voleybol": ("set", "smaç", "spike", "manşet", "libero", "ace", "servis"),
 }
 #: Patterns of goals, cards, scores and of sentences that deny a goal.
-NAME = r"[\p{L}\p{N}_][\p{L}\p{N}_\s]{2,30}?"
-GOAL = rf"(?i)([0-9]{{1,3}})[.\x27]?\s*(?:dakika(?:da|sında)?|dk)\s+({NAME})(?:\s+gol)"
-CARD = r"(?i)(sar[ıi]\s+kart|yellow\s+card|k[ıi]rm[ıi]z[ıi]\s+kart|red\s+card)\s*[,.:!]?\s*([0-9]{1,3})[.\x27]?\s*(?:dakika[\p{L}]*)?\s*[,.:!]?\s*([\p{L}\p{N}_][\p{L}\p{N}_\s]{2,30})"
+#: How a goal and a card are told, each with the groups of minute and player (and kind).
+_PLAYER = r"[\p{L}\p{N}_][\p{L}\p{N}_\s]{2,30}"
+GOALS = (
+    (rf"(?i)([0-9]{{1,3}})[.\x27]?\s*(?:dakika(?:da|sında)?|dk)\s+({_PLAYER}?)(?:\s+gol)", 1, 2),
+    (rf"(?i)gol[üu]?\s+(?:att[ıi]|bul[\p{{L}}\p{{N}}_]*|geldi)\s*[,.:!]?\s*({_PLAYER}?)\s*[,.:!]?\s*([0-9]{{1,3}})", 2, 1),
+    (rf"(?i)({_PLAYER}?)\s+gol[üu]?\s*[,.:!]?\s*([0-9]{{1,3}})", 2, 1),
+)
+_CAPITAL = r"[A-ZÇĞİÖŞÜ][\p{L}\p{N}_]+(?:\s+[A-ZÇĞİÖŞÜ][\p{L}\p{N}_]+){0,3}"
+CARDS = (
+    (rf"(?i)(sar[ıi]\s+kart|yellow\s+card|k[ıi]rm[ıi]z[ıi]\s+kart|red\s+card)\s*[,.:!]?\s*([0-9]{{1,3}})[.\x27]?\s*(?:dakika[\p{{L}}\p{{N}}_]*)?\s*[,.:!]?\s*({_PLAYER})", 1, 2, 3),
+    (rf"(?i)(k[ıi]rm[ıi]z[ıi]\s+kart|red\s+card)\s*[,.:!]?\s*({_PLAYER}?)\s*[,.:!]?\s*([0-9]{{1,3}})", 1, 3, 2),
+    (rf"(?i)({_PLAYER}?)\s+(sar[ıi]\s+kart|k[ıi]rm[ıi]z[ıi]\s+kart)\s*[\p{{L}}\p{{N}}_]*\s*([0-9]{{1,3}})", 2, 3, 1),
+    (rf"([0-9]{{1,3}})[.\x27]?\s*dakikas[ıi]nda\s+({_CAPITAL})\s+(sar[ıi]\s+kart|k[ıi]rm[ıi]z[ıi]\s+kart)\s+g[öo]rd[üu]", 3, 1, 2),
+)
+FALSE_GOAL = "gole çok yaklaşt|gol pozisyonu|gol sesi|gol yok|gol izleyemedik"
 SCORE = r"([0-9]{1,3})\s*[-–—:]\s*([0-9]{1,3})"
 NO_GOAL = r"(^|[^\p{L}])gol yok([^\p{L}]|$)|gol izleyemedik|gol sesi [\p{L}]* gelmedi"
 EVIDENCE = r"(?i)(^|[^\p{L}])(gol|penalt|kart|skor|sonu|hakem)[\p{L}]*"
@@ -293,25 +307,41 @@ def score_reconciliation(segments: DataFrame, lines: DataFrame) -> DataFrame:
     return rows.select("video_id", "spoken", "screen", F.coalesce("screen", "spoken").alias("final_score"), source.alias("source"))
 
 
+def _told(segments: DataFrame, pattern: str, **groups: int) -> DataFrame:
+    """(video_id, m, and one column a group) of each place where the pattern holds."""
+    parts = {"m": 0, **groups}
+    rows = segments.select("video_id", *[F.regexp_extract_all("text", F.lit(pattern), F.lit(g)).alias(c) for c, g in parts.items()])
+    return rows.select("video_id", F.explode(F.arrays_zip(*parts)).alias("z")).select("video_id", "z.*")
+
+
+def _sql_told(pattern: str, **groups: int) -> str:
+    return "SELECT video_id, " + ", ".join(f"unnest(regexp_extract_all(text, '{pattern}', {g})) AS {c}" for c, g in {"m": 0, **groups}.items()) + " FROM match_phrases"
+
+
 _GOALS = f"""n AS (SELECT DISTINCT video_id FROM match_phrases WHERE regexp_matches({duck('safe_lower', 'text')}, '{NO_GOAL}')),
-  g AS (SELECT video_id, seg_no, unnest(regexp_extract_all(text, '{GOAL}')) AS m FROM match_phrases), e AS (SELECT video_id, cast(regexp_extract(m, '{GOAL}', 1) AS integer) AS minute, trim(regexp_extract(m, '{GOAL}', 2)) AS player FROM g WHERE NOT regexp_matches({duck('safe_lower', 'm')}, 'gole çok yaklaşt|gol pozisyonu|gol sesi|gol yok|gol izleyemedik')),
+  g AS ({" UNION ALL ".join(_sql_told(p, minute=m, player=n) for p, m, n in GOALS)}), e AS (SELECT video_id, cast(minute AS integer) AS minute, trim(player) AS player FROM g WHERE NOT regexp_matches({duck('safe_lower', 'm')}, '{FALSE_GOAL}')),
   u AS (SELECT DISTINCT video_id, minute, player FROM e WHERE video_id NOT IN (SELECT video_id FROM n))"""
 
 
 @query("f5_goals", "match_phrases", f"WITH {_GOALS} SELECT * FROM u")
 def goals(segments: DataFrame) -> DataFrame:
-    """minute and player of each goal, once; none for a video that says there was no goal."""
+    """minute and player of each goal by three ways to tell it, once; chances that sound like goals don't count, and none
+    does in a video that says there was no goal."""
     none = segments.where(safe_lower("text").rlike(NO_GOAL)).select("video_id").distinct()
-    found = segments.select("video_id", F.explode(F.regexp_extract_all("text", F.lit(GOAL), F.lit(0))).alias("m")).where(~safe_lower("m").rlike("gole çok yaklaşt|gol pozisyonu|gol sesi|gol yok|gol izleyemedik"))
-    rows = found.select("video_id", F.regexp_extract("m", GOAL, 1).cast("int").alias("minute"), F.trim(F.regexp_extract("m", GOAL, 2)).alias("player")).distinct()
-    return rows.join(none, "video_id", "left_anti")
+    found = reduce(DataFrame.unionByName, [_told(segments, p, minute=m, player=n) for p, m, n in GOALS]).where(~safe_lower("m").rlike(FALSE_GOAL))
+    return found.select("video_id", F.col("minute").cast("int").alias("minute"), F.trim("player").alias("player")).distinct().join(none, "video_id", "left_anti")
+
+
+_CARDS_SQL = " UNION ALL ".join(_sql_told(p, kind=k, minute=m, player=n) for p, k, m, n in CARDS)
 
 
-@query("f6_cards", "match_phrases", f"WITH c AS (SELECT video_id, unnest(regexp_extract_all(text, '{CARD}')) AS m FROM match_phrases) SELECT DISTINCT video_id, CASE WHEN regexp_matches(regexp_extract(m, '{CARD}', 1), '(?i)^(k|red)') THEN 'kırmızı kart' ELSE 'sarı kart' END AS kind, cast(regexp_extract(m, '{CARD}', 2) AS integer) AS minute, trim(regexp_extract(m, '{CARD}', 3)) AS player FROM c")
+@query("f6_cards", "match_phrases", f"SELECT DISTINCT video_id, CASE WHEN regexp_matches(kind, '(?i)^(k|red)') THEN 'kırmızı kart' ELSE 'sarı kart' END AS kind, cast(minute AS integer) AS minute, trim(player) AS player FROM ({_CARDS_SQL})")
 def cards(segments: DataFrame) -> DataFrame:
-    """kind, minute and player of each card, once."""
-    found = segments.select("video_id", F.explode(F.regexp_extract_all("text", F.lit(CARD), F.lit(0))).alias("m"))
-    return found.select("video_id", F.when(F.regexp_extract("m", CARD, 1).rlike("(?i)^(k|red)"), "kırmızı kart").otherwise("sarı kart").alias("kind"), F.regexp_extract("m", CARD, 2).cast("int").alias("minute"), F.trim(F.regexp_extract("m", CARD, 3)).alias("player")).distinct()
+    """kind, minute and player of each card by four ways to tell it, summaries included, once; a minute right behind the
+    kind is taken for red cards too."""
+    found = reduce(DataFrame.unionByName, [_told(segments, p, kind=k, minute=m, player=n) for p, k, m, n in CARDS])
+    kind = F.when(F.col("kind").rlike("(?i)^(k|red)"), "kırmızı kart").otherwise("sarı kart")
+    return found.select("video_id", kind.alias("kind"), F.col("minute").cast("int").alias("minute"), F.trim("player").alias("player")).distinct()
 
 
 _TEAMS = r"([A-ZÇĞİÖŞÜ][\p{L}]+)\s+[0-9]{1,3}\s*[-–—:]\s*[0-9]{1,3}\s+([A-ZÇĞİÖŞÜ][\p{L}]+)"
