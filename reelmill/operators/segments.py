@@ -360,6 +360,32 @@ def teams(segments: DataFrame, manifest: DataFrame) -> DataFrame:
     return rows.select("video_id", F.coalesce("f.home", F.nullif("nh", F.lit(""))).alias("home"), F.coalesce("f.away", F.nullif("na", F.lit(""))).alias("away"), source.alias("source"))
 
 
+#: How officials, league and city are told, and words that look like a city's.
+_OFFICIAL = r"[A-ZÇĞİÖŞÜ][\p{L}\p{N}_]+"
+_CUT, _CUT_END = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
+FACTS = {
+    "referee": rf"(?i)ma[çc][ıi]n hakemi\s+({_OFFICIAL}(?:\s+{_OFFICIAL})+)",
+    "assistant": rf"(?i)({_OFFICIAL}(?:\s+{_OFFICIAL})*)\s+ve\s+{_OFFICIAL}(?:\s+{_OFFICIAL})*\s+birinci yard[ıi]mc[ıi]lar[ıi]",
+    "second_assistant": rf"(?i){_OFFICIAL}(?:\s+{_OFFICIAL})*\s+ve\s+({_OFFICIAL}(?:\s+{_OFFICIAL})*)\s+birinci yard[ıi]mc[ıi]lar[ıi]",
+    "fourth_official": rf"(?i)({_OFFICIAL}(?:\s+{_OFFICIAL})+)\s+da\s+d[öo]rd[üu]nc[üu]\s+hakem",
+    "league": rf"(?i){_CUT}((?:PTT|TFF|BANK ASYA)\s*1\.\s*L[İI]G(?:DE|D[EI])?|S[ÜU]PER L[İI]G){_CUT_END}",
+}
+CITY = rf"{_CUT}([A-ZÇĞİÖŞÜ][a-zçğıöşü]+)'de{_CUT_END}"
+NO_CITY = ("lig", "maç", "dakika", "skor", "gol", "set", "periyot")
+_FACTS_SQL = ", ".join(f"arg_min({n}, seg_no) FILTER (WHERE {n} <> '') AS {n}" for n in [*FACTS, "city"])
+_FACT_SQL = ", ".join(f"regexp_extract(text, '{p}', 1) AS {n}" for n, p in FACTS.items())
+_CITY_SQL = f"""coalesce(list_filter(regexp_extract_all(text, '{CITY.replace("'", "''")}', 1), lambda c: lower(c) NOT IN ({', '.join(f"'{w}'" for w in NO_CITY)}))[1], '')"""
+
+
+@query("f7_match_facts", "match_reports", f"WITH f AS (SELECT video_id, seg_no, {_FACT_SQL}, {_CITY_SQL} AS city FROM match_reports) SELECT video_id, {_FACTS_SQL} FROM f GROUP BY video_id")
+def match_facts(segments: DataFrame) -> DataFrame:
+    """F7's officials, league and city: of each the first segment that tells it; null where none does."""
+    cities = F.filter(F.regexp_extract_all("text", F.lit(CITY), F.lit(1)), lambda c: ~F.lower(c).isin(*NO_CITY))
+    told = segments.select("video_id", "seg_no", *[F.regexp_extract("text", p.replace("(?i)", "(?iu)"), 1).alias(n) for n, p in FACTS.items()], F.coalesce(F.get(cities, F.lit(0)), F.lit("")).alias("city"))
+    first = lambda n: F.min_by(n, F.when(F.col(n) != "", F.col("seg_no"))).alias(n)
+    return told.groupBy("video_id").agg(*[first(n) for n in [*FACTS, "city"]])
+
+
 @query("f8_cross_check", "match_phrases lines", f"{_FINAL}, {_GOALS}, k AS (SELECT video_id, count(*) AS goals FROM u GROUP BY video_id) SELECT j.video_id, CASE WHEN spoken = screen THEN 'confirmed' WHEN spoken IS NOT NULL AND screen IS NOT NULL THEN 'differs' ELSE 'one source' END AS score_state, coalesce(k.goals, 0) AS goals FROM j LEFT JOIN k USING (video_id)")
 def cross_check(segments: DataFrame, lines: DataFrame) -> DataFrame:
     """F8: does the screen confirm the spoken score, and how many goals were told?"""

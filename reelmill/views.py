@@ -101,6 +101,11 @@ _view(
            WHEN 2 THEN concat('sarı kart 23. dakika Alpaslan. ', text) WHEN 3 THEN CASE WHEN video_id % 5 = 0 THEN concat('gol yok. ', text) ELSE text END
            WHEN 4 THEN concat('korner ofsayt kaleci. ', text) WHEN 5 THEN concat('kırmızı kart 61. dakika Rasim Kara. ', text) ELSE text END AS text FROM {segments}""",
 )
+_view(
+    "match_reports", "segments",
+    """SELECT video_id, seg_no, CASE seg_no % 5 WHEN 0 THEN concat('Maçın hakemi Cüneyt Çakır. ', text) WHEN 1 THEN concat('Bahattin Duran ve Tarık Ongun birinci yardımcıları, ', text) WHEN 2 THEN concat('Ali Palabıyık da dördüncü hakem. ', text)
+           WHEN 3 THEN CASE WHEN video_id % 2 = 0 THEN concat('Süper Lig maçı, Lig''de ve Mersin''de. ', text) ELSE concat('PTT 1. LİG başlıyor. ', text) END ELSE text END AS text FROM {segments}""",
+)
 _view(
     "jobs", "events",
     """SELECT concat('job_', CAST(user_id AS STRING), '_', date_format(ts, 'yyyyMMdd')) AS job_id, event_type AS stage, value AS sec,

@@ -18,3 +18,11 @@ def test_cards(spark):
     got = {(r["video_id"], r["kind"], r["minute"], r["player"]) for r in segments.cards(frame(spark, texts)).collect()}
     assert got >= {(0, "sarı kart", 23, "Alpaslan"), (1, "kırmızı kart", 61, "Rasim Kara"), (2, "sarı kart", 15, "Ali Veli"), (3, "kırmızı kart", 70, "Rasim Kara"), (4, "sarı kart", 5, "Jon Doe")}
     assert {g[0] for g in got} == {0, 1, 2, 3, 4}
+
+
+def test_match_facts(spark):
+    rows = [(1, 0, "Bugün Lig'de ve Mersin'de. Maçın hakemi Cüneyt Çakır, sonra"), (1, 1, "Bahattin Duran ve Tarık Ongun birinci yardımcıları. Ali Palabıyık da dördüncü hakem"), (1, 2, "SÜPER LİG. maçın hakemi Başka Biri"), (2, 0, "PTT 1. LİG"), (3, 0, "nothing"), (3, 1, None)]
+    df = spark.createDataFrame(rows, "video_id long, seg_no long, text string")
+    got = {r["video_id"]: tuple(r)[1:] for r in segments.match_facts(df).collect()}
+    assert got[1] == ("Cüneyt Çakır", "Bahattin Duran", "Tarık Ongun", "Ali Palabıyık", "SÜPER LİG", "Mersin")
+    assert got[2] == (None, None, None, None, "PTT 1. LİG", None) and got[3] == (None,) * 6
