@@ -126,6 +126,7 @@ def catalogue_scan(titles: DataFrame, principals: DataFrame) -> DataFrame:
     return titles.join(principals, "tconst", "left").groupBy("tconst", "title_type", "start_year").agg(F.count("nconst").alias("people"))
 
 
+#: Fixed value: how an episode is labelled.
 _LABEL = r"(?i)^(?:(?:avsnitt|episode|ep\.?|episod[eio]?|folge|aflevering|bölüm|bolum|capitulo|chapitre)\s*#?\s*[0-9]+(?:\.[0-9]+)?|[0-9]+\s*\.?\s*(?:avsnitt|episode|bölüm|bolum)|S[0-9]{1,2}E[0-9]{1,3})$"
 _LABELS = "CASE line_no % 7 WHEN 0 THEN concat('Bölüm ', line_no) WHEN 1 THEN concat('S01E', line_no % 100) WHEN 2 THEN concat('episode #', line_no, ' x') WHEN 3 THEN concat(line_no, '. bolum') ELSE text END"
 
