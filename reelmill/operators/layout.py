@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -183,41 +185,59 @@ def row_grouping(words: DataFrame, gap: float = 12.0) -> DataFrame:
 def row_grouping_exact(words: DataFrame, tolerance: float = 12.0) -> DataFrame:
     """Rows by the running mean of their centres: a word joins the row in hand while it is within the tolerance of its mean."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.assign(y=(frame["y1"] + frame["y2"]) / 2).sort_values(["y", "line_no", "wpos"])
-        row, mean, n, out = -1, 0.0, 0, []
-        for y in frame["y"]:
-            if n and abs(y - mean) <= tolerance:
-                mean, n = (mean * n + y) / (n + 1), n + 1
-            else:
-                row, mean, n = row + 1, y, 1
-            out.append(row)
-        return frame.assign(row_no=out)[["video_id", "frame_no", "line_no", "wpos", "row_no"]]
-
-    return words.groupBy("video_id", "frame_no").applyInPandas(run, "video_id long, frame_no long, line_no long, wpos long, row_no long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, row, mean, n = None, -1, 0.0, 0
+        for batch in batches:
+            out = []
+            for video, frame, y in zip(*(batch.column(c).to_pylist() for c in ("video_id", "frame_no", "y")), strict=True):
+                if (video, frame) != now:
+                    now, row, mean, n = (video, frame), -1, 0.0, 0
+                if n and abs(y - mean) <= tolerance:
+                    mean, n = (mean * n + y) / (n + 1), n + 1
+                else:
+                    row, mean, n = row + 1, y, 1
+                out.append(row)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.int64())], [*batch.schema.names[:4], "row_no"])
+
+    centre = F.coalesce((F.col("y1") + F.col("y2")) / 2, F.lit(float("nan")))
+    boxes = words.select("video_id", "frame_no", "line_no", "wpos", centre.alias("y")).repartition("video_id", "frame_no")
+    boxes = boxes.sortWithinPartitions("video_id", "frame_no", "y", "line_no", "wpos")
+    return boxes.mapInArrow(run, "video_id long, frame_no long, line_no long, wpos long, row_no long")
 
 
 @query("e5_column_separator", "words")
 def column_separator(words: DataFrame, rounds: int = 10) -> DataFrame:
     """E5: where a frame's two columns part: two means of the words' centres from the quartiles, midway between them, kept within 25-75 % of the width; half the width for fewer than four words."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(((frame["x1"] + frame["x2"]) / 2).to_numpy())
-        at = WIDTH / 2
-        if len(x) >= 4:
-            a, b = x[len(x) // 4], x[3 * len(x) // 4]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, size = batch.column("x").flatten().to_numpy(zero_copy_only=False), batch.column("n").to_numpy(zero_copy_only=False)
+            first, at = np.cumsum(size) - size, np.full(len(size), WIDTH / 2)
+            live = np.flatnonzero(size >= 4)
+            a, b = np.zeros(len(size)), np.zeros(len(size))
+            a[live], b[live] = x[first[live] + size[live] // 4], x[first[live] + 3 * size[live] // 4]
+            able, of = live, np.repeat(np.arange(len(size)), size)
             for _ in range(rounds):
-                left = np.abs(x - a) <= np.abs(x - b)
-                if left.all() or not left.any():
+                if not len(live):
                     break
-                na, nb = x[left].mean(), x[~left].mean()
-                if na == a and nb == b:
-                    break
-                a, b = na, nb
-            at = min(max((a + b) / 2, 0.25 * WIDTH), 0.75 * WIDTH)
-        return pd.DataFrame({"video_id": frame["video_id"].iloc[:1], "frame_no": frame["frame_no"].iloc[:1], "separator": [at]})
-
-    return words.groupBy("video_id", "frame_no").applyInPandas(run, "video_id long, frame_no long, separator double")
+                moving = np.zeros(len(size), dtype=bool)
+                moving[live] = True
+                rows = moving[of]
+                x, of = x[rows], of[rows]
+                left = np.abs(x - a[of]) <= np.abs(x - b[of])
+                n_left = np.bincount(of[left], minlength=len(size))
+                live = live[(n_left[live] > 0) & (n_left[live] < size[live])]
+                sums = [np.bincount(of[side], weights=x[side], minlength=len(size)) for side in (left, ~left)]
+                na, nb = sums[0][live] / n_left[live], sums[1][live] / (size - n_left)[live]
+                changed = (na != a[live]) | (nb != b[live])
+                live = live[changed]
+                a[live], b[live] = na[changed], nb[changed]
+            at[able] = np.clip((a[able] + b[able]) / 2, 0.25 * WIDTH, 0.75 * WIDTH)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(at)], ["video_id", "frame_no", "separator"])
+
+    centres = F.array_sort(F.collect_list((F.col("x1") + F.col("x2")) / 2))
+    frames = words.groupBy("video_id", "frame_no").agg(centres.alias("x")).withColumn("n", F.size("x"))
+    return frames.mapInArrow(run, "video_id long, frame_no long, separator double")
 
 
 #: A header word, least gap between words and largest shift of centres as shares of the width, and the
