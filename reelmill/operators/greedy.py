@@ -6,10 +6,12 @@ group in memory.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelmill.functions.grouped import by_group
 from reelmill.functions.similarity import ratio_of, wratio_of
 from reelmill.operators.lines import top_lines
 from reelmill.operators.names import noise_score
@@ -41,25 +43,55 @@ def _leaders(texts: list[str], near) -> list[int]:
     return out
 
 
+#: Counters of letter pairs of a text.
+PAIRS = 256
+
+
+def _pair_counts(text: str) -> np.ndarray:
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return np.bincount((codes[:-1] * np.uint32(31) + codes[1:]) % PAIRS, minlength=PAIRS).astype(np.int32)
+
+
+def _time_leaders(low: list[str], seen: np.ndarray) -> list[int]:
+    """_leaders with a ratio of 82, or 70 within two seconds. Two texts with s letters in a common order share 3 s - 1 - (all
+    their letters) letter pairs at least, as each lost letter parts one pair; these are counted before a pair is scored."""
+    size, counts = np.array([len(t) for t in low]), np.stack([_pair_counts(t) for t in low])
+    leaders: list[int] = []
+    out = []
+    for i, text in enumerate(low):
+        at = np.array(leaders, dtype=np.int64)
+        need = np.where(np.abs(seen[at] - seen[i]) <= 2.0, 70, 82)
+        able = 200 * np.minimum(size[at], size[i]) >= need * (size[at] + size[i])
+        at, need = at[able], need[able]
+        shared = np.minimum(counts[at], counts[i]).sum(axis=1)
+        least = need * (size[at] + size[i]) / 200.0
+        able = shared >= 3 * least - 1 - size[at] - size[i] - 1e-6
+        found = next((j for j, n in zip(at[able].tolist(), need[able].tolist(), strict=True) if ratio_of(low[j], text) >= n), i)
+        if found == i:
+            leaders.append(i)
+        out.append(found)
+    return out
+
+
 @query("c7_time_dedup", "lines")
 def time_dedup(lines: DataFrame) -> DataFrame:
     """In order of time the first unused line leads and takes up later ones with a ratio of 82, or 70 within two seconds; of a group the best text, highest confidence and earliest time stay. Input is capped by C6."""
     rows = top_lines(lines).join(lines.select("video_id", "line_no", "first_seen"), ["video_id", "line_no"])
+    rows = rows.select("video_id", "line_no", "first_seen", "text", "confidence", F.lower("text").alias("low"))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["first_seen", "line_no"]).reset_index(drop=True)
-        low, seen = [t.lower() for t in frame["text"]], frame["first_seen"].to_numpy()
-
-        def near(j: int, i: int) -> bool:
-            need = 70 if abs(seen[j] - seen[i]) <= 2.0 else 82
-            a, b = low[j], low[i]
-            return 200 * min(len(a), len(b)) >= need * (len(a) + len(b)) and ratio_of(a, b) >= need
-
-        frame["leader"] = _leaders(low, near)
-        best = frame.sort_values(["leader", "confidence", "line_no"], ascending=[True, False, True], kind="stable").groupby("leader")
-        return _plain(pd.DataFrame({"video_id": best["video_id"].first(), "text": best["text"].first(), "confidence": best["confidence"].max(), "first_seen": best["first_seen"].min(), "n": best.size()}))
+    def run(group: list[tuple]) -> list[tuple]:
+        low, seen = [r[5] for r in group], np.array([r[2] for r in group])
+        leaders = _time_leaders(low, seen)
+        parts: dict[int, list[tuple]] = {}
+        for leader, row in zip(leaders, group, strict=True):
+            parts.setdefault(leader, []).append(row)
+        out = []
+        for part in parts.values():
+            best = min(part, key=lambda r: (-r[4], r[1]))
+            out.append((best[0], best[3], best[4], min(r[2] for r in part), len(part)))
+        return out
 
-    return rows.groupBy("video_id").applyInPandas(run, "video_id long, text string, confidence double, first_seen double, n long")
+    return by_group(rows, ["video_id"], ["first_seen", "line_no"], run, "video_id long, text string, confidence double, first_seen double, n long")
 
 
 def words_match(a: str, b: str) -> bool:
@@ -69,21 +101,25 @@ def words_match(a: str, b: str) -> bool:
 
 
 def _cluster(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Clusters of near names in each group of keys: cleanest name, highest confidence, number of rows."""
-    scored = rows.withColumn("noise", noise_score(F.col("name")).cast("double"))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("line_no").reset_index(drop=True)
-        names = list(frame["name"])
-        frame["leader"] = _leaders(names, lambda j, i: words_match(names[j], names[i]))
-        best = frame.sort_values(["leader", "noise", "line_no"], kind="stable").groupby("leader")
-        out = pd.DataFrame({"name": best["name"].first(), "confidence": best["confidence"].max(), "position": best["line_no"].min(), "n": best.size(), "noise": best["noise"].first()})
-        for k in keys:
-            out[k] = frame[k].iloc[0]
-        return _plain(out)
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
-    return scored.groupBy(*keys).applyInPandas(run, f"{kinds}, name string, confidence double, position long, n long, noise double")
+    """Clusters of near names in each group of keys: cleanest name, highest confidence, number of rows. A repeated name joins
+    the leader of its first row, so names are reduced to one row before they travel."""
+    names = rows.groupBy(*keys, "name").agg(F.max("confidence").alias("confidence"), F.min("line_no").alias("position"), F.count("*").alias("n"))
+    scored = names.select(*keys, "name", "confidence", "position", "n", noise_score(F.col("name")).cast("double").alias("noise"))
+    k = len(keys)
+
+    def run(group: list[tuple]) -> list[tuple]:
+        names = [r[k] for r in group]
+        parts: dict[int, list[tuple]] = {}
+        for leader, row in zip(_leaders(names, lambda j, i: words_match(names[j], names[i])), group, strict=True):
+            parts.setdefault(leader, []).append(row)
+        out = []
+        for part in parts.values():
+            best = min(part, key=lambda r: (r[k + 4], r[k + 2]))
+            out.append((*best[: k + 1], max(r[k + 1] for r in part), min(r[k + 2] for r in part), sum(r[k + 3] for r in part), best[k + 4]))
+        return out
+
+    kinds = ", ".join(f"{c} {scored.schema[c].dataType.simpleString()}" for c in keys)
+    return by_group(scored, keys, ["position", "name"], run, f"{kinds}, name string, confidence double, position long, n long, noise double")
 
 
 @query("c12_cast_clusters", "credits")
