@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelmill.functions.keys import duck, name_key, safe_lower
-from reelmill.functions.similarity import duck_ratio, ratio
+from reelmill.functions.similarity import bits_reach, duck_ratio, letter_bits, ratio
 from reelmill.operators.lines import is_noise, is_subtitle, sql_is_noise, sql_is_subtitle
 from reelmill.plans.registry import query
 
@@ -87,7 +87,9 @@ def role_headers_of(texts: DataFrame, aliases: DataFrame, phrases: DataFrame) ->
     low = safe_lower(F.trim("text"))
     rows = texts.select("text").where(F.trim("text") != "").distinct().select("text", low.alias("low"))
     rows = rows.withColumn("norm", folded(F.col("low")))
-    by_phrase = lambda c: F.coalesce(*[F.when(c.rlike(f"(^|{_EDGE}){_phrase(p)}($|{_EDGE})"), k) for p, k in held], F.lit(None).cast("string"))
+    # a pattern is tried only where the line holds its first word
+    holds = lambda c, p: (c.contains(p.split()[0]) if p.split() else F.lit(True)) & c.rlike(f"(^|{_EDGE}){_phrase(p)}($|{_EDGE})")
+    by_phrase = lambda c: F.coalesce(*[F.when(holds(c, p), k) for p, k in held], F.lit(None).cast("string"))
 
     def by_start(column: str, table: DataFrame) -> DataFrame:
         asked = rows.select("text", F.explode(_starts(F.col(column), most)).alias("s")).select("text", "s.alias", "s.step")
@@ -96,7 +98,8 @@ def role_headers_of(texts: DataFrame, aliases: DataFrame, phrases: DataFrame) ->
     found = rows.join(by_start("low", aliases), "text", "left").join(by_start("norm", bare), "text", "left")
     found = found.withColumn("phrase", F.when(F.col("low_hit").isNull(), by_phrase(F.col("low")))).withColumn("norm_phrase", F.when(F.col("low_hit").isNull() & F.col("phrase").isNull() & F.col("norm_hit").isNull(), by_phrase(F.col("norm"))))
     open_ = F.coalesce("low_hit.category", "phrase", "norm_hit.category", "norm_phrase").isNull()
-    fuzzy = _fuzzy(found.where(open_).select("text", "low", "norm"), aliases, bare)
+    short = F.least(F.length("low"), F.length("norm")) <= most * 3 / 2  # longer texts are near no alias
+    fuzzy = _fuzzy(found.where(short).where(open_).select("text", "low", "norm"), aliases, bare)
     company = F.when(F.greatest(*[F.when(F.col("low").endswith(e) & (F.length("low") > len(e) + 2), 1).otherwise(0) for e in COMPANY_ENDS]) == 1, "company")
     near = found.join(fuzzy, "text", "left")
     category = F.coalesce("low_hit.category", "phrase", "norm_hit.category", "norm_phrase", "near", company)
@@ -121,9 +124,10 @@ def _fuzzy(rest: DataFrame, aliases: DataFrame, bare: DataFrame) -> DataFrame:
     reach = F.explode(F.sequence(F.ceil(n * 2 / 3).cast("int"), F.floor(n * 3 / 2).cast("int"))).alias("n")
 
     def pairs(column: str, table: DataFrame, kind: int) -> DataFrame:
-        asked = rest.where(f"{column} <> ''").select("text", F.col(column).alias("a"), F.length(column).alias("n"))
-        both = asked.join(table.select("alias", "category", "place", reach), "n")
-        return both.where(5 * F.levenshtein("a", "alias") <= F.col("n") + F.length("alias")).select("text", "a", "alias", "category", "place", F.lit(kind).alias("kind"))
+        asked = rest.where(f"{column} <> ''").select("text", F.col(column).alias("a"), F.length(column).alias("n"), letter_bits(F.col(column)).alias("a_bits"))
+        both = asked.join(table.select("alias", "category", "place", letter_bits(F.col("alias")).alias("bits"), reach), "n")
+        able = both.where(bits_reach(F.col("a"), F.col("alias"), F.col("a_bits"), F.col("bits"), LEAST_RATIO))
+        return able.where(5 * F.levenshtein("a", "alias") <= F.col("n") + F.length("alias")).select("text", "a", "alias", "category", "place", F.lit(kind).alias("kind"))
 
     scored = pairs("low", aliases, 0).unionByName(pairs("norm", bare, 1)).withColumn("score", ratio(F.col("a"), F.col("alias")))
     return scored.where(F.col("score") >= LEAST_RATIO).groupBy("text").agg(F.min_by("category", F.struct("kind", -F.col("score"), "place")).alias("near"))

@@ -100,3 +100,11 @@ def test_parse(spark, known):
     assert (star["is_verified"], star["confidence"], star["match_method"]) == ((True, 1.0, "exact_db") if "Ada Star" in known else (False, 0.9, ""))
     facts = {r["video_id"]: (r["film_title"], r["year"]) for r in roles.title_year(lines, table).collect()}
     assert facts == {1: ("The Long Road", 1987), 2: (None, None)}
+
+
+def test_long_lines_and_split_phrases(spark):
+    """Lines too long for any alias keep the layers that need no ratio; a phrase's words may stand apart."""
+    long = "x" * 200
+    rows = [(f"{long} directed   by {long}",), (f"{long} directedby {long}",), (f"{long} film",), ("Yönetnem",), (f"Yönetnem {long}",)]
+    found = {r["text"][-210:]: (r["category"], r["layer"]) for r in roles.role_headers_of(spark.createDataFrame(rows, "text string"), *roles.role_tables(spark)).collect()}
+    assert found == {rows[0][0][-210:]: ("director", "phrase"), rows[2][0][-210:]: ("company", "company"), "Yönetnem": ("director", "fuzzy")}
