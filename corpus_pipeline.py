@@ -24,7 +24,8 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, Jaccard similarity 0.8 or more."""
+    """One document of each group of near copies stays: five-word shingles, Jaccard similarity 0.8 or more. Ball hashing of
+    SimHash fingerprints proposes pairs, bands those beyond its radius; the exact similarity decides."""
     return near_copies.keep_first(docs.select(*COLUMNS)).select(*COLUMNS)
 
 

@@ -1,12 +1,16 @@
-"""Near copies by word shingles: MinHash bands propose pairs, the exact Jaccard similarity of the shingle sets decides.
-
-Texts with equal shingle sets are one node from the start. Each node has `bands` band keys of `rows` minima each; nodes
-that share a key are candidates. The node of a bucket that meets most other nodes in all its buckets is the bucket's
-hub: the text of which a group's others are copies meets all of them, while two copies may be further apart. Each node
-is first compared with the best of its hubs; then, where the two are still in different components, with the hubs of its
-other buckets. What this leaves apart is compared pair by pair within a bucket; in crowded buckets only pairs that share
-one of the rarest differences from the bucket's hub, which all pairs alike do. A large group of near copies so costs a
-multiple of its size, and no candidate pair that could join two components is left out.
+"""Near copies by ball hashing of SimHash fingerprints over word shingles; the exact Jaccard similarity of the shingle sets decides.
+
+Texts with equal shingle sets are one node from the start. Each node has `prints` fingerprints of 64 bits, each cut into
+two words of 32. As in `simhash`, a word emits itself and all words one flip away, and words within two bits of one another
+meet. A node is compared with one of those it meets, the one that meets most others. A pair at similarity 0.8 differs in
+5 of 32 bits on average, so a part of such pairs stays beyond the balls' radius, and a wider ball would have thousands
+of words. For these there are bands of minima (MinHash) as the exact way: each node has `bands` band keys of `rows`
+minima each; nodes that share a key and that the balls have not connected are candidates. The node of a bucket that meets most
+other nodes in all its buckets is the bucket's hub: the text of which a group's others are copies meets all of them, while two copies
+may be further apart. Each node is first compared with the best of its hubs; then, where the two are still in different
+components, with the hubs of its other buckets. What this leaves apart is compared pair by pair within a bucket; in crowded
+buckets only pairs that share one of the rarest differences from the bucket's hub, which all pairs alike do. A large group
+of near copies so costs a multiple of its size, and no candidate pair that could join two components is left out.
 The shingle sets of candidates are made in one more pass over the texts.
 """
 
@@ -14,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +26,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelmill.llm import simhash
 from reelmill.llm._graph import connected_components
-from reelmill.llm._shared import first_rows, materialize
+from reelmill.llm._shared import discard, first_rows, materialize, settle
 
 
 @dataclass(frozen=True)
 class Params:
     """A pair at similarity 0.8 shares none of 24 bands of 5 minima with probability 0.00007. crowd: nodes of a bucket beyond
-    which counting differences costs less than comparing pairs; it changes the work, not the result."""
+    which counting differences costs less than comparing pairs; it changes the work, not the result. far: differing bits of a
+    fingerprint beyond which words that meet are taken for chance; the bands see such pairs all the same."""
 
     words: int = 5
     least: tuple[int, int] = (4, 5)
@@ -36,6 +43,8 @@ class Params:
     rows: int = 5
     seed: int = 42
     crowd: int = 32
+    prints: int = 4
+    far: int = 14
 
 
 def shingles(text: str | None, params: Params = Params()) -> np.ndarray:
@@ -68,6 +77,17 @@ def band_keys(found: np.ndarray, params: Params = Params()) -> list[int]:
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least)], dtype=np.uint64).view(np.int64).tolist()
 
 
+def fingerprints(found: np.ndarray, params: Params = Params()) -> list[int]:
+    """Signed SimHash fingerprints of a set of shingle hashes, each over its own mix of the hashes; none for an empty set."""
+    out = []
+    for i in range(params.prints if len(found) else 0):
+        mixed = found + np.uint64((i * 0x9E3779B97F4A7C15) % (1 << 64))
+        mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(simhash.majority(mixed ^ (mixed >> np.uint64(31))))
+    return np.array(out, dtype=np.uint64).view(np.int64).tolist()
+
+
 def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that a worker holds the shingle sets of few texts at a time."""
     for batch in batches:
@@ -76,7 +96,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.R
 
 
 def signatures(docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """(doc_id, h, k, k2, n, keys): a hash of each row's text, two hashes and the size of its shingle set, and its band keys."""
+    """(doc_id, h, k, k2, n, keys, prints): a hash of each row's text, two hashes and the size of its shingle set, its band
+    keys and its fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches):
@@ -84,10 +105,11 @@ def signatures(docs: DataFrame, params: Params = Params()) -> DataFrame:
             hashes = [np.array([xxhash.xxh64_intdigest(s.tobytes(), seed) for s in found], dtype=np.uint64).view(np.int64) for seed in (1, 2)]
             keys = pa.array([band_keys(s, params) for s in found], type=pa.list_(pa.int64()))
             sizes = pa.array([len(s) for s in found], type=pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, hashes), sizes, keys], ["doc_id", "h", "k", "k2", "n", "keys"])
+            prints = pa.array([fingerprints(s, params) for s in found], type=pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, hashes), sizes, keys, prints], ["doc_id", "h", "k", "k2", "n", "keys", "prints"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    return rows.mapInArrow(run, "doc_id long, h long, k long, k2 long, n long, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, h long, k long, k2 long, n long, keys array<long>, prints array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, params: Params) -> DataFrame:
@@ -167,8 +189,37 @@ def _differing(sets: DataFrame, members: DataFrame, params: Params) -> DataFrame
     return pairs[0].unionByName(_turned(pairs[1]))
 
 
+def ball_pairs(nodes: DataFrame, params: Params = Params()) -> DataFrame:
+    """nodes (node, k, n, prints) -> (u, ku, nu, v, kv, nv): each node that meets others in a ball of a fingerprint's half, with
+    the one among them that meets most. A fingerprint at a time, so that its words leave the disk before the next."""
+    met = []
+    for i in range(params.prints):
+        fp = F.get("prints", F.lit(i))
+        halves = F.array(F.shiftrightunsigned(fp, 32), fp.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
+        words = nodes.select("k", fp.alias("fp"), F.posexplode(halves).alias("half", "word")).where("fp IS NOT NULL")
+        near = words.select("k", "fp", "half", "word", F.explode(simhash.flips(32)).alias("flip"))
+        of = (F.col("half") + 2 * i).cast("long") * (1 << 32)
+        balls = near.select((of + F.col("word").bitwiseXOR(F.col("flip"))).alias("ball"), "k", "fp")
+        shared = balls.withColumn("size", F.count("*").over(Window.partitionBy("ball"))).where("size > 1")
+        met.append(settle(shared, "copy-balls"))
+    if not met:
+        return nodes.where("false").select(*[F.col(c).alias(a) for a, c in zip(("u", "ku", "nu", "v", "kv", "nv"), ("node", "k", "n") * 2, strict=True)])
+    every = reduce(DataFrame.unionByName, met)
+    weighed = every.withColumn("weight", F.sum("size").over(Window.partitionBy("k")))
+    hub = F.max(F.struct("weight", "k", "fp")).over(Window.partitionBy("ball"))
+    toward = weighed.select("k", "fp", hub.alias("hub")).where("k <> hub.k").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("hub.fp"))) <= params.far)
+    best = settle(toward.groupBy("k").agg(F.max("hub").alias("hub")).select("k", F.col("hub.k").alias("hub")), "copy-ball-hubs")
+    for table in met:
+        discard(table)
+    left = nodes.select(F.col("node").alias("u"), F.col("k").alias("ku"), F.col("n").alias("nu"))
+    right = nodes.select(F.col("node").alias("v"), F.col("k").alias("kv"), F.col("n").alias("nv"))
+    pairs = best.join(left, F.col("k") == F.col("ku")).join(right, F.col("hub") == F.col("kv"))
+    return _turned(pairs.select("u", "ku", "nu", "v", "kv", "nv"))
+
+
 def links(docs: DataFrame, nodes: DataFrame, params: Params = Params()) -> DataFrame:
-    """nodes (node, k, n, keys) -> (u, v): verified pairs that connect all candidates similar enough."""
+    """nodes (node, k, n, keys, prints) -> (u, v): verified pairs that connect all candidates similar enough."""
+    near = materialize(ball_pairs(nodes, params), "copy-ball-pairs")
     dealt = nodes.select("node", "k", "n", F.explode("keys").alias("bucket"))
     shared = materialize(dealt.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "copy-buckets")
     members = materialize(dealt.join(shared, "bucket"), "copy-members")
@@ -176,11 +227,16 @@ def links(docs: DataFrame, nodes: DataFrame, params: Params = Params()) -> DataF
     weighed = members.join(weights, ["node", "k"])
     me = F.struct("weight", (-F.col("node")).alias("turned"), "node", "k", "n")
     members = materialize(weighed.join(weighed.groupBy("bucket").agg(F.max(me).alias("hub")), "bucket").select("bucket", "node", "k", "n", "hub"), "copy-hubs")
-    ids = materialize(members.select(F.col("node").alias("doc_id")).distinct(), "copy-ids")
+    asked = members.select(F.col("node").alias("doc_id")).union(near.select("u")).union(near.select("v"))
+    ids = materialize(asked.distinct(), "copy-ids")
     sets = materialize(_sets(docs, ids, params).dropDuplicates(["node", "k"]), "copy-sets")
     ends = [F.col("hub.node").alias("u"), F.col("hub.k").alias("ku"), F.col("hub.n").alias("nu"), F.col("node").alias("v"), F.col("k").alias("kv"), F.col("n").alias("nv")]
-    best = members.where("hub.node <> node").groupBy("node", "k", "n").agg(F.max("hub").alias("hub"))
-    found = verified(sets, _turned(best.select(*ends)), params)
+    found = verified(sets, near, params)
+    labels = materialize(connected_components(found), "copy-labels")
+    best = members.where("hub.node <> node").groupBy("node", "k", "n").agg(F.max("hub").alias("hub")).withColumn("at", F.col("hub.node"))
+    ours, theirs = labels.withColumnRenamed("component", "ours"), labels.select(F.col("node").alias("at"), F.col("component").alias("theirs"))
+    open_ = best.join(ours, "node", "left").join(theirs, "at", "left").where("coalesce(ours, node) <> coalesce(theirs, at)")
+    found = found.unionByName(verified(sets, _turned(open_.select(*ends)), params))
     labelled = materialize(_labelled(members, found), "copy-labelled")
     held = labelled.where("hub.node = node").select("bucket", F.col("component").alias("of_hub"))
     apart = labelled.join(held, "bucket").where("component <> of_hub")
@@ -200,7 +256,7 @@ def components(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """(doc_id, h, component_id) for every row of docs, h being a hash of its text. component_id is the smallest doc_id reachable over links, the row's
     own included. Texts without words are alike. Rows with a null doc_id take no part and have a null component_id."""
     signed = materialize(signatures(docs, params), "copy-signatures")
-    nodes = signed.where("doc_id IS NOT NULL").groupBy("k", "k2", "n").agg(F.min("doc_id").alias("node"), F.min("keys").alias("keys"))
+    nodes = signed.where("doc_id IS NOT NULL").groupBy("k", "k2", "n").agg(F.min("doc_id").alias("node"), F.min("keys").alias("keys"), F.min("prints").alias("prints"))
     nodes = materialize(nodes, "copy-nodes")
     found = connected_components(links(docs, nodes, params)).select("node", "component")
     named = nodes.select("k", "k2", "node").join(found, "node", "left").select("k", "k2", F.coalesce("component", "node").alias("component_id"))

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelmill.llm._graph import connected_components
@@ -64,6 +64,18 @@ def fingerprint(text: str | None, params: Params = Params()) -> int:
     return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The unsigned fingerprint of any 64-bit hashes: a bit is 1 if set in over half of them."""
+    step = 1 << 16
+    ones = sum((_bit_counts(hashes[at : at + step]) for at in range(0, len(hashes), step)), np.zeros(64, dtype=np.int64))
+    return int.from_bytes(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").tobytes(), "little")
+
+
+def flips(bits: int = 64) -> Column:
+    """What a word of so many bits is XORed with for its ball: nothing, and each single bit."""
+    return F.array(F.lit(0).cast("long"), *[F.lit(1 << b if b < 63 else -(1 << 63)).cast("long") for b in range(bits)])
+
+
 def fingerprints(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """(doc_id, fp): the fingerprint of each row as a signed long with the same bits."""
 
@@ -78,8 +90,7 @@ def fingerprints(docs: DataFrame, params: Params = Params()) -> DataFrame:
 
 def links(nodes: DataFrame) -> DataFrame:
     """nodes (fp, node), one row a fingerprint -> (u, v): verified pairs that connect all fingerprints within RADIUS."""
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << b if b < 63 else -(1 << 63)).cast("long") for b in range(64)])
-    variants = nodes.select("fp", "node", F.explode(flips).alias("flip")).select(F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"), "fp", "node")
+    variants = nodes.select("fp", "node", F.explode(flips()).alias("flip")).select(F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"), "fp", "node")
     order = Window.partitionBy("variant").orderBy("fp")
     met = variants.select("fp", "node", F.lag("fp").over(order).alias("fp2"), F.lag("node").over(order).alias("node2")).where("fp2 IS NOT NULL")
     pairs = met.dropDuplicates(["fp", "fp2"])

@@ -112,3 +112,42 @@ def test_recall_of_pairs_at_the_limit(make_docs):
     near = {b for b, s in alike.items() if s >= 0.8}
     assert len([b for b in near if alike[b] < 0.9]) > 20
     assert joined <= near and len(joined) >= 0.9 * len(near)
+
+
+def alike_pairs():
+    """Pairs 2b, 2b + 1 of texts that differ in some words, and the exact similarity of each."""
+    draw, texts = random.Random(5), {}
+    for base in range(150):
+        words = [draw.choice(WORDS) for _ in range(draw.randint(80, 200))]
+        copy = list(words)
+        for at in draw.sample(range(len(words)), max(1, len(words) // draw.choice([45, 60, 90, 200]))):
+            copy[at] = "changed"
+        texts |= {2 * base: " ".join(words), 2 * base + 1: " ".join(copy)}
+    sets = {i: slow_set(t) for i, t in texts.items()}
+    return texts, {b: len(sets[2 * b] & sets[2 * b + 1]) / len(sets[2 * b] | sets[2 * b + 1]) for b in range(150)}
+
+
+def test_ball_hashing_joins_near_copies_by_itself(make_docs):
+    """Without bands: nearly all pairs from 0.9 on and half of those from 0.8 on are joined, and none below."""
+    texts, alike = alike_pairs()
+    found = {r["doc_id"]: r["component_id"] for r in near_copies.components(make_docs(list(texts.items())), near_copies.Params(bands=0)).collect()}
+    joined = {b for b in alike if found[2 * b] == found[2 * b + 1]}
+    assert all(alike[b] >= 0.8 for b in joined)
+    for least, most, share in ((0.9, 1, 0.9), (0.8, 0.9, 0.5)):
+        near = {b for b, s in alike.items() if least <= s < most}
+        assert len(near) > 15 and len(joined & near) >= share * len(near), (least, len(joined & near), len(near))
+
+
+def test_words_within_two_bits_meet(spark, make_docs):
+    """ball_pairs proposes a pair for each node that has another one within two bits in a half, and for no other one."""
+    params = near_copies.Params(bands=0, far=64)
+    texts, _ = alike_pairs()
+    texts = {i: t for i, t in texts.items() if i < 120}
+    prints = {i: [p & (1 << 64) - 1 for p in near_copies.fingerprints(near_copies.shingles(t), params)] for i, t in texts.items()}
+    halves = {i: [h for p in ps for h in (p >> 32, p & 0xFFFFFFFF)] for i, ps in prints.items()}
+    meets = lambda i, j: any((a ^ b).bit_count() <= 2 for a, b in zip(halves[i], halves[j], strict=True))
+    want = {i for i in texts if any(i != j and meets(i, j) for j in texts)}
+    nodes = near_copies.signatures(make_docs(list(texts.items())), params).withColumnRenamed("doc_id", "node")
+    got = [(r["u"], r["v"]) for r in near_copies.ball_pairs(nodes, params).collect()]
+    assert all(meets(u, v) for u, v in got)
+    assert want and {i for pair in got for i in pair} == want
