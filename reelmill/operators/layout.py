@@ -130,7 +130,7 @@ def pairs(words: DataFrame) -> DataFrame:
     return rows.select("video_id", "frame_no", "line_no", F.col("text").alias("l"), "r", conf.alias("confidence"))
 
 
-@query("e6_left_right_pairs", "words", f"WITH {_PAIRS} SELECT video_id, line_no, l AS character_name, r AS actor_name, round(confidence, 6) AS confidence FROM p")
+@query("e6_left_right_pairs", "words", f"WITH {_PAIRS} SELECT video_id, line_no, l AS character_name, r AS actor_name, round(confidence, 6) AS confidence FROM p", dealt="lines")
 def left_right_pairs(words: DataFrame) -> DataFrame:
     """Pairs of a character and an actor across a gap; the confidence falls with a narrow gap."""
     return pairs(words).select("video_id", "line_no", F.col("l").alias("character_name"), F.col("r").alias("actor_name"), F.round("confidence", 6).alias("confidence"))
@@ -142,7 +142,7 @@ def first_pair(words: DataFrame) -> DataFrame:
     return pairs(words).groupBy("video_id", F.lower("l").alias("left_text"), F.lower("r").alias("right_text")).agg(F.min("line_no").alias("line_no"))
 
 
-@query("c9_best_pair", "words", f"WITH {_PAIRS} SELECT video_id, left_text, right_text, round(max(confidence), 6) AS confidence FROM p GROUP BY ALL")
+@query("c9_best_pair", "words", f"WITH {_PAIRS} SELECT video_id, left_text, right_text, round(max(confidence), 6) AS confidence FROM p GROUP BY ALL", dealt="lines")
 def best_pair(words: DataFrame) -> DataFrame:
     """Each pair once, of highest confidence."""
     return pairs(words).groupBy("video_id", F.lower("l").alias("left_text"), F.lower("r").alias("right_text")).agg(F.round(F.max("confidence"), 6).alias("confidence"))
