@@ -136,7 +136,7 @@ def left_right_pairs(words: DataFrame) -> DataFrame:
     return pairs(words).select("video_id", "line_no", F.col("l").alias("character_name"), F.col("r").alias("actor_name"), F.round("confidence", 6).alias("confidence"))
 
 
-@query("c8_first_pair", "words", f"WITH {_PAIRS} SELECT video_id, left_text, right_text, min(line_no) AS line_no FROM p GROUP BY ALL")
+@query("c8_first_pair", "words", f"WITH {_PAIRS} SELECT video_id, left_text, right_text, min(line_no) AS line_no FROM p GROUP BY ALL", dealt="lines")
 def first_pair(words: DataFrame) -> DataFrame:
     """Each pair once, the first stays."""
     return pairs(words).groupBy("video_id", F.lower("l").alias("left_text"), F.lower("r").alias("right_text")).agg(F.min("line_no").alias("line_no"))
